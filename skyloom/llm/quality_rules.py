@@ -114,7 +114,10 @@ def apply_policy(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
 def filtered(docs: DataFrame, policy: str = CURRENT, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with their columns, that the policy keeps."""
     row = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"))
-    return ledger(row, "_row", "_text").where(verdict(policy)).select("doc_id.*")
+    # A filter over the ledger would be pushed below its steps, each of which it would then repeat;
+    # it stays above a column that isn't deterministic.
+    rows = ledger(row, "_row", "_text").withColumn("_place", F.monotonically_increasing_id())
+    return rows.where(verdict(policy) & (F.col("_place") >= 0)).select("doc_id.*")
 
 
 def ablations(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
