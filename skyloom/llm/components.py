@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     before they shuffle, so a node with very many edges is no task of its own.
     Labels only fall; their sum tells whether a round changed any.
     """
-    both = edges.where("a <> b").select("a", "b")
+    both = stored(edges.where("a <> b").select("a", "b"), "edges")
     both = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
     total = None

@@ -40,13 +40,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FEW_IDS, by_id, dropped, partitions, stored, table
+from .common import FEW_IDS, by_id, dropped, stored, table
 from .components import components
 
 WIDTH = 5
 LOW = 0.35
 #: Hashes of one group of a packed exchange, and of the block that a task packs at once.
-GROUP, PACK = 1_500_000, 1_000_000
+GROUP, PACK = 2_000_000, 1_000_000
 BLOCK = 64
 SEGMENT = 64
 NO_ID = 2**63 - 1
@@ -150,14 +150,14 @@ def shingled(docs: DataFrame, low: float) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id bigint, fp binary, n bigint, k bigint, hashes binary")
 
 
-def packed(sets: DataFrame, groups: int) -> DataFrame:
-    """Sets (fp, n, hashes) cut by hash into ``groups``: one row for each block of sets and group.
+def packed(sets: DataFrame, groups: int, sizes: bool) -> DataFrame:
+    """Sets (node, n, hashes) cut by hash into ``groups``: one row for each block of sets and group.
 
-    A block has each fp once, so copies are combined before the shuffle.
+    A block has each node once, so copies are combined before the shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[bytes, tuple[int, np.ndarray]] = {}
+        own: dict[int, tuple[int, np.ndarray]] = {}
         size = 0
 
         def flush():
@@ -167,62 +167,58 @@ def packed(sets: DataFrame, groups: int) -> DataFrame:
             order = np.argsort(group, kind="stable")
             hashes, owner = hashes[order], owner[order]
             cuts = np.searchsorted(group[order], np.arange(groups + 1))
-            fps, ns = list(own), [n for n, _ in own.values()]
+            nodes, ns = np.array(list(own), np.int64), np.array([n for n, _ in own.values()], np.int32)
             for g in range(groups):
                 a, e = cuts[g], cuts[g + 1]
                 if e > a:
                     who, counts = np.unique(owner[a:e], return_counts=True)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([g], pa.int32()), pa.array([b"".join(fps[i] for i in who)], pa.binary()), pa.array([np.array([ns[i] for i in who], np.int32).tobytes()], pa.binary()),
-                        pa.array([counts.astype(np.int32).tobytes()], pa.binary()), pa.array([hashes[a:e].tobytes()], pa.binary())], ["g", "fps", "ns", "counts", "hashes"])
+                        pa.array([g], pa.int32()), pa.array([nodes[who].tobytes()], pa.binary()), pa.array([ns[who].tobytes() if sizes else b""], pa.binary()),
+                        pa.array([counts.astype(np.int32).tobytes()], pa.binary()), pa.array([hashes[a:e].tobytes()], pa.binary())], ["g", "nodes", "ns", "counts", "hashes"])
 
         for batch in batches:
-            for fp, n, h in zip(batch.column("fp").to_pylist(), batch.column("n").to_pylist(), batch.column("hashes")):
-                if fp not in own:
-                    own[fp] = (n, np.frombuffer(h.as_py(), np.uint64))
-                    size += len(own[fp][1]) + 4
+            for i, n, h in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("hashes")):
+                if i not in own:
+                    own[i] = (n, np.frombuffer(h.as_py(), np.uint64))
+                    size += len(own[i][1]) + 4
                 if size >= PACK:
                     yield from flush()
                     own, size = {}, 0
         if own:
             yield from flush()
 
-    return sets.select("fp", "n", "hashes").mapInArrow(run, "g int, fps binary, ns binary, counts binary, hashes binary")
+    return sets.select("node", "n", "hashes").mapInArrow(run, "g int, nodes binary, ns binary, counts binary, hashes binary")
 
 
 def unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """fps and sizes of a group's classes; its distinct (hash, class) pairs, by hash, and the number of classes of each hash."""
-    fps = np.frombuffer(b"".join(rows.column("fps").to_pylist()), "V16")
+    """Classes of a group and their sizes; its distinct (hash, class) pairs, by hash, and the number of classes of each hash."""
+    every = np.frombuffer(b"".join(rows.column("nodes").to_pylist()), np.int64)
     ns = np.frombuffer(b"".join(rows.column("ns").to_pylist()), np.int32)
     counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.int32)
     hashes = np.frombuffer(b"".join(rows.column("hashes").to_pylist()), np.uint64)
-    as_pairs = fps.view(np.uint64).reshape(-1, 2)
-    by = np.lexsort((as_pairs[:, 1], as_pairs[:, 0]))
-    new = np.concatenate([[True], (as_pairs[by][1:] != as_pairs[by][:-1]).any(axis=1)])
-    ids = np.empty(len(fps), np.int64)
-    ids[by] = np.cumsum(new) - 1
+    nodes, first, ids = np.unique(every, return_index=True, return_inverse=True)
     owner = np.repeat(ids, counts)
     order = np.argsort(hashes, kind="stable")
     hashes, owner = hashes[order], owner[order]
     run = np.cumsum(np.concatenate([[True], hashes[1:] != hashes[:-1]])) - 1
-    order = np.argsort(run * len(fps) + owner, kind="stable")
+    order = np.argsort(run * len(nodes) + owner, kind="stable")
     hashes, owner, run = hashes[order], owner[order], run[order]
     keep = np.concatenate([[True], (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])])
     hashes, owner, run = hashes[keep], owner[keep], run[keep]
-    return fps[by[new]], ns[by[new]], hashes, owner, np.bincount(run)[run]
+    return nodes, ns[first] if len(ns) else ns, hashes, owner, np.bincount(run)[run]
 
 
 def shared_counts(sets: DataFrame, groups: int) -> DataFrame:
-    """fp and ``c``: how many of its hashes other classes have too (no row: none)."""
+    """node and ``c``: how many of its hashes other classes have too (no row: none)."""
 
     def count(rows: pa.Table) -> pa.Table:
-        fps, _, _, owner, df = unpacked(rows)
-        c = np.bincount(owner[df > 1], minlength=len(fps))
+        nodes, _, _, owner, df = unpacked(rows)
+        c = np.bincount(owner[df > 1], minlength=len(nodes))
         some = np.flatnonzero(c)
-        return pa.table({"fp": pa.array([fps[i].tobytes() for i in some], pa.binary()), "c": pa.array(c[some], pa.int64())})
+        return pa.table({"node": pa.array(nodes[some], pa.int64()), "c": pa.array(c[some], pa.int64())})
 
-    each = packed(sets, groups).groupBy("g").applyInArrow(count, "fp binary, c bigint")
-    return each.groupBy("fp").agg(F.sum("c").alias("c"))
+    each = packed(sets, groups, False).groupBy("g").applyInArrow(count, "node bigint, c bigint")
+    return each.groupBy("node").agg(F.sum("c").alias("c"))
 
 
 def ordered(sets: DataFrame, groups: int) -> DataFrame:
@@ -230,14 +226,14 @@ def ordered(sets: DataFrame, groups: int) -> DataFrame:
     those of the first n - ceil(3n/4) + 1.  Classes without any in there are left out."""
 
     def find(rows: pa.Table) -> pa.Table:
-        fps, ns, hashes, owner, df = unpacked(rows)
+        nodes, ns, hashes, owner, df = unpacked(rows)
         some = df > 1
         order = np.argsort(owner[some], kind="stable")
         hashes, owner, df = hashes[some][order], owner[some][order], df[some][order].astype(np.int32)
         who = np.unique(owner)
         a, e = np.searchsorted(owner, who), np.searchsorted(owner, who, "right")
         return pa.table({
-            "fp": pa.array([fps[i].tobytes() for i in who], pa.binary()), "n": pa.array(ns[who], pa.int64()),
+            "node": pa.array(nodes[who], pa.int64()), "n": pa.array(ns[who], pa.int64()),
             "h": pa.array([hashes[x:y].tobytes() for x, y in zip(a, e)], pa.binary()), "d": pa.array([df[x:y].tobytes() for x, y in zip(a, e)], pa.binary())})
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,16 +247,16 @@ def ordered(sets: DataFrame, groups: int) -> DataFrame:
                 if reach > 0:
                     order = np.lexsort((h, d))
                     h, d = h[order], d[order]
-                    out.append({"node": node(r["fp"]), "n": n, "hashes": h.tobytes(), "dfs": d.tobytes(), "prefix": h[:reach].view(np.int64).tolist()})
+                    out.append({"node": r["node"], "n": n, "hashes": h.tobytes(), "dfs": d.tobytes(), "prefix": h[:reach].view(np.int64).tolist()})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("node", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary()), ("dfs", pa.binary()), ("prefix", pa.list_(pa.int64()))]))
 
-    each = packed(sets, groups).groupBy("g").applyInArrow(find, "fp binary, n bigint, h binary, d binary")
-    whole = each.groupBy("fp", "n").agg(F.collect_list(F.struct("h", "d")).alias("parts"))  # of one class: its own set
+    each = packed(sets, groups, True).groupBy("g").applyInArrow(find, "node bigint, n bigint, h binary, d binary")
+    whole = each.groupBy("node", "n").agg(F.collect_list(F.struct("h", "d")).alias("parts"))  # of one class: its own set
     return whole.mapInArrow(sort, "node bigint, n bigint, hashes binary, dfs binary, prefix array<bigint>")
 
 
-def node(fp: bytes) -> int:
-    return int.from_bytes(fp[:8], "big", signed=True)
+#: A class's number: the first eight bytes of its fingerprint.
+NODE = "cast(conv(hex(substr(fp, 1, 8)), 16, -10) as bigint)"
 
 
 class Trie:
@@ -379,9 +375,16 @@ def block_links(rows: pa.Table) -> list[tuple[int, int]]:
 
 def links(sets: DataFrame) -> DataFrame:
     """Links (a, b) that span all components of ``ordered`` sets."""
-    post = sets.select("node", F.explode("prefix").alias("h"))
-    hubs = post.groupBy("h").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1").select("h", "hub")
-    near = components(post.join(hubs, "h").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    post = stored(sets.select("node", F.explode("prefix").alias("h")), "postings")
+    hubs = stored(post.groupBy("h").agg(F.min("node").alias("hub")), "hubs")
+    # Each class takes the least class it shares a prefix shingle with; what is left to join are those.
+    first = stored(post.join(hubs, "h").groupBy("node").agg(F.min("hub").alias("one")), "first")
+    dropped(hubs)
+    ones = stored(post.join(first, "node").select("h", "one").distinct(), "ones")
+    dropped(post)
+    least = stored(ones.groupBy("h").agg(F.min("one").alias("least"), F.count("*").alias("m")).where("m > 1").select("h", "least"), "least")
+    rest = ones.join(least, "h").where("one <> least").select(F.col("one").alias("a"), F.col("least").alias("b")).distinct()
+    near = components(first.select(F.col("node").alias("a"), F.col("one").alias("b")).unionByName(rest))
     sizes = near.groupBy("label").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     dealt = near.join(stored(sizes, "sizes"), "label").withColumn("b", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = stored(dealt.select("node", "label", "blocks", "b"), "dealt")
@@ -397,14 +400,13 @@ def links(sets: DataFrame) -> DataFrame:
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs``."""
-    spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
     low = stored(shingled(docs, LOW), "shingles")
     total = low.agg(F.sum("k")).first()[0] or 0
-    shared = shared_counts(low.where("n > 0"), max(partitions(spark), total // GROUP + 1))
-    classes = stored(low.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("k").alias("k")), "classes")
+    shared = shared_counts(low.where("n > 0").withColumn("node", F.expr(NODE)), total // GROUP + 1)
+    classes = stored(low.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("k").alias("k")).withColumn("node", F.expr(NODE)), "classes")
     # k low hashes, of which a partner lacks at most n - ceil(3n/4)
-    some = classes.join(shared, "fp", "left").where("coalesce(c, 0) >= k - (n - ceil(3 * n / 4))")
+    some = classes.join(shared, "node", "left").where("coalesce(c, 0) >= k - (n - ceil(3 * n / 4))")
     some = stored(some.select("id", F.col("fp").alias("own")), "some")
     few = some.count() <= FEW_IDS
     again = docs.join(F.broadcast(some) if few else some, "id")
@@ -418,13 +420,12 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 keep = [(fp, s) for fp, s in zip(part.column("own").to_pylist(), sets) if fingerprint(s) == fp]  # an id may have several texts
                 yield pa.RecordBatch.from_arrays([pa.array([fp for fp, _ in keep], pa.binary()), pa.array([len(s) for _, s in keep], pa.int64()), pa.array([s.tobytes() for _, s in keep], pa.binary())], ["fp", "n", "hashes"])
 
-    full = stored(again.mapInArrow(whole, "fp binary, n bigint, hashes binary"), "sets")
+    full = stored(again.mapInArrow(whole, "fp binary, n bigint, hashes binary").withColumn("node", F.expr(NODE)), "sets")
     total = full.agg(F.sum("n")).first()[0] or 0
-    sets = stored(ordered(full, max(partitions(spark), total // GROUP + 1)), "ordered")
+    sets = stored(ordered(full, total // GROUP + 1), "ordered")
     dropped(full)
     groups = components(links(sets))
-    own = classes.withColumn("node", F.expr("cast(conv(hex(substr(fp, 1, 8)), 16, -10) as bigint)"))
-    named = stored(own.join(groups, "node").select("fp", "label", "id"), "named")
+    named = stored(classes.join(groups, "node").select("fp", "label", "id"), "named")
     least = stored(named.groupBy("label").agg(F.min("id").alias("least")), "least")
     found = named.join(least, "label").select("fp", "least")
     component = stored(classes.join(found, "fp", "left").select("fp", F.coalesce("least", "id").alias("component")), "component")
