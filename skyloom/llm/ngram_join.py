@@ -46,7 +46,7 @@ from .components import components
 WIDTH = 5
 LOW = 0.35
 #: Hashes of one group of a packed exchange, and of the block that a task packs at once.
-GROUP, PACK = 2_000_000, 1_000_000
+GROUP, PACK = 1_500_000, 1_000_000
 BLOCK = 64
 SEGMENT = 64
 NO_ID = 2**63 - 1
@@ -191,34 +191,51 @@ def packed(sets: DataFrame, groups: int, sizes: bool) -> DataFrame:
 
 
 def unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of a group and their sizes; its distinct (hash, class) pairs, by hash, and the number of classes of each hash."""
+    """Classes of a group and their sizes; the distinct (hash, class) pairs, by hash, of hashes
+    that several classes have, and how many those are."""
     every = np.frombuffer(b"".join(rows.column("nodes").to_pylist()), np.int64)
     ns = np.frombuffer(b"".join(rows.column("ns").to_pylist()), np.int32)
     counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.int32)
     hashes = np.frombuffer(b"".join(rows.column("hashes").to_pylist()), np.uint64)
     nodes, first, ids = np.unique(every, return_index=True, return_inverse=True)
-    owner = np.repeat(ids, counts)
     order = np.argsort(hashes, kind="stable")
-    hashes, owner = hashes[order], owner[order]
-    run = np.cumsum(np.concatenate([[True], hashes[1:] != hashes[:-1]])) - 1
+    hashes = hashes[order]
+    same = hashes[1:] == hashes[:-1]
+    some = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+    # most hashes are there once and go
+    hashes, owner = hashes[some], np.repeat(ids.astype(np.int32), counts)[order[some]]
+    run = np.cumsum(np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)]) - 1
     order = np.argsort(run * len(nodes) + owner, kind="stable")
     hashes, owner, run = hashes[order], owner[order], run[order]
-    keep = np.concatenate([[True], (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])])
-    hashes, owner, run = hashes[keep], owner[keep], run[keep]
-    return nodes, ns[first] if len(ns) else ns, hashes, owner, np.bincount(run)[run]
+    new = np.concatenate([[True], (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])])[: len(hashes)]
+    hashes, owner, run = hashes[new], owner[new], run[new]
+    df = np.bincount(run, minlength=1)[run] if len(run) else run
+    return nodes, ns[first] if len(ns) else ns, hashes[df > 1], owner[df > 1], df[df > 1]
 
 
 def shared_counts(sets: DataFrame, groups: int) -> DataFrame:
     """node and ``c``: how many of its hashes other classes have too (no row: none)."""
 
     def count(rows: pa.Table) -> pa.Table:
-        nodes, _, _, owner, df = unpacked(rows)
-        c = np.bincount(owner[df > 1], minlength=len(nodes))
-        some = np.flatnonzero(c)
-        return pa.table({"node": pa.array(nodes[some], pa.int64()), "c": pa.array(c[some], pa.int64())})
+        nodes, _, _, owner, _ = unpacked(rows)
+        c = np.bincount(owner, minlength=len(nodes))
+        nodes, c = nodes[c > 0], c[c > 0]
+        part = nodes % groups
+        order = np.argsort(part, kind="stable")
+        nodes, c = nodes[order], c[order]
+        parts, at = np.unique(part[order], return_index=True)
+        ends = [*at[1:], len(nodes)]
+        return pa.table({
+            "p": pa.array(parts, pa.int64()), "nodes": pa.array([nodes[a:e].tobytes() for a, e in zip(at, ends)], pa.binary()),
+            "c": pa.array([c[a:e].tobytes() for a, e in zip(at, ends)], pa.binary())})
+
+    def add(rows: pa.Table) -> pa.Table:
+        nodes, ids = np.unique(np.frombuffer(b"".join(rows.column("nodes").to_pylist()), np.int64), return_inverse=True)
+        c = np.bincount(ids, np.frombuffer(b"".join(rows.column("c").to_pylist()), np.int64), len(nodes))
+        return pa.table({"node": pa.array(nodes, pa.int64()), "c": pa.array(c.astype(np.int64), pa.int64())})
 
-    each = packed(sets, groups, False).groupBy("g").applyInArrow(count, "node bigint, c bigint")
-    return each.groupBy("node").agg(F.sum("c").alias("c"))
+    each = packed(sets, groups, False).groupBy("g").applyInArrow(count, "p bigint, nodes binary, c binary")
+    return each.groupBy("p").applyInArrow(add, "node bigint, c bigint")
 
 
 def ordered(sets: DataFrame, groups: int) -> DataFrame:
@@ -227,9 +244,8 @@ def ordered(sets: DataFrame, groups: int) -> DataFrame:
 
     def find(rows: pa.Table) -> pa.Table:
         nodes, ns, hashes, owner, df = unpacked(rows)
-        some = df > 1
-        order = np.argsort(owner[some], kind="stable")
-        hashes, owner, df = hashes[some][order], owner[some][order], df[some][order].astype(np.int32)
+        order = np.argsort(owner, kind="stable")
+        hashes, owner, df = hashes[order], owner[order], df[order].astype(np.int32)
         who = np.unique(owner)
         a, e = np.searchsorted(owner, who), np.searchsorted(owner, who, "right")
         return pa.table({
