@@ -343,7 +343,7 @@ class Trie:
 
 
 def spanning(nodes: list[int], links: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Those links that join what was apart."""
+    """Each linked node with the least that it reaches."""
     up = {n: n for n in nodes}
 
     def top(n: int) -> int:
@@ -352,17 +352,14 @@ def spanning(nodes: list[int], links: Iterator[tuple[int, int]]) -> list[tuple[i
             n = up[n]
         return n
 
-    out = []
     for a, b in links:
         x, y = top(a), top(b)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
+        up[max(x, y)] = min(x, y)
+    return [(n, top(n)) for n in nodes if top(n) != n]
 
 
 def block_links(rows: pa.Table) -> list[tuple[int, int]]:
-    """Spanning links between the blocks of a group (node, n, b, hashes, dfs); within it, if there is one block."""
+    """Links between the blocks of a group (node, n, b, hashes, dfs), as edges that span its components; within it, if there is one block."""
     own: dict[int, dict] = {r["node"]: r for r in rows.to_pylist()}
     keys = list(own)
     hashes = [np.frombuffer(own[k]["hashes"], np.uint64) for k in keys]
