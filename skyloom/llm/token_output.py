@@ -47,7 +47,7 @@ LIMIT = 18
 STRIDE = 512
 BLOCK_IDS = 1_000_000
 #: Words whose ids a task remembers; the frequent ones come early.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 150_000
 
 #: One run of letters that lower-casing and NFC treat one by one, and stops after it.
 SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]*)")
