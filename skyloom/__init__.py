@@ -1,0 +1 @@
+"""Clustering redshifts on Spark: sky catalogs, pair counts, correlation functions, n(z)."""
