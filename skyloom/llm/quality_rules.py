@@ -82,7 +82,10 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         # equal hashes are only candidates: the words themselves decide
         F.expr(f"array_sort(transform({near.format(s='_s', f='h')}, x -> named_struct('t', concat_ws(' ', slice(_w, x.i + 1, {WINDOW})), 'i', x.i)))").alias("_e"),
     )
-    fifth = fourth.select("doc_id", "_t", "_w", "_l", F.expr(f"array_sort(transform({near.format(s='_e', f='t')}, x -> x.i))").alias("_p"))
+    # A filter over the result must not be pushed below these steps, each of which it would repeat
+    # several times over: it stops at an expression that isn't deterministic.
+    places = f"array_sort(transform({near.format(s='_e', f='t')}, x -> x.i))"
+    fifth = fourth.select("doc_id", "_t", "_w", "_l", F.expr(f"if(monotonically_increasing_id() >= 0, {places}, null)").alias("_p"))
     return fifth.select(
         "doc_id",
         F.size("_w").cast("long").alias("n_words"),
@@ -114,8 +117,7 @@ def apply_policy(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
 def filtered(docs: DataFrame, policy: str = CURRENT, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with their columns, that the policy keeps."""
     row = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"))
-    # A filter over the ledger would be pushed below its steps, each of which it would then repeat;
-    # it stays above a column that isn't deterministic.
+    # above a column that isn't deterministic, the filter reads the measurements instead of repeating them
     rows = ledger(row, "_row", "_text").withColumn("_place", F.monotonically_increasing_id())
     return rows.where(verdict(policy) & (F.col("_place") >= 0)).select("doc_id.*")
 
