@@ -49,8 +49,10 @@ def paths(messages: DataFrame, by_mean: bool = False) -> DataFrame:
     while (1 << len(jumps)) <= 2 * limit and state.where("up is not null").limit(1).count():
         jumps.append(state.select("tree", "id", "up").where("up is not null"))
         above = state.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("n").alias("n2"))
-        state = stored(state.join(above, ["tree", "up"], "left").select(
-            "tree", "id", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")), "stretch")
+        # only those that have not reached their root yet are joined again
+        longer = state.where("up is not null").join(above, ["tree", "up"]).select(
+            "tree", "id", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("n") + F.col("n2")).alias("n"))
+        state = stored(longer.unionByName(state.where("up is null")), "stretch")
     rooted = state.where("up is null")  # in a cycle nothing is
     inner = base.select("tree", F.col("parent").alias("id")).where("id is not null").distinct()
     worth = F.col("sum") / F.col("n") if by_mean else F.col("sum")
