@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import gc
 import heapq
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -70,6 +71,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # a task has one core; each thread of the library would keep memory of its own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -132,7 +135,7 @@ class Encoder:
         return out
 
 
-def batched(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[tuple[pa.RecordBatch, list]]:
+def batched(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[tuple[pa.RecordBatch, list]]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
