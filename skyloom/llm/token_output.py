@@ -33,10 +33,10 @@ import heapq
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,9 +49,11 @@ STRIDE = 512
 BLOCK_IDS = 1_000_000
 #: Words whose ids a task remembers; the frequent ones come early.
 KNOWN_WORDS = 150_000
+#: A private-use character: by its bytes, only itself has its ids.
+BETWEEN = "\ue000"
 
-#: One run of letters that lower-casing and NFC treat one by one, and stops after it.
-SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]*)")
+#: One run of letters that lower-casing and NFC treat one by one, and ASCII marks after it (but the apostrophe), which are a word of their own.
+SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -67,39 +69,63 @@ class Encoder:
     between spaces are encoded on their own, and each different part once.
     Parts of letters with stops after them are many but share their letters;
     those that aren't known yet are encoded many at a time, and their ids told
-    apart by the mark at each word's end.
+    apart by the mark at each word's end.  Such letters are one word each and
+    in lower case, so the library encodes them with the same model but without
+    the normaliser and the word pattern.  All other parts are encoded many at a
+    time as well, with a character between them that none of them has.
     """
 
     def __init__(self, path: str):
         # a task has one core; each thread of the library would keep memory of its own
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.between = self.plain([BETWEEN])[0]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
         self.letters: dict[str, bytes] = {"": b""}
 
-    def plain(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def plain(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def apart(self, parts: list[str]) -> Iterator[bytes]:
+        """Ids of each of ``parts``, which have no white space inside or at their ends that ASCII has."""
+        groups = [parts[i : i + 100] for i in range(0, len(parts), 100)]
+        n = len(self.between)
+        for group, ids in zip(groups, self.plain([f" {BETWEEN} ".join(g) for g in groups])):
+            hit = np.ones(max(0, len(ids) - n + 1), bool)
+            for k, one in enumerate(self.between):
+                hit &= ids[k : k + len(hit)] == one
+            cuts = np.flatnonzero(hit)
+            if len(cuts) != len(group) - 1:  # a part has the character
+                yield from (x.tobytes() for x in self.plain(group))
+                continue
+            data, at = ids.tobytes(), 0
+            for c in cuts.tolist():
+                yield data[at * 4 : c * 4]
+                at = c + n
+            yield data[at * 4 :]
 
     def learn(self, parts: list[bytes]) -> dict[bytes, bytes]:
         """Ids of parts that aren't known."""
-        out, simple = {}, {}
-        rest: list[str] = []
+        out, simple, rest = {}, [], []
         for p in parts:
             t = p.decode()
             if m := SIMPLE.fullmatch(t):
-                simple[p] = (m[1].lower(), m[2])
+                w, stop = m.groups()
+                simple.append((p, w.lower(), stop))
             else:
                 rest.append(t)
-        new = list(dict.fromkeys(w for pair in simple.values() for w in (pair[0],) if w not in self.letters))
+        new = list({w: None for _, w, _ in simple if w not in self.letters})
         own = self.letters
         fresh: dict[str, bytes] = {}
         groups = [new[i : i + 500] for i in range(0, len(new), 500)]
-        for group, ids in zip(groups, self.plain([" ".join(g) for g in groups])):
+        for group, ids in zip(groups, self.plain([" ".join(g) for g in groups], self.words)):
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(group):
                 for w, one in zip(group, self.plain(group)):
@@ -109,37 +135,35 @@ class Encoder:
             for w, c in zip(group, (cuts * 4).tolist()):
                 fresh[w] = data[last:c]
                 last = c
-        stops = [s for s in dict.fromkeys(s for _, s in simple.values()) if s not in self.letters]
+        stops = [s for s in dict.fromkeys(s for _, _, s in simple) if s not in self.letters]
         fresh.update(zip(stops, (x.tobytes() for x in self.plain(stops))))
-        for p, (w, s) in simple.items():
+        for p, w, s in simple:
             out[p] = (fresh.get(w) or own[w]) + (fresh[s] if s in fresh else own[s])
-        out.update((t.encode(), x.tobytes()) for t, x in zip(rest, self.plain(rest)))
+        out.update((t.encode(), x) for t, x in zip(rest, self.apart(rest)))
         if len(self.letters) < KNOWN_WORDS:
             self.letters.update(fresh)
         return out
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [t.encode().split() if t else [] for t in texts]  # of bytes, split() knows ASCII white space only
-        parts = list(chain.from_iterable(split))
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.flatten().dictionary_encode()
+        parts = words.dictionary.cast(pa.binary()).to_pylist()
         ids = list(map(self.known.get, parts))
         if missing := [k for k, x in enumerate(ids) if x is None]:
-            more = self.learn(list(dict.fromkeys(parts[k] for k in missing)))
+            more = self.learn([parts[k] for k in missing])
             for k in missing:
                 ids[k] = more[parts[k]]
             if len(self.known) < KNOWN_WORDS:
                 self.known.update(more)
-        out, at = [], 0
-        for own in split:
-            out.append(np.frombuffer(b"".join(ids[at : at + len(own)]), np.uint32))
-            at += len(own)
-        return out
-
-
-def batched(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[tuple[pa.RecordBatch, list]]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            yield part, part.column("text").to_pylist()
+        own, codes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2, words.indices.to_numpy()
+        n = own[codes]
+        ends = np.cumsum(n)
+        at = np.repeat((np.cumsum(own) - own)[codes] - ends + n, n)
+        at += np.arange(len(at))
+        out = np.frombuffer(b"".join(ids), np.uint32)[at]
+        cuts = np.concatenate([[0], ends])[split.offsets.to_numpy()].tolist()
+        return [out[x:y] for x, y in zip(cuts, cuts[1:])]
 
 
 def counted(ids: DataFrame, kind: str) -> dict[int, int]:
@@ -268,11 +292,17 @@ def store_ids(docs: DataFrame, folder: str, path: str, kind: str, end: int) -> D
     part = F.coalesce(F.size(F.filter(F.lit(sorted(set(cuts))).cast("array<bigint>"), lambda x: x < F.col("doc_id"))), F.lit(0))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = Encoder(path), np.array([end], kind)
-        for batch, texts in batched(batches):
-            own = [np.append(x.astype(kind), last) for x in encoder.encode(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("part"), batch.column("doc_id"), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["part", "doc_id", "n", "ids"])
+        encoder, last = Encoder(path), np.array([end], kind).tobytes()
+        gc.disable()  # many small objects, no cycles
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    part = batch.slice(at, 1000)
+                    own = [x.astype(kind).tobytes() + last for x in encoder.encode(part.column("text"))]
+                    n = pa.array([len(x) // len(last) for x in own], pa.int64())
+                    yield pa.RecordBatch.from_arrays([part.column("part"), part.column("doc_id"), n, pa.array(own, pa.binary())], ["part", "doc_id", "n", "ids"])
+        finally:
+            gc.enable()
 
     rows = docs.withColumn("part", part).mapInArrow(encode, IDS)
     rows = rows.repartition(n, "part").sortWithinPartitions("part", "doc_id", "n", "ids").withColumn("first", F.monotonically_increasing_id())

@@ -130,6 +130,17 @@ def test_token_round_trip(spark, docs, empty, tmp_path):
     assert token_output.digests(empty).count() == 0
 
 
+def test_encoder_equals_library():
+    import random
+
+    rng, marks = random.Random(7), "aZé'sS1２ \t\n\u3000\u0301ΣσßİÅ|.<>,()中-\u200d\ue000"
+    texts = ["".join(rng.choices(marks, k=rng.randint(0, 40))) for _ in range(3000)] + ["a<|endoftext|>b <|startoftext|>", "word!! word,%%% WORD", None, ""]
+    encoder = token_output.Encoder(token_output.tokenizer_path())
+    want = encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    got = [ids.tolist() for at in range(0, len(texts), 700) for ids in encoder.encode(texts[at : at + 700])]
+    assert got == [w.ids for w in want]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 50, 5000])
 def test_huffman(n):
     ids = np.random.default_rng(n).zipf(1.3, 4000).clip(max=n).astype(np.uint32)
