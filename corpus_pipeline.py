@@ -41,7 +41,7 @@ STAGES = [
     ("token_output", token_ids),
 ]
 
-#: The near-duplicate and token stages have no SQL form; a brute-force version tests the whole.
+#: The near-duplicate and token stages have no SQL form; a brute-force version of the whole is still missing.
 ORACLE_SQL = None
 
 
