@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bins import Binning
-from ..operators import pairs, resample
+from ..operators import pairs, resample, results
 
 
 @dataclass(frozen=True)
@@ -87,3 +87,35 @@ def scalar_counts(binning: Binning, limits: pairs.Limits, first: DataFrame, seco
 def correlation(counts: DataFrame, weights: DataFrame, kinds: list[str], binning: Binning, patches: int, scale: int = 0) -> DataFrame:
     """(zbin, sample, value) of the correlation function at a scale."""
     return resample.correlation(normalised(counts.where(F.col("scale") == scale), weights, kinds, binning, patches), set(kinds))
+
+
+def scalar_parts(binning: Binning, patches: int, kind: str, counts: DataFrame) -> DataFrame:
+    """(kind, zbin, sample, value): resampled scalar counts over resampled number counts, of one scale."""
+    groups = binning.frame(counts.sparkSession).select("zbin")
+    num = resample.jackknife(counts.select("zbin", "p1", "p2", "value"), ["zbin"], groups, patches)
+    den = resample.jackknife(counts.select("zbin", "p1", "p2", F.col("number").alias("value")), ["zbin"], groups, patches).withColumnRenamed("value", "number")
+    return num.join(den, ["zbin", "sample"]).select(F.lit(kind).alias("kind"), "zbin", "sample", resample.ratio(F.col("value"), F.col("number")).alias("value"))
+
+
+def mean_kappa(binning: Binning, patches: int, points: DataFrame) -> DataFrame:
+    """As ``scalar_parts``, the mean kappa by bin: what stands for DR without randoms."""
+    own = results.scalar_norm(points).select("zbin", F.col("patch").alias("p1"), F.col("patch").alias("p2"), F.col("kw").alias("value"), F.col("sw").alias("number"))
+    return scalar_parts(binning, patches, "dr", own)
+
+
+def autocorrelate_scalar(binning: Binning, limits: pairs.Limits, patches: int, data: Sample, scale: int = 0) -> DataFrame:
+    """(zbin, sample, value) of kappa with itself."""
+    d = data.binned(binning)
+    dd = scalar_counts(binning, limits, d, d, "kk", True).where(F.col("scale") == scale)
+    return resample.correlation(scalar_parts(binning, patches, "dd", dd), {"dd"}, is_scalar=True)
+
+
+def crosscorrelate_scalar(binning: Binning, limits: pairs.Limits, patches: int, reference: Sample, unknown: Sample, unk_rand: Sample | None = None, scale: int = 0) -> DataFrame:
+    """(zbin, sample, value) of the reference's kappa with the unknown sample, less that with its randoms or the mean kappa."""
+    ref = reference.binned(binning)
+    dd = scalar_parts(binning, patches, "dd", scalar_counts(binning, limits, ref, unknown.df.drop("zbin"), "kn").where(F.col("scale") == scale))
+    if unk_rand is None:
+        dr = mean_kappa(binning, patches, ref)
+    else:
+        dr = scalar_parts(binning, patches, "dr", scalar_counts(binning, limits, ref, unk_rand.df.drop("zbin"), "kn").where(F.col("scale") == scale))
+    return resample.correlation(dd.unionByName(dr), {"dd", "dr"}, is_scalar=True)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import sky
 from ..functions.bins import Binning
-from ..operators import pairs, patches, resample
-from ..randoms import box
+from ..operators import pairs, patches, resample, results
+from ..randoms import box, healpix
 from . import measure
 
 CENTERS = [(math.radians(10 + 5 * (i + 0.5) / 3), math.radians(-2.5 + 5 * (j + 0.5) / 3)) for i in range(3) for j in range(3)]
@@ -221,6 +221,42 @@ def _randoms(s: SparkSession, d: str) -> DataFrame:
     return box(s, 10_000, math.radians(10), math.radians(15), math.radians(-2.5), math.radians(2.5), seed=12345, observed=points(s, d, "ref").select("z", "w"))
 
 
+def _healpix(s: SparkSession, d: str) -> DataFrame:
+    return healpix(s, s.range(12 * 4**3).selectExpr("id AS pixel", "CAST(id % 3 AS DOUBLE) AS weight"), 3, 10_000)
+
+
+def _auto_corr(s: SparkSession, d: str) -> DataFrame:
+    counts, weights, kinds = measure.autocorrelate(BINS, ONE, K, sample(s, d, "ref"), sample(s, d, "ref_rand"), count_rr=False)
+    return rounded(measure.correlation(counts, weights, kinds, BINS, K))
+
+
+def _sets(s: SparkSession, d: str, kind: str) -> DataFrame:
+    corr, hist = cross_corr(s, d).withColumn("set", F.lit(0)), _hist(s, d).withColumn("set", F.lit(1))
+    return rounded(results.covariance(corr.unionByName(hist), kind), "cov", digits=5)
+
+
+def sql_sets(keep: str) -> str:
+    return sql_cross(f""", {HIST}, both AS (SELECT 0 AS set, zbin, sample, value FROM corr UNION ALL SELECT 1, zbin, sample, value FROM hist)
+        SELECT a.set AS set_i, a.zbin AS zbin_i, b.set AS set_j, b.zbin AS zbin_j, round(CASE WHEN {keep} THEN covar_pop(a.value, b.value) * (count(*) - 1) ELSE 0e0 END, 5) AS cov
+        FROM both AS a JOIN both AS b USING (sample) WHERE sample >= 0 GROUP BY a.set, a.zbin, b.set, b.zbin""")
+
+
+def sql_scalar(kind: str, counts: str) -> str:
+    """<kind>: resampled scalar counts over number counts; ``counts`` has zbin, p1, p2, k and n."""
+    one = lambda c: f"coalesce(sum({c}) FILTER (WHERE s.sample NOT IN (v.p1, v.p2)), 0e0)"
+    return f"""{kind}_v AS MATERIALIZED ({counts}),
+        {kind} AS (SELECT z.zbin::INTEGER AS zbin, s.sample::INTEGER AS sample, {one('v.k')} / nullif({one('v.n')}, 0) AS value
+        FROM range({len(BINS)}) AS z(zbin) CROSS JOIN range(-1, {K}) AS s(sample) LEFT JOIN {kind}_v AS v ON v.zbin = z.zbin GROUP BY z.zbin, s.sample)"""
+
+
+def sql_scalar_counts(a: str, b: str, first: str, auto: bool = False) -> str:
+    half = " * CASE WHEN a.patch = b.patch THEN 0.5e0 ELSE 1e0 END" if auto else ""
+    where = " AND a.zbin = b.zbin AND a.patch <= b.patch" if auto else ""
+    return f"""SELECT a.zbin, a.patch AS p1, b.patch AS p2, sum({first} * a.w * b.w{half}) AS k, sum(a.w * b.w{half}) AS n
+        FROM {a} AS a, {b} AS b WHERE {D2} > {sql_limit(0, 0)} AND {D2} <= {sql_limit(0, 1)}{where} GROUP BY a.zbin, a.patch, b.patch"""
+
+
+MEAN_KAPPA = "SELECT zbin, patch AS p1, patch AS p2, sum(kappa * w) AS k, sum(w) AS n FROM ref_b GROUP BY zbin, patch"
 HIST = f"""hist0 AS (SELECT 'h' AS kind, CASE {' '.join(f'WHEN z < {num(e)} THEN {k}' for k, e in enumerate(EDGES[1:-1]))} ELSE {len(BINS) - 1} END AS zbin, patch AS p1, patch AS p2, sum(w) AS value
     FROM ref WHERE z > {num(EDGES[0])} AND z <= {num(EDGES[-1])} GROUP BY ALL), {sql_jackknife('hist', 'hist0', ['h'])}"""
 WIDTHS = f"dz AS (SELECT * FROM (VALUES {', '.join(f'({k}, {num(w)})' for k, w in enumerate(BINS.widths))}) AS t(zbin, dz))"
@@ -291,6 +327,35 @@ TABLE = {
     "agg_errors": (lambda s, d: rounded(resample.errors(resample.covariance(cross_nz(s, d))), "error"), sql_cross("SELECT zbin_i AS zbin, round(sqrt(cov), 6) AS error FROM cov WHERE zbin_i = zbin_j")),
     "agg_correlation": (lambda s, d: rounded(resample.correlation_matrix(resample.covariance(cross_nz(s, d))), "corr"),
                         sql_cross("SELECT c.zbin_i, c.zbin_j, round(c.cov / (sqrt(a.cov) * sqrt(b.cov)), 6) AS corr FROM cov c JOIN cov a ON a.zbin_i = c.zbin_i AND a.zbin_j = c.zbin_i JOIN cov b ON b.zbin_i = c.zbin_j AND b.zbin_j = c.zbin_j")),
+    "agg_pairs_nk": (lambda s, d: rounded(measure.kind_counts(binned(s, d, "unk"), points(s, d, "ref"), ONE, "dd", modes="nk").select("zbin", "p1", "p2", "value", "pairs")),
+                     sql(plain(sql_counts("dd", "unk_b", "ref", v=("a.w", "(b.kappa * b.w)"))), "ref", "unk")),
+    "meas_autocorrelate": (_auto_corr, f"""WITH {sql_views('ref', 'ref_rand')}, {GRID}, counts AS MATERIALIZED ({sql_counts('dd', 'ref_b', 'ref_b', auto=True)} UNION ALL {sql_counts('dr', 'ref_b', 'ref_rand_b', same_bin=True)}),
+        {sql_weights('w1', 'ref_b', True)}, {sql_weights('w2', 'ref_rand_b', True)}, weights AS ({sql_product('dd', 'w1', 'w1', True)} UNION ALL {sql_product('dr', 'w1', 'w2')}),
+        {sql_jackknife('num', 'counts', ['dd', 'dr'])}, {sql_jackknife('den', 'weights', ['dd', 'dr'])},
+        norm AS (SELECT kind, zbin, sample, num.value / nullif(den.value, 0) AS value FROM num JOIN den USING (kind, zbin, sample)),
+        wide AS (SELECT zbin, sample, max(value) FILTER (WHERE kind = 'dd') AS dd, max(value) FILTER (WHERE kind = 'dr') AS dr FROM norm GROUP BY ALL)
+        SELECT zbin, sample, round((dd - dr) / nullif(dr, 0), 6) AS value FROM wide"""),
+    "meas_autocorrelate_scalar": (lambda s, d: rounded(measure.autocorrelate_scalar(BINS, ONE, K, sample(s, d, "ref"))),
+                                  sql(f", {sql_scalar('dd', sql_scalar_counts('ref_b', 'ref_b', '(a.kappa * b.kappa)', True))} SELECT zbin, sample, round(value, 6) AS value FROM dd")),
+    "est_scalar": (lambda s, d: rounded(measure.crosscorrelate_scalar(BINS, ONE, K, sample(s, d, "ref"), sample(s, d, "unk"), sample(s, d, "unk_rand"))),
+                   sql(f", {sql_scalar('dd', sql_scalar_counts('ref_b', 'unk', 'a.kappa'))}, {sql_scalar('dr', sql_scalar_counts('ref_b', 'unk_rand', 'a.kappa'))} SELECT zbin, sample, round(dd.value - dr.value, 6) AS value FROM dd JOIN dr USING (zbin, sample)", "ref", "unk", "unk_rand")),
+    "meas_crosscorrelate_scalar": (lambda s, d: rounded(measure.crosscorrelate_scalar(BINS, ONE, K, sample(s, d, "ref"), sample(s, d, "unk"))),
+                                   sql(f", {sql_scalar('dd', sql_scalar_counts('ref_b', 'unk', 'a.kappa'))}, {sql_scalar('dr', MEAN_KAPPA)} SELECT zbin, sample, round(dd.value - dr.value, 6) AS value FROM dd JOIN dr USING (zbin, sample)", "ref", "unk")),
+    "agg_covariance_joint": (lambda s, d: _sets(s, d, "full"), sql_sets("true")),
+    "agg_covariance_var": (lambda s, d: _sets(s, d, "var"), sql_sets("a.set = b.set AND a.zbin = b.zbin")),
+    "agg_covariance_diag": (lambda s, d: _sets(s, d, "diag"), sql_sets("a.zbin = b.zbin")),
+    "agg_mean_direction": (lambda s, d: rounded(sky.mean_direction(points(s, d, "ref"), ["patch"], "w").withColumnRenamed("dec", "de"), "ra", "de", digits=9),
+                           sql(f", {META} SELECT patch, round(ra, 9) AS ra, round(de, 9) AS de FROM meta")),
+    "agg_distance_range": (lambda s, d: rounded(results.distance_range(points(s, d, "unk"), 0.2, 0.0), "nearest", "farthest", digits=9),
+                           sql(f"SELECT round(min({ANGLE}), 9) AS nearest, round(max({ANGLE}), 9) AS farthest FROM unk", "unk")),
+    "join_linkage_statistics": (lambda s, d: rounded(results.linkage_statistics(_linkage(s, d), K), "density"),
+                                sql(f", {META} SELECT {K * K}::BIGINT AS num_total, count(*)::BIGINT AS num_links, round(count(*) / {float(K * K)}e0, 6) AS density FROM meta a, meta b WHERE 2*asin(least(1e0, sqrt((a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy)+(a.cz-b.cz)*(a.cz-b.cz))/2)) < a.radius + b.radius + {num(math.radians(0.3))}")),
+    "flt_patch_slice": (lambda s, d: results.patch_slice(_kind("ref", "unk")(s, d), 2, 6), sql("SELECT zbin, p1 - 2 AS p1, p2 - 2 AS p2, value, pairs FROM (" + plain(sql_counts("dd", "ref_b", "unk")) + ") WHERE p1 BETWEEN 2 AND 5 AND p2 BETWEEN 2 AND 5", "ref", "unk")),
+    "flt_bin_slice": (lambda s, d: results.bin_slice(rounded(_hist(s, d)), 1, 4), sql(f", {HIST} SELECT zbin - 1 AS zbin, sample, round(value, 6) AS value FROM hist WHERE zbin BETWEEN 1 AND 3")),
+    "src_probe": (lambda s, d: results.probe(points(s, d, "unk_rand"), "id", 173).select("id"),
+                  "SELECT id FROM (SELECT event_id AS id, row_number() OVER (ORDER BY event_id) - 1 AS r, count(*) OVER () AS n FROM events) WHERE r IN (SELECT (k * ((SELECT count(*) FROM events) - 1)) // 172 FROM range(173) AS t(k))"),
+    "patch_divide": (lambda s, d: patches.divided(points(s, d, "ref").drop("patch").withColumn("part", F.col("id") % 7), "part").select("id", "patch"), "SELECT p_partkey AS id, (p_partkey % 7)::INTEGER AS patch FROM part"),
+    "random_healpix": (_healpix, None),
     "random_box": (_randoms, None),
 }
 QUERIES = {name: q for name, (q, _) in TABLE.items()}

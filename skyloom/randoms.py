@@ -25,3 +25,47 @@ def box(spark: SparkSession, n: int, ra_min: float, ra_max: float, dec_min: floa
     size = observed.count()
     rows = observed.withColumn("_k", F.row_number().over(W.orderBy(*observed.columns)).cast("long") - 1)
     return out.withColumn("_k", F.floor(F.col("_u") * size)).join(rows, "_k").drop("_u", "_k")
+
+
+def healpix(spark: SparkSession, mask: DataFrame, order: int, n: int, seed: int = 12345) -> DataFrame:
+    """``n`` points: id, ra, dec in radians, on the nested pixels of ``mask`` (pixel, weight) with
+    probabilities by weight, each at the centre of one of its finest pixels.
+
+    A draw finds its pixel in the cumulative weights: both go to equal cells of [0, 1), so this is an
+    equi-join and no side is sent to all tasks.  Pixels without positive weight are never drawn; a
+    mask without any raises.
+    """
+    from .functions import healpix as hp
+
+    if not 0 <= order <= hp.FINEST:
+        raise ValueError(f"order out of range [0, {hp.FINEST}]")
+    width = max(1, min(1 << 20, n // 64))
+    pixels = mask.where("weight > 0").select(F.col("pixel").cast("long").alias("pixel"), F.col("weight").cast("double").alias("weight"), F.shiftright(F.col("pixel").cast("long"), 12).alias("g"))
+    groups = pixels.groupBy("g").agg(F.sum("weight").alias("gw"))  # one row for 4096 pixels
+    groups = groups.select("g", (F.sum("gw").over(W.orderBy("g")) - F.col("gw")).alias("before"))
+    total = pixels.agg(F.sum("weight")).first()[0]
+    if not total:
+        raise ValueError("the mask has no pixel of positive weight")
+    upto = F.col("before") + F.sum("weight").over(W.partitionBy("g").orderBy("pixel"))
+    spans = pixels.join(groups, "g").select("pixel", (upto / total).alias("hi"))
+    # neighbours share their edge exactly, so every draw has one pixel
+    spans = _edges(spans)
+    last = F.lit(width - 1)
+    cells = spans.withColumn("c", F.explode(F.sequence(F.least(F.floor(F.col("lo") * width), last), F.least(F.floor(F.col("hi") * width), last))))
+    draws = spark.range(n).withColumn("u", uniform(seed, 0)).withColumn("c", F.floor(F.col("u") * width))
+    top = cells.agg(F.max("hi")).first()[0]
+    draws = draws.withColumn("u", F.least(F.col("u"), F.lit(math.nextafter(top, 0.0))))
+    got = draws.join(cells, "c").where("u >= lo and u < hi")
+    depth = 2 * (hp.FINEST - order)
+    sub = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(1), F.col("id")), 64 - depth) if depth else F.lit(0).cast("long")
+    ra, dec = hp.center(F.shiftleft(F.col("pixel"), depth) + sub, hp.FINEST)
+    return got.select("id", ra.alias("ra"), dec.alias("dec"))
+
+
+def _edges(spans: DataFrame) -> DataFrame:
+    """``lo`` of each span, the end of the one before, by groups of pixels and the groups' ends."""
+    g = F.shiftright("pixel", 12)
+    ends = spans.groupBy(g.alias("g")).agg(F.max("hi").alias("end"))
+    ends = ends.select("g", F.coalesce(F.lag("end").over(W.orderBy("g")), F.lit(0.0)).alias("start"))
+    inner = spans.withColumn("g", g).withColumn("prev", F.lag("hi").over(W.partitionBy("g").orderBy("pixel")))
+    return inner.join(ends, "g").select("pixel", "hi", F.coalesce("prev", "start").alias("lo"))

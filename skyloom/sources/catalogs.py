@@ -14,16 +14,24 @@ from pyspark.sql import functions as F
 
 from ..functions import sky
 from ..operators import patches
+from . import fits
 
 PARQUET = (".pq", ".pqt", ".parq", ".parquet")
+FITS = (".fits", ".cat")
+HDF = (".hdf5", ".hdf", ".h5")
 
 
-def opened(spark: SparkSession, path: str) -> DataFrame:
-    """The table at ``path``, by its suffix."""
+def opened(spark: SparkSession, path: str, hdu: int = 1) -> DataFrame:
+    """The table at ``path``, by its suffix; ``hdu`` is for FITS."""
     suffix = PurePosixPath(path).suffix.lower()
-    if suffix not in PARQUET:
+    if suffix in PARQUET:
+        return spark.read.parquet(path)
+    if suffix not in FITS + HDF:
         raise ValueError(f"unsupported file format: '{suffix}'")
-    return spark.read.parquet(path)
+    fits.register(spark)
+    if suffix in HDF:
+        return spark.read.format("skyhdf").load(path)
+    return spark.read.format("skyfits").option("hdu", hdu).load(path)
 
 
 def finite(df: DataFrame, name: str) -> Column:
