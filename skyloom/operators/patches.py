@@ -19,14 +19,16 @@ class InconsistentPatchesError(Exception):
 def nearest(x: Column, y: Column, z: Column, centers: list[tuple[float, float]]) -> Column:
     """Index of the nearest centre (ra, dec in radians); the first wins ties.
 
-    The centres are literals of the plan: they are as many as patches, and no join is needed.
+    The centres are one literal of the plan, and the expression is as long for many patches as for few: however
+    many patches there are, the generated code stays small where filters are pushed below it.
     """
-    rows = []
-    for k, (ra, dec) in enumerate(centers):
-        c = (math.cos(ra) * math.cos(dec), math.sin(ra) * math.cos(dec), math.sin(dec))
-        d = (x - c[0]) * (x - c[0]) + (y - c[1]) * (y - c[1]) + (z - c[2]) * (z - c[2])
-        rows.append(F.struct(d.alias("d"), F.lit(k).alias("k")))
-    return F.array_min(F.array(*rows))["k"]
+    rows = [F.struct(*[F.lit(v).alias(n) for v, n in zip((math.cos(ra) * math.cos(dec), math.sin(ra) * math.cos(dec), math.sin(dec)), "xyz")], F.lit(k).alias("k")) for k, (ra, dec) in enumerate(centers)]
+
+    def far(c: Column) -> Column:
+        dx, dy, dz = (v - c[n] for v, n in zip((x, y, z), "xyz"))
+        return F.struct((dx * dx + dy * dy + dz * dz).alias("d"), c["k"].alias("k"))
+
+    return F.array_min(F.transform(F.array(*rows), far))["k"]
 
 
 def assign(df: DataFrame, centers: list[tuple[float, float]]) -> DataFrame:

@@ -236,9 +236,9 @@ def _sets(s: SparkSession, d: str, kind: str) -> DataFrame:
 
 
 def sql_sets(keep: str) -> str:
-    return sql_cross(f""", {HIST}, both AS (SELECT 0 AS set, zbin, sample, value FROM corr UNION ALL SELECT 1, zbin, sample, value FROM hist)
+    return sql_cross(f""", {HIST}, joint AS (SELECT 0 AS set, zbin, sample, value FROM corr UNION ALL SELECT 1, zbin, sample, value FROM hist)
         SELECT a.set AS set_i, a.zbin AS zbin_i, b.set AS set_j, b.zbin AS zbin_j, round(CASE WHEN {keep} THEN covar_pop(a.value, b.value) * (count(*) - 1) ELSE 0e0 END, 5) AS cov
-        FROM both AS a JOIN both AS b USING (sample) WHERE sample >= 0 GROUP BY a.set, a.zbin, b.set, b.zbin""")
+        FROM joint AS a JOIN joint AS b USING (sample) WHERE sample >= 0 GROUP BY a.set, a.zbin, b.set, b.zbin""")
 
 
 def sql_scalar(kind: str, counts: str) -> str:
