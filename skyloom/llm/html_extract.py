@@ -5,9 +5,10 @@ every path of the page the text length and the punctuation of its nodes are
 added up; the ratios of both to the number of nodes are smoothed along the
 page (a Gaussian over neighbouring nodes), fused by their product, and paths
 over a share of the page's mean are content.  The article is the smallest
-container that holds most of the content paths' text: everything inside it in
-page order, but for what a page carries beside its text (navigation, headers,
-footers, asides, forms, adverts, notices, comments of readers).
+container that holds all text of the content paths, or the outermost article
+or main around it: everything inside it in page order, but for what a page
+carries beside its text (navigation, headers, footers, asides, forms, adverts,
+notices, comments of readers).
 
 Each page is worked on alone: no shuffle, and a page too long or badly closed
 only concerns its own task.
@@ -59,8 +60,8 @@ ENDS = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
 SIGMA = 1.0
 #: A path is content from this share of the page's mean fused ratio.
 SHARE = 0.5
-#: The container holds at least this share of the content paths' text.
-COVER = 0.8
+#: Elements within a text: what holds all of it is at least what is around them.
+PARTS = INLINE | frozenset("p li ul ol dl dt dd blockquote pre figure figcaption h1 h2 h3 h4 h5 h6".split())
 
 
 class Element:
@@ -155,25 +156,34 @@ def content_paths(own: list[tuple[Element, int, str]]) -> set[str]:
     return {p for p, f in means.items() if f >= limit}
 
 
+def around(held: list[Element]) -> Element | None:
+    """The smallest container of all of ``held``; the outermost article or main around it, if there is one."""
+    box = None
+    for e in held:
+        box = box or e
+        while box is not e:
+            if box.depth >= e.depth:
+                box = box.parent
+            else:
+                e = e.parent
+    while box is not None and box.tag in PARTS:
+        box = box.parent
+    up = box
+    while up is not None:
+        if up.tag in ("article", "main"):
+            box = up
+        up = up.parent
+    return box
+
+
 def extract(page: str | None) -> str:
     own = [(e, b, t) for e, b, t in nodes(page or "") if not e.beside and (t == " " or not t.isspace())]
     own = [x for x in own if not in_article_header(x[0])]
     solid = [x for x in own if x[2] != " "]
     chosen = content_paths(solid)
-    weight: dict[Element, int] = {}
-    total = 0
-    for e, _, t in solid:
-        if e.path in chosen:
-            total += len(t)
-            up = e
-            while up is not None:
-                weight[up] = weight.get(up, 0) + len(t)
-                up = up.parent
-    holders = [e for e, w in weight.items() if w >= COVER * total and e.tag not in INLINE and e.tag != "p"]
-    if not holders:
+    box = around([e for e, _, _ in solid if e.path in chosen])
+    if box is None:
         return ""
-    articles = [e for e in holders if e.tag in ("article", "main")]
-    box = max(articles or holders, key=lambda e: e.depth)
     parts: list[str] = []
     last = None
     for e, b, t in own:

@@ -168,6 +168,19 @@ def test_html():
     assert html_extract.extract(None) == html_extract.extract("") == html_extract.extract("<script>x") == ""
 
 
+
+def test_html_keeps_all_content():
+    short, long = "Short text, here. ", "A long text, with marks; and more. " * 9
+    for page in (
+        f"<div id=page><div><h1>Title</h1><p>{short}{short}</p></div><div><p>{long}</p></div></div>",
+        f"<main><article><h1>Title</h1><p>{short}{short}</p></article><article><p>{long}</p></article></main>",
+        f"<main><article><h1>Title</h1>{short}{short}</article><article><p>{long}</p><p>{long}</p></article></main>",
+        f"<div><h1>Title</h1><p>{short}{short}</p><blockquote><p>{long}</p></blockquote></div>",
+        f"<div><h1>Title</h1><p>{short}{short}</p><ul><li>{long}<li>{long}</ul></div>",
+    ):
+        assert html_extract.extract(page).startswith(f"Title {short}{short}{long}".strip()), page
+
+
 def test_pseudonyms():
     text = "a.b1@mail.example.com 4041894974608795 4041-8949-7460-8795 70.123.182.155 1987-03-12 123-45-6789 +1 (988) 555-2485 4041894974608796"
     new, found = pseudonyms.replaced(text)
