@@ -10,6 +10,13 @@ or main around it: everything inside it in page order, but for what a page
 carries beside its text (navigation, headers, footers, asides, forms, adverts,
 notices, comments of readers).
 
+Tags, and class, id or role values that say as a whole (also as all parts of a
+slug: ``site-footer``, not ``has-sidebar``) what is beside the text, drop an
+element; headings are never dropped by their names.  Names, forms, asides and
+headers are loose signs: on a page without an article or main outside of them,
+one that holds most of the content paths' text is a wrapper and stays.  A main
+is never beside the text, whatever is around it, unless it is hidden.
+
 Each page is worked on alone: no shuffle, and a page too long or badly closed
 only concerns its own task.
 
@@ -39,11 +46,16 @@ RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "
 #: Elements that flow within a line; all others begin a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that are never part of an article's text.
-ASIDE = frozenset("nav aside footer form button select option menu dialog fieldset".split())
-#: Words in class, id or role that say the same.
-BESIDE = re.compile(
-    r"(?<![a-z])(nav|navbar|navigation|menu|menus|breadcrumbs?|sidebar|side-bar|aside|footer|masthead|banner|ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|cookie|cookies|consent|notice|notices|popup|modal|newsletter|subscribe|subscription|signup|login|search|social|share|sharing|related|recommended|comment|comments|commentlist|disqus|replies|respond|widget|pagination|pager|toolbar|contentinfo|complementary|skip-link)(?![a-z])"
+ASIDE = frozenset("nav footer button select option menu dialog".split())
+#: Elements that are beside the text unless most of it is in them.
+LOOSE = frozenset("aside form fieldset header".split())
+#: Words in class, id or role that say the same, and those for comments of readers.
+BESIDE = frozenset(
+    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side-bar aside footer masthead banner ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent notice notices popup modal newsletter subscribe subscription signup login search social share sharing related recommended widget pagination pager toolbar contentinfo complementary skip-link".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+#: Words that go with them in a slug.
+WITH = frozenset("site page main post posts article articles top bottom left right header primary secondary list item items link links box bar block area section container wrapper wrap inner outer button buttons form text body title author meta content thread reply".split())
 HEADING = re.compile("h[1-6]$")
 #: Start tags that end an open paragraph.
 CLOSES_P = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul".split())
@@ -51,8 +63,11 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dd
 SCOPE = frozenset("article aside body div footer header html main nav section table td th".split())
 
 TAG = re.compile(r"<!--(.*?)(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<[!?][^>]*(?:>|\Z)|<(?=/?[a-zA-Z]?\Z)\S*\Z", re.S)
-NAMES = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$|/)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+NAMES = frozenset("class id role aria-label".split())
+#: Attributes that can matter.
+SOME = re.compile(r"class|id|role|aria|style|hidden", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？]")
 SPACES = re.compile(r"\s+")
 ENDS = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
@@ -65,19 +80,52 @@ PARTS = INLINE | frozenset("p li ul ol dl dt dd blockquote pre figure figcaption
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "beside", "article", "block", "depth")
+    __slots__ = ("tag", "parent", "path", "sign", "hidden", "out", "loose", "article", "depth")
 
-    def __init__(self, tag: str, parent: Element | None, beside: bool):
+    def __init__(self, tag: str, parent: Element | None, sign: str = ""):
         self.tag, self.parent = tag, parent
         self.path = f"{parent.path}/{tag}" if parent else tag
-        self.beside = beside
+        self.sign = sign
+        self.hidden = sign == "hidden" or bool(parent and parent.hidden)
+        up = None if tag == "main" else parent
+        self.out = self.hidden or sign == "out" or bool(up and up.out)
+        #: The outermost loose sign; what is inside goes with it.
+        self.loose: Element | None = (up and up.loose) or (self if sign == "loose" else None)
         self.article = tag in ("article", "main") or (parent.article if parent else False)
         self.depth = parent.depth + 1 if parent else 0
 
 
+def named(token: str, words: frozenset[str]) -> bool:
+    """Whether a class, id or role is one of ``words``, alone or in a slug without other words."""
+    if token in words:
+        return True
+    parts = re.split(r"[-_]+", token.strip("-_"))
+    return len(parts) > 1 and not words.isdisjoint(parts) and all(p in BESIDE or p in COMMENTS or p in WITH or p.isdigit() for p in parts)
+
+
+def sign_of(tag: str, attributes: str, in_article: bool) -> str:
+    """``hidden``; ``out`` for what is always beside the text; ``loose`` for what mostly is; else empty."""
+    tokens: list[str] = []
+    if attributes and SOME.search(attributes):
+        for name, value in ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), value.strip("\"'")
+            if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and UNSEEN.search(value):
+                return "hidden"
+            if name in NAMES:
+                tokens += ["-".join(value.lower().split())] if name == "aria-label" else value.lower().split()
+    if tag in ASIDE:
+        return "out"
+    if tag not in ("html", "body", "article", "main") and not HEADING.match(tag):
+        if any(named(t, COMMENTS) for t in tokens):
+            return "out"
+        if tag in LOOSE and not (tag == "header" and in_article) or any(named(t, BESIDE) for t in tokens):
+            return "loose"
+    return ""
+
+
 def nodes(page: str) -> list[tuple[Element, int, str]]:
     """Text nodes in page order: element, number of the block, raw text."""
-    root = Element("#", None, False)
+    root = Element("#", None)
     at, stack, out, block = 0, [root], [], 0
 
     def text(end: int) -> None:
@@ -121,12 +169,9 @@ def nodes(page: str) -> list[tuple[Element, int, str]]:
                 if stack[k].tag in SCOPE or stack[k].tag in ("ul", "ol", "dl"):
                     break
         up = stack[-1]
-        attributes = m[4]
-        names = " ".join(NAMES.findall(attributes)).lower() if attributes else ""
-        beside = up.beside or tag in ASIDE or tag == "header" and not up.article or bool(names) and tag not in ("html", "body", "article", "main") and bool(BESIDE.search(names)) or bool(attributes) and bool(HIDDEN.search(attributes))
         if m[4].endswith("/") and tag not in INLINE and tag not in SCOPE:
             continue
-        stack.append(Element(tag, up, beside))
+        stack.append(Element(tag, up, sign_of(tag, m[4], up.article)))
     text(len(page))
     return out
 
@@ -176,9 +221,42 @@ def around(held: list[Element]) -> Element | None:
     return box
 
 
+def wrappers(own: list[tuple[Element, int, str]]) -> set[Element]:
+    """Elements with a loose sign that hold most of the content paths' text, on a page without an article or main outside of such."""
+    solid = [x for x in own if x[2] != " "]
+    if all(e.loose is None for e, _, _ in solid) or any(e.article and e.loose is None for e, _, _ in solid):
+        return set()
+    chosen = content_paths(solid)
+    weight: dict[Element, int] = {}
+    total = 0
+    for e, _, t in solid:
+        if e.path in chosen:
+            total += len(t)
+            up = e
+            while up is not None:
+                if up.sign == "loose":
+                    weight[up] = weight.get(up, 0) + len(t)
+                up = up.parent
+    return {e for e, w in weight.items() if 2 * w > total}
+
+
+def beside(e: Element, kept: set[Element]) -> bool:
+    """Whether an element with a loose sign is around ``e`` that isn't among ``kept``; a main ends the way up."""
+    if e.loose is None:
+        return False
+    up: Element | None = e
+    while up is not None and up.tag != "main":
+        if up.sign == "loose" and up not in kept:
+            return True
+        up = up.parent
+    return False
+
+
 def extract(page: str | None) -> str:
-    own = [(e, b, t) for e, b, t in nodes(page or "") if not e.beside and (t == " " or not t.isspace())]
+    own = [(e, b, t) for e, b, t in nodes(page or "") if not e.out and (t == " " or not t.isspace())]
     own = [x for x in own if not in_article_header(x[0])]
+    kept = wrappers(own)
+    own = [x for x in own if not beside(x[0], kept)]
     solid = [x for x in own if x[2] != " "]
     chosen = content_paths(solid)
     box = around([e for e, _, _ in solid if e.path in chosen])
@@ -206,7 +284,7 @@ def in_article_header(e: Element) -> bool:
     heading = False
     while e is not None:
         heading = heading or bool(HEADING.match(e.tag))
-        if e.tag == "header":
+        if e.tag == "header" and e.sign != "loose":
             return not heading
         e = e.parent
     return False

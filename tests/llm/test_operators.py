@@ -181,6 +181,24 @@ def test_html_keeps_all_content():
         assert html_extract.extract(page).startswith(f"Title {short}{short}{long}".strip()), page
 
 
+
+def test_html_signs():
+    text = "A long text, with marks; and more. " * 5
+    want = f"Title {text}".strip()
+    body = f"<h1>Title</h1><p>{text}</p>"
+    for page in (
+        f'<div class="layout has-sidebar"><article>{body}</article><div class="sidebar">no</div></div>',
+        f"<form><div>{body}</div><div class=site-footer>no</div></form>",
+        f"<header>{body}<div class=ads>no</div>",
+        f'<div class="widget"><article>{body}</article></div><div class="related-posts"><a>no</a></div>',
+        f'<div class="widget"><main>{body}</main></div><div class="comment-list"><p>No, {text * 9}</p></div>',
+        f'<article><h2 id="search">Title</h2><p title="a hidden gem" data-id="ad">{text}</p><p hidden>no</p></article>',
+        f'<article><h2 id="social-impact">Title</h2><div class="md:block hidden lg:flex">{text}</div><i aria-hidden="true">no</i></article>',
+        f"<article>{body}</article><div class=ad>No, no, {text * 9}</div><nav>no</nav>",
+    ):
+        assert html_extract.extract(page) == want, page
+
+
 def test_pseudonyms():
     text = "a.b1@mail.example.com 4041894974608795 4041-8949-7460-8795 70.123.182.155 1987-03-12 123-45-6789 +1 (988) 555-2485 4041894974608796"
     new, found = pseudonyms.replaced(text)
