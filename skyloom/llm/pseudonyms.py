@@ -14,7 +14,8 @@ Texts are worked on row by row: no shuffle, and nothing is kept between rows
 but a cache of values.
 
 Edge cases: a null text stays null, an empty one empty; numbers that fail
-validation are left as they are; overlapping finds go to the one that begins
+validation are left as they are, and so are parts of longer numbers (``inside``);
+a comma always ends a value.  Overlapping finds go to the one that begins
 first, then in the order of ``KINDS``.  Rows repeat; columns other than the id
 and the text are not carried.
 """
@@ -48,7 +49,23 @@ KINDS = {
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "phone": r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}[ .-]?(?:\(?[0-9]{1,4}\)?[ .-]?){1,4}[0-9]{2,4}|[2-9][0-9]{2}-[0-9]{4}",
 }
-FIND = re.compile(r"(?<![A-Za-z0-9_])(?<![0-9][.,/-])(?:" + "|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()) + r")(?![A-Za-z0-9_])(?![.,/-][0-9])")
+SETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+BEGIN, END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+FIND = re.compile(BEGIN + "(?:" + "|".join(KINDS.values()) + ")" + END)
+EACH = {k: re.compile(f"(?:{p}){END}") for k, p in KINDS.items()}
+
+
+def inside(kind: str, text: str, at: int, end: int) -> bool:
+    """Whether the value goes on as a longer number: a digit beyond a separator that the kind is written with."""
+    value = text[at:end]
+    if kind in ("email", "iban"):
+        return False
+    if kind == "card":
+        marks = "." if value.isdigit() else "-" if "-" in value else ""
+    else:
+        marks = {"ip": ".", "ssn": "-", "phone": "-."}.get(kind) or next(c for c in value if not c.isdigit())
+    return at > 1 and text[at - 1] in marks and text[at - 2] in SETS[0] or end + 1 < len(text) and text[end] in marks and text[end + 1] in SETS[0]
+
 
 
 class Feistel:
@@ -105,9 +122,6 @@ def put(form: str, digits: list[int]) -> str:
     return "".join(str(next(it)) if c.isdigit() else c for c in form)
 
 
-SETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-
-
 def letters(key: bytes, kind: str, text: str, undo: bool) -> str:
     """Each letter and digit becomes one of its own kind; others stay."""
     own = [next((s for s in SETS if c in s), None) for c in text]
@@ -177,16 +191,23 @@ def pseudonym(kind: str, value: str, key: bytes, undo: bool = False) -> str | No
 def replaced(text: str, key: bytes = KEY, undo: bool = False) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many values of each kind were found."""
     found: dict[str, int] = {}
-
-    def one(m: re.Match) -> str:
-        kind = m.lastgroup
-        new = pseudonym(kind, m[0], key, undo)
-        if new is None:
-            return m[0]
-        found[kind] = found.get(kind, 0) + 1
-        return new
-
-    return FIND.sub(one, text), found
+    out: list[str] = []
+    done = pos = 0
+    while m := FIND.search(text, pos):
+        at = m.start()
+        pos = at + 1
+        for kind, pattern in EACH.items():
+            v = pattern.match(text, at)
+            if v is None or inside(kind, text, at, v.end()):
+                continue
+            pos = v.end()
+            new = pseudonym(kind, v[0], key, undo)
+            if new is not None:
+                found[kind] = found.get(kind, 0) + 1
+                out += [text[done:at], new]
+                done = pos
+            break
+    return "".join(out) + text[done:], found
 
 
 def pseudonymised(docs: DataFrame, key: bytes = KEY, undo: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

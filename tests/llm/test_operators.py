@@ -209,6 +209,20 @@ def test_pseudonyms():
     assert sorted(f.permute(k) for k in range(97)) == list(range(97)) and all(f.permute(k) != k for k in range(97))
 
 
+
+def test_pseudonyms_beside_separators():
+    groups = {
+        "ssn": "123-45-6789,887-65-4320,111-22-3333", "card": "4041894974608795,4041-8949-7460-8795,4041894974608795/12", "ip": "70.123.182.155,70.123.182.0/24,70.1.2.3-70.1.2.9",
+        "date": "1987-03-12/1987-04-30,12.03.1987-30.04.1987,03/12/1987-04/30/1987", "phone": "988-555-2485,(988) 555-2485,555-2485/555-2486", "email": "1,a@b.example,2/c@d.example",
+    }
+    for kind, text in groups.items():
+        new, found = pseudonyms.replaced(text)
+        assert found == {kind: {"ssn": 3, "card": 3, "ip": 4, "date": 6, "phone": 4, "email": 2}[kind]}, (text, new)
+        assert pseudonyms.replaced(new, undo=True)[0] == text
+    for text in ("1.70.123.182.155", "70.123.182.155.1", "1-123-45-6789", "123-45-6789-1", "1987-03-12-4", "0.4041894974608795", "1-4041-8949-7460-8795"):
+        assert pseudonyms.replaced(text) == (text, {})
+
+
 def test_classifier(spark, docs, empty):
     labels = spark.createDataFrame([(k, int(k % 2), 0) for k in range(40)] + [(None, 1, 0), (3, None, 0), (9999, 1, 0)], "doc_id bigint, quality int, toxic int")
     got = quality_classifier.scored(docs, quality_classifier.train(docs, labels)).collect()
