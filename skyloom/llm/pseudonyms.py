@@ -15,8 +15,11 @@ but a cache of values.
 
 Edge cases: a null text stays null, an empty one empty; numbers that fail
 validation are left as they are, and so are parts of longer numbers (``inside``);
-a comma always ends a value.  Overlapping finds go to the one that begins
-first, then in the order of ``KINDS``.  Rows repeat; columns other than the id
+a comma always ends a value.  Where a match fails, shorter ends of it and then
+the other kinds at the same place are tried; an IBAN that can end where its
+country's length says ends there.  Overlapping finds go to the one that begins first, then
+in the order of ``KINDS``; what is within a match that fails to its end is no
+value.  Rows repeat; columns other than the id
 and the text are not carried.
 """
 
@@ -54,6 +57,12 @@ BEGIN, END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 FIND = re.compile(BEGIN + "(?:" + "|".join(KINDS.values()) + ")" + END)
 EACH = {k: re.compile(f"(?:{p}){END}") for k, p in KINDS.items()}
 
+#: Lengths of IBANs by country; those of others have any.
+IBAN = {
+    t[:2]: int(t[2:])
+    for t in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30".split()
+}
+
 
 def inside(kind: str, text: str, at: int, end: int) -> bool:
     """Whether the value goes on as a longer number: a digit beyond a separator that the kind is written with."""
@@ -68,6 +77,20 @@ def inside(kind: str, text: str, at: int, end: int) -> bool:
 
 
 
+def ends(kind: str, text: str, at: int) -> list[int]:
+    """Where values of a kind that begin at ``at`` can end: the longest first; an IBAN only at its country's length if it can end there."""
+    out: list[int] = []
+    v = EACH[kind].match(text, at)
+    while v:
+        if v.end() == len(text) or not (text[v.end()].isascii() and (text[v.end()].isalnum() or text[v.end()] == "_")):
+            out.append(v.end())
+        v = EACH[kind].match(text, at, v.end() - 1)
+    if kind == "iban":
+        right = [end for end in out if len(text[at:end].replace(" ", "")) == IBAN.get(text[at : at + 2])]
+        out = right or out
+    return out
+
+
 class Feistel:
     """A keyed permutation of 0..n-1 without fixed points (for n > 1), and its inverse."""
 
@@ -196,17 +219,16 @@ def replaced(text: str, key: bytes = KEY, undo: bool = False) -> tuple[str, dict
     while m := FIND.search(text, pos):
         at = m.start()
         pos = at + 1
-        for kind, pattern in EACH.items():
-            v = pattern.match(text, at)
-            if v is None or inside(kind, text, at, v.end()):
+        for kind, end in ((k, e) for k in EACH for e in ends(k, text, at)):
+            if inside(kind, text, at, end):
                 continue
-            pos = v.end()
-            new = pseudonym(kind, v[0], key, undo)
+            pos = max(pos, end)
+            new = pseudonym(kind, text[at:end], key, undo)
             if new is not None:
                 found[kind] = found.get(kind, 0) + 1
                 out += [text[done:at], new]
-                done = pos
-            break
+                done = pos = end
+                break
     return "".join(out) + text[done:], found
 
 

@@ -223,6 +223,17 @@ def test_pseudonyms_beside_separators():
         assert pseudonyms.replaced(text) == (text, {})
 
 
+
+def test_pseudonyms_try_shorter_ends():
+    for value in ("BE68 5390 0754 7034", "NO93 8601 1117 947", "GB82 WEST 1234 5698 7654 32"):
+        for tail in ("", " EUR", " 12", " PAID TO", " 1234 5678", ","):
+            new, found = pseudonyms.replaced(value + tail)
+            assert found == {"iban": 1} and new != value + tail and new.endswith(tail) and len(new) == len(value + tail), (value, tail, new)
+            assert pseudonyms.replaced(new, undo=True)[0] == value + tail
+    assert pseudonyms.replaced("BE68 5390 0754 7035 EUR") == ("BE68 5390 0754 7035 EUR", {})
+    assert pseudonyms.replaced("+49 3012 3456 7890 1234 5678")[1] == {"phone": 1}
+
+
 def test_classifier(spark, docs, empty):
     labels = spark.createDataFrame([(k, int(k % 2), 0) for k in range(40)] + [(None, 1, 0), (3, None, 0), (9999, 1, 0)], "doc_id bigint, quality int, toxic int")
     got = quality_classifier.scored(docs, quality_classifier.train(docs, labels)).collect()
