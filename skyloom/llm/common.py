@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,3 +82,24 @@ def by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """``docs`` joined with a table that has doc_id; that table goes to all tasks only if it has few rows."""
     ids = stored(ids, "by-id")
     return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", how)
+
+
+#: Ids from here on are given to rows without one; so that they can be told apart, tables with null ids may not use them.
+OWN_IDS = 2**62
+
+
+def with_own_ids(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``stage``, which joins by doc_id, makes of ``docs``, with rows of a null doc_id as documents of their own.
+
+    While the stage runs they have ids made of 61 bits of a hash of all columns, above all others; equal rows without
+    an id are rows with the same id.  The result has null again.
+    """
+    kind = docs.schema["doc_id"].dataType
+    null, most = docs.agg(F.count_if(F.col("doc_id").isNull()), F.max(F.col("doc_id").cast("long"))).first()
+    if not null:
+        return stage(docs)
+    if most is not None and most >= OWN_IDS:
+        raise ValueError(f"doc_id: {most} beside null ids; ids must be below {OWN_IDS}")
+    own = F.lit(OWN_IDS) + F.xxhash64(*docs.columns).bitwiseAND(F.lit(2**61 - 1))
+    rows = stage(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), own)))
+    return rows.withColumn("doc_id", F.when(F.col("doc_id") < OWN_IDS, F.col("doc_id")).cast(kind))

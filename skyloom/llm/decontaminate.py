@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_id, stored, table
+from .common import by_id, stored, table, with_own_ids
 
 WINDOW = 10
 #: Text of one block of the index.
@@ -241,9 +241,13 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, slop:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those in which a window of an item occurs."""
-    found = contamination(docs, items).where("size(items) > 0").select("doc_id").distinct()
-    return by_id(docs, found, "left_anti")
+    """The rows of ``docs`` without those in which a window of an item occurs, and others with their doc_id; rows with a null doc_id each by themselves."""
+
+    def clean(rows: DataFrame) -> DataFrame:
+        found = contamination(rows, items).where("size(items) > 0").select("doc_id").distinct()
+        return by_id(rows, found, "left_anti")
+
+    return with_own_ids(docs, clean)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import by_id, stored, table, words
+from .common import by_id, stored, table, with_own_ids, words
 
 WEIGHTS = (5, 2, 1)
 #: No document is taken more often.
@@ -143,7 +143,11 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it.  Rows with the same doc_id are taken alike."""
+    """The rows of ``docs``, each as often as the mix takes it.  Rows with the same doc_id are taken alike; rows with a null doc_id each by themselves, equal ones alike."""
+    return with_own_ids(docs, mixed_by_id)
+
+
+def mixed_by_id(docs: DataFrame) -> DataFrame:
     copies = mix(sized(docs)).where("taken > 0").groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_copies"))
     rows = by_id(docs, copies, "inner")
     return rows.withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(*docs.columns)

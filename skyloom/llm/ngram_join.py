@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FEW_IDS, by_id, dropped, stored, table
+from .common import FEW_IDS, by_id, dropped, stored, table, with_own_ids
 from .components import components
 
 WIDTH = 5
@@ -450,8 +450,14 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those that link, directly or not, to one with a smaller doc_id.
 
-    Rows with the same doc_id are one document.
+    Rows with the same doc_id are one document.  A null doc_id counts as larger than
+    any: such a row goes if it links to one with an id, and of those that only link
+    to each other one is left; equal rows without an id are one document.
     """
+    return with_own_ids(docs, unique_by_id)
+
+
+def unique_by_id(docs: DataFrame) -> DataFrame:
     found = joined(docs)
     gone = found.where("doc_id <> component_id").select("doc_id")
     more = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")

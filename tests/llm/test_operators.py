@@ -242,6 +242,21 @@ def test_classifier(spark, docs, empty):
     assert quality_classifier.scored(empty, quality_classifier.train(empty, labels)).count() == 0
 
 
+
+def test_stages_with_null_ids(spark):
+    one, two, three = (" ".join(f"{w}{k}" for k in range(40)) for w in ("alpha", "beta", "gamma"))
+    rows = [(1, one, "en", "a", 0), (None, one, "en", "b", 0), (None, two, "en", "a", 0), (None, two, "en", "b", 0), (None, three, "en", "a", 0), (None, None, "en", "a", 0), (2, None, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((r.doc_id or 0, r.text or "") for r in ngram_join.deduplicated(docs).collect()) == [(0, ""), (0, two), (0, three), (1, one), (2, "")]
+    items = spark.createDataFrame([(1, two)], "item_id bigint, text string")
+    clean = decontaminate.decontaminated(docs, items)
+    assert sorted((r.doc_id or 0, r.text or "") for r in clean.collect()) == [(0, ""), (0, one), (0, three), (1, one), (2, "")] and clean.schema["doc_id"] == docs.schema["doc_id"]
+    same = spark.createDataFrame([(None if k % 2 else k, f"{one} {k}", "en", "a", 0) for k in range(8)], SCHEMA)
+    assert sorted(r.text for r in mixing.mixed_rows(same).collect()) == sorted(r.text for r in same.collect())
+    with pytest.raises(ValueError, match="doc_id"):
+        mixing.mixed_rows(spark.createDataFrame([(None, one, "en", "a", 0), (2**62, two, "en", "a", 0)], SCHEMA))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
