@@ -16,7 +16,9 @@ Words are ``[0-9a-z]`` and everything beyond ASCII, after lower-casing A-Z;
 they are cut from the UTF-8 bytes.
 
 Edge cases: a null or empty text has no words and no hits; an item without
-words has no windows and occurs nowhere; repeated item ids count once;
+words has no windows and occurs nowhere; repeated item ids count once; an item
+with a null id is searched like others, its hits count and contaminate, only
+``items`` leaves it out (``ORACLE_SQL`` has no such items);
 repeated documents are reported each.  Empty tables give empty results, no
 items give no hits.
 """
@@ -163,7 +165,7 @@ class Postings:
 class Windows:
     """The items' windows, grouped by length, as global term ids."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], width: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes | None]], width: int = WINDOW):
         vocabulary: dict[bytes, int] = {}
         by: dict[int, dict[tuple[int, ...], list[int]]] = {}
         self.items = [i for i, _ in items]
@@ -176,9 +178,9 @@ class Windows:
         self.groups = [(np.array(list(w), np.int64), [sorted(set(x)) for x in w.values()]) for w in by.values()]
 
 
-def search(index: DataFrame, items: list[tuple[str, bytes | None]], width: int = WINDOW, slop: int | None = None) -> DataFrame:
+def search(index: DataFrame, items: list[tuple[str | None, bytes | None]], width: int = WINDOW, slop: int | None = None) -> DataFrame:
     """Every document of the index: block, place in it, doc_id, n_words, ``spans`` of hit
-    words [start, end) without overlaps, and the ids of the items that occur.
+    words [start, end) without overlaps, and the ids of the items that occur, without null.
 
     With ``slop``, proximity matches: a span is the place of a window's rarest term.
     """
@@ -198,7 +200,7 @@ def search(index: DataFrame, items: list[tuple[str, bytes | None]], width: int =
                     np.add.at(edge, at + (matrix.shape[1] if slop is None else 1), -1)
                     doc = np.searchsorted(p.starts, at, "right") - 1
                     for d, w in set(zip(doc.tolist(), which.tolist())):
-                        got.setdefault(d, set()).update(windows.items[k] for k in owners[w])
+                        got.setdefault(d, set()).update(windows.items[k] for k in owners[w] if windows.items[k] is not None)
                 spans: dict[int, list[list[int]]] = {}
                 if got:
                     step = np.diff(np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8)]))
@@ -214,13 +216,13 @@ def search(index: DataFrame, items: list[tuple[str, bytes | None]], width: int =
     return index.mapInArrow(find, "block string, place int, doc_id bigint, n_words bigint, spans array<array<int>>, items array<string>")
 
 
-def item_chunks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> Iterator[list[tuple[str, bytes | None]]]:
+def item_chunks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> Iterator[list[tuple[str | None, bytes | None]]]:
     """The items in chunks of about ``chunk_bytes``, so that what tasks get is bounded."""
-    rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t")).where("i is not null")
+    rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t"))
     size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     n = 1 + size // chunk_bytes
     for k in range(n):
-        yield [(r.i, bytes(r.t) if r.t is not None else None) for r in rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()]
+        yield [(r.i, bytes(r.t) if r.t is not None else None) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, slop: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -231,7 +233,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, slop:
         return parts[0].select("doc_id", "n_words", "spans", "items")
     every = parts[0]
     for p in parts[1:]:
-        every = every.unionByName(p.where(F.size("items") > 0))
+        every = every.unionByName(p.where(F.size("spans") > 0))
     joined = every.groupBy("block", "place").agg(
         F.first("doc_id", True).alias("doc_id"), F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
@@ -244,7 +246,7 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those in which a window of an item occurs, and others with their doc_id; rows with a null doc_id each by themselves."""
 
     def clean(rows: DataFrame) -> DataFrame:
-        found = contamination(rows, items).where("size(items) > 0").select("doc_id").distinct()
+        found = contamination(rows, items).where("size(spans) > 0").select("doc_id").distinct()
         return by_id(rows, found, "left_anti")
 
     return with_own_ids(docs, clean)

@@ -97,6 +97,17 @@ def test_decontamination(spark, docs, empty):
     assert [r.doc_id for r in near.where("size(items) > 0").collect()] == [4]
 
 
+
+def test_decontamination_null_item(spark):
+    one, two = (" ".join(f"{w}{k}" for k in range(30)) for w in ("alpha", "beta"))
+    docs = spark.createDataFrame([(1, one, "en", "a", 0), (2, two, "en", "a", 0), (3, "gamma", "en", "a", 0)], SCHEMA)
+    items = spark.createDataFrame([(None, " ".join(one.split()[5:20])), (None, " ".join(two.split()[:12])), (7, " ".join(two.split()[:10]))], "item_id bigint, text string")
+    for chunk_bytes in (decontaminate.CHUNK_BYTES, 8):
+        got = {r.doc_id: (r.spans, r["items"]) for r in decontaminate.contamination(docs, items, chunk_bytes=chunk_bytes).collect()}
+        assert got == {1: ([[5, 20]], []), 2: ([[0, 12]], ["7"]), 3: ([], [])}
+    assert [r.doc_id for r in decontaminate.decontaminated(docs, items).collect()] == [3]
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(mixing.sized(docs)).collect()
     assert all(r.taken in (0, r.size, 2 * r.size, 3 * r.size) for r in got)
