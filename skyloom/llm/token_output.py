@@ -30,9 +30,11 @@ from __future__ import annotations
 
 import gc
 import heapq
+import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -47,13 +49,15 @@ END = 2
 LIMIT = 18
 STRIDE = 512
 BLOCK_IDS = 1_000_000
-#: Words whose ids a task remembers; the frequent ones come early.
-KNOWN_WORDS = 150_000
+#: Words whose ids a worker process remembers; the frequent ones come early.
+KNOWN_WORDS = 600_000
+#: Text that is encoded at once, and that a range of document ids has on average.
+ENCODE_BYTES, RANGE_BYTES = 8_000_000, 256_000_000
 #: A private-use character: by its bytes, only itself has its ids.
 BETWEEN = "\ue000"
 
 #: One run of letters that lower-casing and NFC treat one by one, and ASCII marks after it (but the apostrophe), which are a word of their own.
-SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+SIMPLE = "^(?P<w>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)(?P<s>[!-&(-/:-@\\[-`{-~]*)$"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -62,6 +66,37 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def expanded(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indexes of stretches, one after another."""
+    ends = np.cumsum(sizes)
+    kind = np.int32 if len(ends) and max(ends[-1], starts.max()) < 2**31 - 1 else np.int64
+    at = np.repeat((starts - ends + sizes).astype(kind), sizes)
+    at += np.arange(len(at), dtype=kind)
+    return at
+
+
+class Memory:
+    """Words and their ids, as arrays; words beyond ``KNOWN_WORDS`` are learnt again each time."""
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.learn = learn
+        self.words, self.ids, self.sizes = pa.array([""], pa.string()), np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words that were needed, and where those of each of ``words`` begin and how many they are."""
+        at = pc.index_in(words, value_set=self.words)
+        ids, sizes = self.ids, self.sizes
+        places = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if at.null_count:
+            missing = words.filter(at.is_null())
+            more, own = self.learn(missing.to_pylist())
+            places[places < 0] = np.arange(len(sizes), len(sizes) + len(own))
+            ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, own])
+            if len(self.sizes) < KNOWN_WORDS:
+                self.words, self.ids, self.sizes = pa.concat_arrays([self.words, missing]), ids, sizes
+        return ids, (np.cumsum(sizes) - sizes)[places], sizes[places]
+
+
 class Encoder:
     """Ids of whole texts, as the tokenizer gives them.
 
@@ -73,28 +108,51 @@ class Encoder:
     in lower case, so the library encodes them with the same model but without
     the normaliser and the word pattern.  All other parts are encoded many at a
     time as well, with a character between them that none of them has.
+
+    This holds for tokenizers of ``NORMALISER`` and ``WORDS`` with ends of words;
+    with any other one the library encodes the texts as they are.
     """
 
+    NORMALISER = ["NFC", "Replace", "Lowercase"]
+    WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
     def __init__(self, path: str):
         # a task has one core; each thread of the library would keep memory of its own
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.size = self.tokenizer.get_vocab_size()
+        self.by_words = self.splits_words(json.loads(Path(path).read_text()))
+        if not self.by_words:
+            return
         self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.between = self.plain([BETWEEN])[0]
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends = np.zeros(self.size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.known: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {"": b""}
+        self.letters, self.stops, self.others = Memory(self.learn_letters), Memory(self.learn_plain), Memory(self.learn_apart)
+
+    def splits_words(self, form: dict) -> bool:
+        """Whether a tokenizer's file says what ``encode`` relies on."""
+        normaliser, words, model = form.get("normalizer") or {}, (form.get("pre_tokenizer") or {}).get("pretokenizers") or [{}], form["model"]
+        return (
+            [n["type"] for n in normaliser.get("normalizers", [])] == self.NORMALISER and [w.get("type") for w in words] == ["Split", "ByteLevel"]
+            and words[0]["pattern"] == {"Regex": self.WORDS} and words[0]["behavior"] == "Removed" and words[0]["invert"] and not words[1]["add_prefix_space"] and not words[1]["use_regex"]
+            and model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["dropout"] and not any(form.get(k) for k in ("truncation", "padding", "post_processor"))
+            and all(not (t["lstrip"] or t["rstrip"] or t["normalized"]) and not re.search(r"\s", t["content"]) for t in form["added_tokens"]))
 
     def plain(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
-    def apart(self, parts: list[str]) -> Iterator[bytes]:
-        """Ids of each of ``parts``, which have no white space inside or at their ends that ASCII has."""
+    def learn_plain(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        own = self.plain(parts)
+        return np.concatenate(own), np.array([len(x) for x in own], np.int64)
+
+    def learn_apart(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts that have no white space inside or at their ends that ASCII has."""
+        out, sizes = [], []
         groups = [parts[i : i + 100] for i in range(0, len(parts), 100)]
         n = len(self.between)
         for group, ids in zip(groups, self.plain([f" {BETWEEN} ".join(g) for g in groups])):
@@ -103,69 +161,78 @@ class Encoder:
                 hit &= ids[k : k + len(hit)] == one
             cuts = np.flatnonzero(hit)
             if len(cuts) != len(group) - 1:  # a part has the character
-                yield from (x.tobytes() for x in self.plain(group))
-                continue
-            data, at = ids.tobytes(), 0
-            for c in cuts.tolist():
-                yield data[at * 4 : c * 4]
-                at = c + n
-            yield data[at * 4 :]
-
-    def learn(self, parts: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of parts that aren't known."""
-        out, simple, rest = {}, [], []
-        for p in parts:
-            t = p.decode()
-            if m := SIMPLE.fullmatch(t):
-                w, stop = m.groups()
-                simple.append((p, w.lower(), stop))
+                ids, own = self.learn_plain(group)
             else:
-                rest.append(t)
-        new = list({w: None for _, w, _ in simple if w not in self.letters})
-        own = self.letters
-        fresh: dict[str, bytes] = {}
-        groups = [new[i : i + 500] for i in range(0, len(new), 500)]
+                own = np.diff(np.concatenate([[-n], cuts, [len(ids)]])) - n
+                ids = np.delete(ids, (cuts[:, None] + np.arange(n)).ravel())
+            out.append(ids)
+            sizes.append(own)
+        return np.concatenate(out), np.concatenate(sizes)
+
+    def learn_letters(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out, sizes = [], []
+        groups = [parts[i : i + 500] for i in range(0, len(parts), 500)]
         for group, ids in zip(groups, self.plain([" ".join(g) for g in groups], self.words)):
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(group):
-                for w, one in zip(group, self.plain(group)):
-                    fresh[w] = one.tobytes()
-                continue
-            data, last = ids.tobytes(), 0
-            for w, c in zip(group, (cuts * 4).tolist()):
-                fresh[w] = data[last:c]
-                last = c
-        stops = [s for s in dict.fromkeys(s for _, _, s in simple) if s not in self.letters]
-        fresh.update(zip(stops, (x.tobytes() for x in self.plain(stops))))
-        for p, w, s in simple:
-            out[p] = (fresh.get(w) or own[w]) + (fresh[s] if s in fresh else own[s])
-        out.update((t.encode(), x) for t, x in zip(rest, self.apart(rest)))
-        if len(self.letters) < KNOWN_WORDS:
-            self.letters.update(fresh)
-        return out
+            own = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            if len(own) != len(group):
+                ids, own = self.learn_plain(group)
+            out.append(ids)
+            sizes.append(own)
+        return np.concatenate(out), np.concatenate(sizes)
 
     def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
-        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not self.by_words:
+            return self.plain(texts.to_pylist())
+        split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        parts = words.dictionary.cast(pa.binary()).to_pylist()
-        ids = list(map(self.known.get, parts))
-        if missing := [k for k, x in enumerate(ids) if x is None]:
-            more = self.learn([parts[k] for k in missing])
-            for k in missing:
-                ids[k] = more[parts[k]]
-            if len(self.known) < KNOWN_WORDS:
-                self.known.update(more)
-        own, codes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2, words.indices.to_numpy()
-        n = own[codes]
-        ends = np.cumsum(n)
-        at = np.repeat((np.cumsum(own) - own)[codes] - ends + n, n)
-        at += np.arange(len(at))
-        out = np.frombuffer(b"".join(ids), np.uint32)[at]
-        cuts = np.concatenate([[0], ends])[split.offsets.to_numpy()].tolist()
+        simple = pc.extract_regex(words.dictionary, SIMPLE)
+        ok = simple.is_valid()
+        simple = simple.filter(ok)
+        letters, stops = pc.utf8_lower(simple.field("w")).dictionary_encode(), simple.field("s").dictionary_encode()
+        # each part has two stretches of ids: those of its letters or of all of it, and of the stops
+        starts, sizes = np.zeros((len(ok), 2), np.int64), np.zeros((len(ok), 2), np.int64)
+        ok = ok.to_numpy(zero_copy_only=False)
+        found, base = [], 0
+        for memory, own, rows, col, codes in (
+            (self.letters, letters.dictionary, ok, 0, letters.indices), (self.stops, stops.dictionary, ok, 1, stops.indices),
+            (self.others, words.dictionary.filter(pa.array(~ok)), ~ok, 0, None),
+        ):
+            ids, at, n = memory.look_up(own)
+            if codes is not None:
+                at, n = at[codes.to_numpy()], n[codes.to_numpy()]
+            starts[rows, col], sizes[rows, col] = at + base, n
+            found.append(ids)
+            base += len(ids)
+        parts = np.concatenate(found)[expanded(starts.ravel(), sizes.ravel())]
+        sizes = sizes.sum(1)
+        codes = words.indices.to_numpy()
+        n = sizes[codes]
+        out = parts[expanded((np.cumsum(sizes) - sizes)[codes], n)]
+        cuts = np.concatenate([[0], np.cumsum(n)])[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
         return [out[x:y] for x, y in zip(cuts, cuts[1:])]
 
 
+ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The process's encoder: tasks that follow each other in a worker share what it remembers."""
+    if path not in ENCODERS:
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
+
+
+def by_bytes(batch: pa.RecordBatch, column: str, most: int = ENCODE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` with about ``most`` bytes of ``column`` each, one row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def counted(ids: DataFrame, kind: str) -> dict[int, int]:
     """How often each id occurs in the stored ids."""
 
@@ -284,28 +351,34 @@ SCHEMA = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("ids", pa.list
 
 
 def store_ids(docs: DataFrame, folder: str, path: str, kind: str, end: int) -> DataFrame:
-    """part, first, doc_id, n and ids of each document, in the order of ``first`` within a part."""
+    """part, first, doc_id, n and ids of each document, in the order of ``first`` within a part.
+
+    A part is a range of ids, as many as the text's size asks for.  An id that fills several ranges has its rows dealt to them by their text.
+    """
     spark = docs.sparkSession
-    n = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20 * n)).first()[0] or []
-    part = F.coalesce(F.size(F.filter(F.lit(sorted(set(cuts))).cast("array<bigint>"), lambda x: x < F.col("doc_id"))), F.lit(0))
+    key = F.coalesce("doc_id", F.lit(-(2**63)))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(partitions(spark), -(-size // RANGE_BYTES))
+    cuts = np.array(docs.agg(F.percentile_approx(key, [k / n for k in range(1, n)] or [0.5], 20 * n)).first()[0] or [], np.int64)
+    docs = docs.select("doc_id", "text", key.alias("key"), F.xxhash64("text").alias("salt"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = Encoder(path), np.array([end], kind).tobytes()
+        encoder, last = encoder_of(path), np.array([end], kind).tobytes()
         gc.disable()  # many small objects, no cycles
         try:
             for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    part = batch.slice(at, 1000)
-                    own = [x.astype(kind).tobytes() + last for x in encoder.encode(part.column("text"))]
-                    n = pa.array([len(x) // len(last) for x in own], pa.int64())
-                    yield pa.RecordBatch.from_arrays([part.column("part"), part.column("doc_id"), n, pa.array(own, pa.binary())], ["part", "doc_id", "n", "ids"])
+                for some in by_bytes(batch, "text"):
+                    own = [x.astype(kind).tobytes() + last for x in encoder.encode(some.column("text"))]
+                    key = some.column("key").to_numpy()
+                    part = np.searchsorted(cuts, key, "left")
+                    part += some.column("salt").to_numpy() % np.maximum(1, np.searchsorted(cuts, key, "right") - part)
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), some.column("doc_id"), pa.array([len(x) // len(last) for x in own], pa.int64()), pa.array(own, pa.binary())], ["part", "doc_id", "n", "ids"])
         finally:
             gc.enable()
 
-    rows = docs.withColumn("part", part).mapInArrow(encode, IDS)
-    rows = rows.repartition(n, "part").sortWithinPartitions("part", "doc_id", "n", "ids").withColumn("first", F.monotonically_increasing_id())
+    rows = docs.mapInArrow(encode, IDS)
+    rows = rows.repartitionById(n, "part").sortWithinPartitions("part", "doc_id", "n", "ids").withColumn("first", F.monotonically_increasing_id())
     rows.write.option("compression", "zstd").parquet(folder)
     del rows
     # the shuffle's files are as large as the ids; Spark deletes them once the driver's objects are gone
@@ -318,7 +391,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END)
     """Encodes ``docs`` (doc_id, text) and writes the format to ``folder``."""
     spark = docs.sparkSession
     path = path or tokenizer_path()
-    kind = "<u2" if max(len(Encoder(path).ends), end + 1) <= 1 << 16 else "<u4"
+    kind = "<u2" if max(Encoder(path).size, end + 1) <= 1 << 16 else "<u4"
     ids = store_ids(docs, f"{folder}/ids", path, kind, end)
     counts = counted(ids, kind)
     lengths = code_lengths(counts)
