@@ -12,17 +12,24 @@ notices, comments of readers).
 
 Tags, and class, id or role values that say as a whole (also as all parts of a
 slug: ``site-footer``, not ``has-sidebar``) what is beside the text, drop an
-element; headings are never dropped by their names.  Names, forms, asides and
+element; headings are never dropped by their names, and paragraphs and other
+parts of a text not by names that may as well say what they are about (``MAYBE``).  Names, forms, asides and
 headers are loose signs: on a page without an article or main outside of them,
 one that holds most of the content paths' text is a wrapper and stays.  A main
 is never beside the text, whatever is around it, unless it is hidden.
 
-Each page is worked on alone: no shuffle, and a page too long or badly closed
-only concerns its own task.
+Thresholds alone cannot give whole articles: short paragraphs, headings and
+captions have paths below any share that keeps menus out.  So the paths that
+pass choose the stretch of the page, and what is inside it stays.
+
+Each page is worked on alone: no shuffle.  Paths are interned and every walk
+up the tree ends where an earlier one came by, so the time grows with the page
+and not with its depth, and a badly closed page only concerns its own task.
 
 Edge cases: a null or empty page gives the empty text; unclosed tags are closed
 by their parents, end tags without a start are skipped, a page that is cut off
-keeps what it has; character references without a semicolon are decoded as
+keeps what it has; quotes in unquoted values are part of them, a quote that is
+never closed is one too, so tags end where browsers end them; character references without a semicolon are decoded as
 browsers do.  Repeated rows are each extracted; an empty table stays empty.
 """
 
@@ -30,7 +37,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +49,9 @@ from .common import table
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text.
-RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "math", "canvas", "object", "video", "audio")
+RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "canvas", "video", "audio")
 #: Elements that flow within a line; all others begin a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mover mroot mrow ms msqrt mstyle msub msubsup msup mtext munder munderover object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that are never part of an article's text.
 ASIDE = frozenset("nav footer button select option menu dialog".split())
 #: Elements that are beside the text unless most of it is in them.
@@ -53,17 +60,23 @@ LOOSE = frozenset("aside form fieldset header".split())
 BESIDE = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side-bar aside footer masthead banner ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent notice notices popup modal newsletter subscribe subscription signup login search social share sharing related recommended widget pagination pager toolbar contentinfo complementary skip-link".split()
 )
+#: Those of them that a part of a text may have for what it is about.
+MAYBE = frozenset("related notice notices share sharing search social recommended widget banner menu sponsor promotion subscription aside".split())
 COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
 #: Words that go with them in a slug.
 WITH = frozenset("site page main post posts article articles top bottom left right header primary secondary list item items link links box bar block area section container wrapper wrap inner outer button buttons form text body title author meta content thread reply".split())
 HEADING = re.compile("h[1-6]$")
+#: Elements within a text: what holds all of it is at least what is around them.
+PARTS = INLINE | frozenset("p li ul ol dl dt dd blockquote pre figure figcaption h1 h2 h3 h4 h5 h6".split())
 #: Start tags that end an open paragraph.
 CLOSES_P = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul".split())
 #: Elements that end tags of what is inside cannot cross.
 SCOPE = frozenset("article aside body div footer header html main nav section table td th".split())
 
-TAG = re.compile(r"<!--(.*?)(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<[!?][^>]*(?:>|\Z)|<(?=/?[a-zA-Z]?\Z)\S*\Z", re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: An attribute's value ends at its quote; without quotes, or with one that is never closed, at white space or the tag's end.
+VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
+TAG = re.compile(rf"<!--(.*?)(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+{VALUE})?+)*+)(>|\Z)|<[!?][^>]*(?:>|\Z)|<(?=/?[a-zA-Z]?\Z)\S*\Z", re.S)
+ATTRIBUTE = re.compile(rf"(=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+({VALUE}))?+")
 NAMES = frozenset("class id role aria-label".split())
 #: Attributes that can matter.
 SOME = re.compile(r"class|id|role|aria|style|hidden", re.I)
@@ -75,17 +88,13 @@ ENDS = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
 SIGMA = 1.0
 #: A path is content from this share of the page's mean fused ratio.
 SHARE = 0.5
-#: Elements within a text: what holds all of it is at least what is around them.
-PARTS = INLINE | frozenset("p li ul ol dl dt dd blockquote pre figure figcaption h1 h2 h3 h4 h5 h6".split())
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "sign", "hidden", "out", "loose", "article", "depth")
+    __slots__ = ("tag", "parent", "path", "sign", "hidden", "out", "loose", "article", "depth", "masthead")
 
-    def __init__(self, tag: str, parent: Element | None, sign: str = ""):
-        self.tag, self.parent = tag, parent
-        self.path = f"{parent.path}/{tag}" if parent else tag
-        self.sign = sign
+    def __init__(self, tag: str, parent: Element | None, path: int, sign: str = ""):
+        self.tag, self.parent, self.path, self.sign = tag, parent, path, sign
         self.hidden = sign == "hidden" or bool(parent and parent.hidden)
         up = None if tag == "main" else parent
         self.out = self.hidden or sign == "out" or bool(up and up.out)
@@ -93,6 +102,20 @@ class Element:
         self.loose: Element | None = (up and up.loose) or (self if sign == "loose" else None)
         self.article = tag in ("article", "main") or (parent.article if parent else False)
         self.depth = parent.depth + 1 if parent else 0
+        #: In an article's own header, where only headings belong to the text.
+        self.masthead = tag == "header" and sign != "loose" or bool(parent and parent.masthead and not HEADING.match(tag))
+
+
+def decided(e: Element | None, known: dict[Element, bool], rule: Callable[[Element, bool], bool]) -> bool:
+    """``rule`` of an element and of what it says of its parent, from the root down; each element is asked once."""
+    chain = []
+    while e is not None and e not in known:
+        chain.append(e)
+        e = e.parent
+    value = e is not None and known[e]
+    for x in reversed(chain):
+        value = known[x] = rule(x, value)
+    return value
 
 
 def named(token: str, words: frozenset[str]) -> bool:
@@ -118,15 +141,23 @@ def sign_of(tag: str, attributes: str, in_article: bool) -> str:
     if tag not in ("html", "body", "article", "main") and not HEADING.match(tag):
         if any(named(t, COMMENTS) for t in tokens):
             return "out"
-        if tag in LOOSE and not (tag == "header" and in_article) or any(named(t, BESIDE) for t in tokens):
+        names = BESIDE - MAYBE if tag in PARTS else BESIDE
+        if tag in LOOSE and not (tag == "header" and in_article) or any(named(t, names) for t in tokens):
             return "loose"
     return ""
 
 
 def nodes(page: str) -> list[tuple[Element, int, str]]:
     """Text nodes in page order: element, number of the block, raw text."""
-    root = Element("#", None)
+    root = Element("#", None, 0)
     at, stack, out, block = 0, [root], [], 0
+    paths: dict[tuple[int, str], int] = {}
+    opened: dict[str, int] = {}
+
+    def close(k: int) -> None:
+        for e in stack[k:]:
+            opened[e.tag] -= 1
+        del stack[k:]
 
     def text(end: int) -> None:
         if end > at:
@@ -148,9 +179,9 @@ def nodes(page: str) -> list[tuple[Element, int, str]]:
         if tag not in INLINE:
             block += 1
         if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in SCOPE and tag not in SCOPE:
                     break
@@ -161,26 +192,27 @@ def nodes(page: str) -> list[tuple[Element, int, str]]:
             end = ENDS[tag].search(page, pos)
             at = pos = end.end() if end else len(page)
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and (opened.get("p") or tag in ("li", "dd", "dt") and opened.get(tag)):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p" or tag == stack[k].tag and tag in ("li", "dd", "dt"):
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in SCOPE or stack[k].tag in ("ul", "ol", "dl"):
                     break
         up = stack[-1]
         if m[4].endswith("/") and tag not in INLINE and tag not in SCOPE:
             continue
-        stack.append(Element(tag, up, sign_of(tag, m[4], up.article)))
+        stack.append(Element(tag, up, paths.setdefault((up.path, tag), len(paths) + 1), sign_of(tag, m[4], up.article)))
+        opened[tag] = opened.get(tag, 0) + 1
     text(len(page))
     return out
 
 
-def content_paths(own: list[tuple[Element, int, str]]) -> set[str]:
+def content_paths(own: list[tuple[Element, int, str]]) -> set[int]:
     """Paths whose fused, smoothed ratio of text and punctuation is high."""
-    length: dict[str, int] = {}
-    marks: dict[str, int] = {}
-    count: dict[str, int] = {}
+    length: dict[int, int] = {}
+    marks: dict[int, int] = {}
+    count: dict[int, int] = {}
     for e, _, t in own:
         length[e.path] = length.get(e.path, 0) + len(t)
         marks[e.path] = marks.get(e.path, 0) + len(PUNCTUATION.findall(t))
@@ -193,7 +225,7 @@ def content_paths(own: list[tuple[Element, int, str]]) -> set[str]:
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
     smooth = np.stack([np.convolve(np.pad(c, reach, "edge"), kernel / kernel.sum(), "valid") for c in ratio.T])
     fused = smooth[0] * smooth[1]
-    best: dict[str, list[float]] = {}
+    best: dict[int, list[float]] = {}
     for p, f in zip(paths, fused):
         best.setdefault(p, []).append(f)
     means = {p: float(np.mean(f)) for p, f in best.items()}
@@ -204,13 +236,16 @@ def content_paths(own: list[tuple[Element, int, str]]) -> set[str]:
 def around(held: list[Element]) -> Element | None:
     """The smallest container of all of ``held``; the outermost article or main around it, if there is one."""
     box = None
+    below: set[Element] = set()
     for e in held:
         box = box or e
-        while box is not e:
-            if box.depth >= e.depth:
-                box = box.parent
-            else:
+        while e is not box and e not in below:
+            if e.depth > box.depth:
+                below.add(e)
                 e = e.parent
+            else:
+                below.add(box)
+                box = box.parent
     while box is not None and box.tag in PARTS:
         box = box.parent
     up = box
@@ -232,64 +267,44 @@ def wrappers(own: list[tuple[Element, int, str]]) -> set[Element]:
     for e, _, t in solid:
         if e.path in chosen:
             total += len(t)
-            up = e
-            while up is not None:
-                if up.sign == "loose":
-                    weight[up] = weight.get(up, 0) + len(t)
-                up = up.parent
-    return {e for e, w in weight.items() if 2 * w > total}
-
-
-def beside(e: Element, kept: set[Element]) -> bool:
-    """Whether an element with a loose sign is around ``e`` that isn't among ``kept``; a main ends the way up."""
-    if e.loose is None:
-        return False
-    up: Element | None = e
-    while up is not None and up.tag != "main":
-        if up.sign == "loose" and up not in kept:
-            return True
-        up = up.parent
-    return False
+            weight[e] = weight.get(e, 0) + len(t)
+    every = dict.fromkeys(weight)
+    for e in list(weight):
+        while e.parent is not None and e.parent not in every:
+            e = e.parent
+            every[e] = None
+    for e in sorted(every, key=lambda x: -x.depth):
+        if e.parent is not None:
+            weight[e.parent] = weight.get(e.parent, 0) + weight[e]
+    return {e for e in every if e.sign == "loose" and 2 * weight[e] > total}
 
 
 def extract(page: str | None) -> str:
-    own = [(e, b, t) for e, b, t in nodes(page or "") if not e.out and (t == " " or not t.isspace())]
-    own = [x for x in own if not in_article_header(x[0])]
+    own = [(e, b, t) for e, b, t in nodes(page or "") if not e.out and not e.masthead and (t == " " or not t.isspace())]
     kept = wrappers(own)
-    own = [x for x in own if not beside(x[0], kept)]
+    known: dict[Element, bool] = {}
+    # beside the text: below a loose sign that isn't kept; a main ends the way up
+    beside = lambda x, up: x.tag != "main" and (up or x.sign == "loose" and x not in kept)
+    own = [x for x in own if x[0].loose is None or not decided(x[0], known, beside)]
     solid = [x for x in own if x[2] != " "]
     chosen = content_paths(solid)
     box = around([e for e, _, _ in solid if e.path in chosen])
     if box is None:
         return ""
-    parts: list[str] = []
+    parts: list[list[str]] = []
     last = None
+    within: dict[Element, bool] = {}
     for e, b, t in own:
-        up = e
-        while up is not None and up is not box:
-            up = up.parent
-        if up is None:
+        if not decided(e, within, lambda x, up: up or x is box):
             continue
-        if b == last:
-            parts[-1] += t
-        else:
-            parts.append(t)
+        if b != last:
+            parts.append([])
             last = b
-    clean = (SPACES.sub(" ", html.unescape(p)).strip() for p in parts)
+        parts[-1].append(t)
+    clean = (SPACES.sub(" ", html.unescape("".join(p))).strip() for p in parts)
     return " ".join(p for p in clean if p)
 
 
-def in_article_header(e: Element) -> bool:
-    """In an article's own header only headings belong to the text."""
-    heading = False
-    while e is not None:
-        heading = heading or bool(HEADING.match(e.tag))
-        if e.tag == "header" and e.sign != "loose":
-            return not heading
-        e = e.parent
-    return False
-
-
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of each page."""
 
