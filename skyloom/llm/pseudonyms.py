@@ -39,7 +39,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 ROUNDS = 8
-#: The production key comes from a secret store; this one is for tests and queries.
+#: Characters of a name that are permuted at once; names of mails are seldom longer.
+STRETCH = 64
+#: The key of the registered query and of tests; every other caller gives its own.
 KEY = b"pseudonyms-1"
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), 73049  # 1900 to 2099
 
@@ -54,7 +56,9 @@ KINDS = {
 }
 SETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 BEGIN, END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
-FIND = re.compile(BEGIN + "(?:" + "|".join(KINDS.values()) + ")" + END)
+#: Mails are found by their @: names may be long, and no other kind is.
+FIND = re.compile(BEGIN + "(?:" + "|".join(p for k, p in KINDS.items() if k != "email") + ")" + END)
+NAME, NAME_BEGIN = frozenset("".join(SETS) + "._%+-"), re.compile(BEGIN + "[A-Za-z0-9]")
 EACH = {k: re.compile(f"(?:{p}){END}") for k, p in KINDS.items()}
 
 #: Lengths of IBANs by country; those of others have any.
@@ -77,18 +81,44 @@ def inside(kind: str, text: str, at: int, end: int) -> bool:
 
 
 
-def ends(kind: str, text: str, at: int) -> list[int]:
+def ends(kind: str, text: str, at: int) -> Iterator[int]:
     """Where values of a kind that begin at ``at`` can end: the longest first; an IBAN only at its country's length if it can end there."""
-    out: list[int] = []
+    if kind == "iban":
+        every = list(shorter(kind, text, at))
+        yield from [end for end in every if len(text[at:end].replace(" ", "")) == IBAN.get(text[at : at + 2])] or every
+    else:
+        yield from shorter(kind, text, at)
+
+
+def shorter(kind: str, text: str, at: int) -> Iterator[int]:
     v = EACH[kind].match(text, at)
     while v:
         if v.end() == len(text) or not (text[v.end()].isascii() and (text[v.end()].isalnum() or text[v.end()] == "_")):
-            out.append(v.end())
+            yield v.end()
         v = EACH[kind].match(text, at, v.end() - 1)
-    if kind == "iban":
-        right = [end for end in out if len(text[at:end].replace(" ", "")) == IBAN.get(text[at : at + 2])]
-        out = right or out
-    return out
+
+
+class Mails:
+    """Where names before an @ begin, in order; each character is looked at once or twice, whatever the text."""
+
+    def __init__(self, text: str):
+        self.text, self.low, self.sign = text, 0, text.find("@")
+
+    def next(self, pos: int) -> int | None:
+        """The first begin at or after ``pos``."""
+        while self.sign >= 0:
+            first = self.sign
+            while first > max(self.low, pos) and self.text[first - 1] in NAME:
+                first -= 1
+            m = NAME_BEGIN.search(self.text, first, self.sign)
+            if m and (m.start() == self.sign - 1 or self.text[self.sign - 1] != "."):
+                return m.start()
+            self.skip()
+        return None
+
+    def skip(self) -> None:
+        self.low = self.sign + 1
+        self.sign = self.text.find("@", self.low)
 
 
 class Feistel:
@@ -100,8 +130,12 @@ class Feistel:
         self.b = -(-n // self.a)
 
     def mix(self, k: int, half: int, size: int) -> int:
-        data = k.to_bytes(1, "big") + self.n.to_bytes(40, "big") + half.to_bytes(40, "big") + self.tweak
-        return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=48).digest(), "big") % size
+        width = max(40, -(-self.n.bit_length() // 8))
+        data = k.to_bytes(1, "big") + self.n.to_bytes(width, "big") + half.to_bytes(width, "big") + self.tweak
+        out = hashlib.blake2b(data, key=self.key, digest_size=48).digest()
+        while len(out) * 8 < size.bit_length() + 80:
+            out += hashlib.blake2b(out[-48:] + data, key=self.key, digest_size=48).digest()
+        return int.from_bytes(out, "big") % size
 
     def once(self, x: int, sign: int) -> int:
         left, right = divmod(x, self.b)
@@ -146,11 +180,15 @@ def put(form: str, digits: list[int]) -> str:
 
 
 def letters(key: bytes, kind: str, text: str, undo: bool) -> str:
-    """Each letter and digit becomes one of its own kind; others stay."""
-    own = [next((s for s in SETS if c in s), None) for c in text]
-    some = [(s, s.index(c)) for s, c in zip(own, text) if s]
-    it = iter(permuted(key, kind, [i for _, i in some], [len(s) for s, _ in some], undo))
-    return "".join(s[next(it)] if s else c for s, c in zip(own, text))
+    """Each letter and digit becomes one of its own kind; others stay.  Texts beyond ``STRETCH`` are permuted a stretch at a time."""
+    out = []
+    for k in range(0, len(text), STRETCH):
+        part = text[k : k + STRETCH]
+        own = [next((s for s in SETS if c in s), None) for c in part]
+        some = [(s, s.index(c)) for s, c in zip(own, part) if s]
+        it = iter(permuted(key, f"{kind}#{k}" if k else kind, [i for _, i in some], [len(s) for s, _ in some], undo))
+        out += [s[next(it)] if s else c for s, c in zip(own, part)]
+    return "".join(out)
 
 
 @lru_cache(100_000)
@@ -211,15 +249,21 @@ def pseudonym(kind: str, value: str, key: bytes, undo: bool = False) -> str | No
     raise ValueError(kind)
 
 
-def replaced(text: str, key: bytes = KEY, undo: bool = False) -> tuple[str, dict[str, int]]:
+def replaced(text: str, key: bytes, undo: bool = False) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many values of each kind were found."""
     found: dict[str, int] = {}
     out: list[str] = []
     done = pos = 0
-    while m := FIND.search(text, pos):
-        at = m.start()
+    mails, m = Mails(text), FIND.search(text)
+    while True:
+        if m and m.start() < pos:
+            m = FIND.search(text, pos)
+        mail = mails.next(pos)
+        if m is None and mail is None:
+            break
+        at = min(x for x in (m and m.start(), mail) if x is not None)
         pos = at + 1
-        for kind, end in ((k, e) for k in EACH for e in ends(k, text, at)):
+        for kind, end in ((k, e) for k in EACH if k != "email" or at == mail for e in ends(k, text, at)):
             if inside(kind, text, at, end):
                 continue
             pos = max(pos, end)
@@ -229,10 +273,13 @@ def replaced(text: str, key: bytes = KEY, undo: bool = False) -> tuple[str, dict
                 out += [text[done:at], new]
                 done = pos = end
                 break
+        else:
+            if at == mail:  # what follows the @ is no host, whatever the name
+                mails.skip()
     return "".join(out) + text[done:], found
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY, undo: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes, undo: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text with pseudonyms, n_private and ``kinds`` (kind:count, comma-joined) of each row."""
     some = re.compile("[0-9@]")
 
@@ -252,4 +299,4 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY, undo: bool = False, id_col:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(table(spark, sf_dir, "documents"))
+    return pseudonymised(table(spark, sf_dir, "documents"), KEY)
