@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ def index_block(ids: list, texts: list[bytes | None]) -> dict:
     order = np.argsort(terms, kind="stable")
     sizes = np.bincount(terms, minlength=len(vocabulary)) if len(words) else np.zeros(0, np.int64)
     return {
-        "block": f"{ids[0]}-{len(ids)}", "ids": ids, "starts": starts.tobytes(), "counts": counts.tobytes(), "terms": b" ".join(vocabulary),
+        "ids": ids, "starts": starts.tobytes(), "counts": counts.tobytes(), "terms": b" ".join(vocabulary),
         "offsets": np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32).tobytes(), "positions": places[order].tobytes(),
     }
 
@@ -90,11 +91,11 @@ SCHEMA = pa.schema([("block", pa.string()), ("ids", pa.list_(pa.int64())), *[(c,
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each block of documents: see ``INDEX``.  ``stored(build_index(...))`` writes it."""
+    """One row for each block of documents: see ``INDEX``.  ``stored(build_index(...))`` writes it; a block's number is its task's and its place in it."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in blocks(batches):
-            yield pa.RecordBatch.from_pylist([index_block(ids, texts)], SCHEMA)
+        for k, (ids, texts) in enumerate(blocks(batches), TaskContext.get().partitionId() << 33):
+            yield pa.RecordBatch.from_pylist([{"block": str(k)} | index_block(ids, texts)], SCHEMA)
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(build, INDEX)
 
