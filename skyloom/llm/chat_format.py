@@ -11,8 +11,9 @@ A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``.  Inside roles and texts
 ``<|`` would be read as a mark: a backslash is put between the two characters,
 one more than there are already, so it can be taken out again.
 
-Edge cases: a null text or role is empty; a message whose parent is missing or
-null is a root; ties between leaves go to the smaller id, between turns to
+Edge cases: a null text or role is empty; a message without an id or tree
+is in no path; of messages with the same id in a tree the one with the least
+parent (null first), then score, stays; a message whose parent is missing or null is a root; ties between leaves go to the smaller id, between turns to
 role and text; a cycle of replies has no leaf and gives no path.  An empty
 table gives no conversation.
 """
@@ -33,13 +34,16 @@ from .common import stored, table
 START, STOP = "<|im_start|>", "<|im_end|>"
 
 
-def paths(messages: DataFrame, by_mean: bool = False) -> DataFrame:
+def paths(messages: DataFrame, by_mean: bool = False, unique: bool = False) -> DataFrame:
     """The messages of each tree's best root-to-leaf path.
 
     ``messages`` has tree, id, parent and score; the result has tree, id and
-    ``depth`` (0: the root).
+    ``depth`` (0: the root).  ``unique``: ids are known to be there once in a tree.
     """
-    base = stored(messages.select("tree", "id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "messages")
+    base = messages.select("tree", "id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")).where("tree is not null and id is not null")
+    if not unique:
+        base = base.groupBy("tree", "id").agg(F.min(F.struct("parent", "score")).alias("m")).select("tree", "id", "m.parent", "m.score")
+    base = stored(base, "messages")
     known = base.select("tree", F.col("id").alias("parent"), F.lit(True).alias("there"))
     # up: the message above the stretch; sum, n: over the stretch, the message itself included
     state = stored(base.join(known, ["tree", "parent"], "left").select(
@@ -142,7 +146,7 @@ def chained(rows: DataFrame) -> DataFrame:
 def conversations(rows: DataFrame) -> DataFrame:
     """``formatted`` conversations of a table with conv_id, turn, role and text."""
     trees = stored(chained(rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")), "turns")
-    turns = paths(trees).join(trees, ["tree", "id"]).select(F.when(F.col("tree") != -(2**63), F.col("tree")).alias("conv_id"), "depth", "role", "text")
+    turns = paths(trees, unique=True).join(trees, ["tree", "id"]).select(F.when(F.col("tree") != -(2**63), F.col("tree")).alias("conv_id"), "depth", "role", "text")
     return formatted(turns)
 
 

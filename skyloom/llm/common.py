@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -21,10 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     A cluster names it in ``spark.checkpoint.dir``; only a session without
-    that setting (tests, local runs) gets a temporary one.
+    that setting and without other machines (tests, local runs) gets a temporary one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = getattr(spark, "_skyloom_scratch", None)
         if base is None:
             base = "file://" + tempfile.mkdtemp(prefix="skyloom-")
@@ -33,7 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/skyloom/{tag}-{uuid.uuid4().hex}"
+    """A new path below the application's own folder, which goes when the driver's process ends."""
+    own = f"{shared_dir(spark)}/skyloom/{spark.sparkContext.applicationId}"
+    if getattr(spark, "_skyloom_own", None) != own:
+        spark._skyloom_own = own
+        atexit.register(swept, spark, own)
+    return f"{own}/{tag}-{uuid.uuid4().hex}"
+
+
+def swept(spark: SparkSession, folder: str) -> None:
+    """Deletes an application's folder, if its session still runs."""
+    if spark.sparkContext._jsc is not None:
+        deleted(spark, folder)
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -74,14 +88,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Ids that may be sent to all tasks: 16 MB of them.
-FEW_IDS = 2_000_000
+#: Bytes that may be sent to all tasks at once.
+BROADCAST_BYTES = 64_000_000
+
+
+def small(df: DataFrame, width: int) -> DataFrame:
+    """``df``, a stored table of rows of ``width`` bytes, marked to go to all tasks if it is small enough."""
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """``docs`` joined with a table that has doc_id; that table goes to all tasks only if it has few rows."""
-    ids = stored(ids, "by-id")
-    return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", how)
+    """``docs`` joined with a table that has doc_id and numbers; that table goes to all tasks only if it is small."""
+    return docs.join(small(stored(ids, "by-id"), 32 * (1 + len(ids.columns))), "doc_id", how)
 
 
 #: Ids from here on are given to rows without one; so that they can be told apart, tables with null ids may not use them.

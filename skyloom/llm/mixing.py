@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import by_id, stored, table, with_own_ids, words
+from .common import by_id, free_name, stored, table, with_own_ids, words
 
 WEIGHTS = (5, 2, 1)
 #: No document is taken more often.
@@ -32,6 +32,8 @@ SEED = "mix-1"
 BUCKETS = 1024
 SLICES = 4096
 EXACT = 50_000
+#: Sources are a property of the configuration; more are refused, as their sums go to the driver and to all tasks.
+MOST_SOURCES = 100_000
 
 
 def source_key(col: str = "source") -> Column:
@@ -115,7 +117,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     in the order of ``source_key``.
     """
     rows = stored(docs.select("doc_id", source_key().alias("key"), F.col("size").cast("long").alias("size")), "mix")
-    sizes = {r.key: r.n for r in rows.groupBy("key").agg(F.sum("size").alias("n")).collect()}
+    sums = rows.groupBy("key").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(sums) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    sizes = {r.key: r.n for r in sums}
     weigh = {k: weights[i % len(weights)] for i, k in enumerate(sorted(sizes, key=lambda k: k.encode()))}
     aim = targets(sizes, weigh, epochs) if sum(sizes.values()) else {k: 0.0 for k in sizes}
     queue = finish_times(rows, aim, sizes)
@@ -132,25 +137,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     return some.unionByName(none)
 
 
-def mixed_order(mixed: DataFrame, epochs: int = EPOCHS) -> DataFrame:
-    """One row per taken copy, range-sorted by finish time: the mix itself."""
-    copies = F.explode(F.slice(F.array(*[F.col(f"finish_{e}") for e in range(epochs)]), F.lit(1), (F.col("taken") / F.col("size")).cast("int"))).alias("finish")
-    return mixed.where("taken > 0").select("doc_id", "size", copies).orderBy("finish", "doc_id")
-
-
 def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
 
 
-def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it.  Rows with the same doc_id are taken alike; rows with a null doc_id each by themselves, equal ones alike."""
-    return with_own_ids(docs, mixed_by_id)
+def mixed_rows(docs: DataFrame, in_order: bool = False) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; ``in_order`` sorts them by ranges of finish time, the mix's own order.
+
+    Rows with the same doc_id are taken alike; rows with a null doc_id each by themselves, equal ones alike.
+    """
+    return with_own_ids(docs, lambda rows: mixed_by_id(rows, in_order))
 
 
-def mixed_by_id(docs: DataFrame) -> DataFrame:
-    copies = mix(sized(docs)).where("taken > 0").groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_copies"))
-    rows = by_id(docs, copies, "inner")
-    return rows.withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(*docs.columns)
+def mixed_by_id(docs: DataFrame, in_order: bool = False, epochs: int = EPOCHS) -> DataFrame:
+    times = free_name(docs, "finish")
+    own = F.slice(F.array(*[F.col(f"finish_{e}") for e in range(epochs)]), F.lit(1), (F.col("taken") / F.col("size")).cast("int"))
+    copies = mix(sized(docs), epochs=epochs).where("taken > 0").groupBy("doc_id").agg(F.max_by(own, F.size(own)).alias(times))
+    rows = by_id(docs, copies, "inner").withColumn(times, F.explode(times))
+    if in_order:
+        rows = rows.orderBy(times, "doc_id")
+    return rows.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

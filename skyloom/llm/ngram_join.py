@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FEW_IDS, by_id, dropped, stored, table, with_own_ids
+from .common import by_id, dropped, small, stored, table, with_own_ids
 from .components import components
 
 WIDTH = 5
@@ -49,7 +49,6 @@ LOW = 0.35
 GROUP, PACK = 1_500_000, 1_000_000
 BLOCK = 64
 SEGMENT = 64
-NO_ID = 2**63 - 1
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 CHUNK = 1 << 20
@@ -133,7 +132,7 @@ def fingerprint(own: np.ndarray) -> bytes:
 
 
 def shingled(docs: DataFrame, low: float) -> DataFrame:
-    """id, fp (of the set), n, k and ``hashes`` below ``low`` of all hashes' range, of each document."""
+    """id, key, fp (of the set), n, k and ``hashes`` below ``low`` of all hashes' range, of each document."""
     limit = np.uint64(min(2**64 - 1, int(low * 2**64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +143,10 @@ def shingled(docs: DataFrame, low: float) -> DataFrame:
                 sets = shingler.sets(part.column("text").cast(pa.large_string()).cast(pa.large_binary()).to_pylist())
                 lows = [s[: np.searchsorted(s, limit, "right")] for s in sets]
                 yield pa.RecordBatch.from_arrays([
-                    part.column("id"), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([len(s) for s in lows], pa.int64()), pa.array([s.tobytes() for s in lows], pa.binary())], ["id", "fp", "n", "k", "hashes"])
+                    part.column("id"), part.column("key"), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([len(s) for s in lows], pa.int64()), pa.array([s.tobytes() for s in lows], pa.binary())], ["id", "key", "fp", "n", "k", "hashes"])
 
-    return docs.select("id", "text").mapInArrow(run, "id bigint, fp binary, n bigint, k bigint, hashes binary")
+    return docs.select("id", "key", "text").mapInArrow(run, "id bigint, key bigint, fp binary, n bigint, k bigint, hashes binary")
 
 
 def packed(sets: DataFrame, groups: int, sizes: bool) -> DataFrame:
@@ -413,16 +412,15 @@ def links(sets: DataFrame) -> DataFrame:
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs``."""
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("id", "text"))
     low = stored(shingled(docs, LOW), "shingles")
     total = low.agg(F.sum("k")).first()[0] or 0
     shared = shared_counts(low.where("n > 0").withColumn("node", F.expr(NODE)), total // GROUP + 1)
-    classes = stored(low.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("k").alias("k")).withColumn("node", F.expr(NODE)), "classes")
+    classes = stored(low.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min_by("key", F.struct(F.col("id").isNull(), "id", "key")).alias("key"), F.max("n").alias("n"), F.max("k").alias("k")).withColumn("node", F.expr(NODE)), "classes")
     # k low hashes, of which a partner lacks at most n - ceil(3n/4)
     some = classes.join(shared, "node", "left").where("coalesce(c, 0) >= k - (n - ceil(3 * n / 4))")
-    some = stored(some.select("id", F.col("fp").alias("own")), "some")
-    few = some.count() <= FEW_IDS
-    again = docs.join(F.broadcast(some) if few else some, "id")
+    some = stored(some.select("key", F.col("fp").alias("own")), "some")
+    again = docs.join(small(some, 64), "key").select("own", "text")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -430,7 +428,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 sets = shingler.sets(part.column("text").cast(pa.large_string()).cast(pa.large_binary()).to_pylist())
-                keep = [(fp, s) for fp, s in zip(part.column("own").to_pylist(), sets) if fingerprint(s) == fp]  # an id may have several texts
+                keep = [(fp, s) for fp, s in zip(part.column("own").to_pylist(), sets) if fingerprint(s) == fp]
                 yield pa.RecordBatch.from_arrays([pa.array([fp for fp, _ in keep], pa.binary()), pa.array([len(s) for _, s in keep], pa.int64()), pa.array([s.tobytes() for _, s in keep], pa.binary())], ["fp", "n", "hashes"])
 
     full = stored(again.mapInArrow(whole, "fp binary, n bigint, hashes binary").withColumn("node", F.expr(NODE)), "sets")
@@ -443,8 +441,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     found = named.join(least, "label").select("fp", "least")
     component = stored(classes.join(found, "fp", "left").select("fp", F.coalesce("least", "id").alias("component")), "component")
     out = low.select("id", "n", "fp").join(component, "fp", "left")
-    own_id = F.coalesce("component", "id")
-    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(own_id != NO_ID, own_id).alias("component_id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -471,3 +468,14 @@ def unique_by_id(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + {WIDTH}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - {WIDTH - 1}))) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams AS a JOIN grams AS b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM common JOIN sizes AS p ON p.doc_id = x JOIN sizes AS q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(y) AS component_id FROM reach JOIN d ON d.doc_id = reach.x LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
+"""

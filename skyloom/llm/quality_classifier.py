@@ -171,7 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     own = labels.where("doc_id is not null and quality is not null").where(in_fold() != HELD_OUT)
     own = own.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("_y"))
     own = stored(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "sample")  # at most ``sample`` ids
-    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(own.select("doc_id")), "doc_id")).join(F.broadcast(own), "doc_id").select("_y", *STATISTICS)
+    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(own.select("doc_id")), "doc_id")).groupBy("doc_id").agg(F.min(F.struct(*STATISTICS)).alias("s"))  # of repeated ids one
+    rows = rows.join(F.broadcast(own), "doc_id").select("_y", "s.*")
     got = np.array([tuple(r) for r in rows.collect()], float).reshape(-1, 1 + len(STATISTICS))
     got = got[np.lexsort(got.T)]  # the same order on every run
     return fit(got[:, 1:], got[:, 0])
