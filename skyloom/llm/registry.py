@@ -20,6 +20,8 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_source_mixing": mixing.ORACLE_SQL,
     "op3_decontamination": decontaminate.ORACLE_SQL,
+    "op4_secret_scan": secret_scan.ORACLE_SQL,
     "op5_chat_format": chat_format.ORACLE_SQL,
     "op7_quality_rules": quality_rules.ORACLE_SQL,
+    "op10_ngram_join": ngram_join.ORACLE_SQL,
 }

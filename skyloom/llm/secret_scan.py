@@ -121,3 +121,33 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = [F.expr(f"cast(size(filter(found, x -> x.k = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
     return scan(table(spark, sf_dir, "documents")).select("doc_id", *n, F.sha2(F.expr(listed("x.k < 3")), 256).alias("base_sha256"), F.expr(listed("true")).alias("spans"))
+
+
+def sql_text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def sql_spans(kind: int, pattern: str, group: int = 0, least: int = 1) -> str:
+    """SQL for DuckDB: r, k, s, e and m of a pattern's matches, from the texts between them."""
+    p = sql_text(pattern)
+    size = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)::BIGINT"
+    return f"""SELECT r, {kind} AS k, {size.format('b[1 : i]')} + {size.format('m[1 : i - 1]')} AS s, {size.format('b[1 : i]')} + {size.format('m[1 : i]')} AS e, m[i] AS m
+        FROM (SELECT r, string_split_regex(t, {p}) AS b, regexp_extract_all(t, {p}) AS m, regexp_extract_all(t, {p}, {group}) AS g,
+            unnest(range(1, len(regexp_extract_all(t, {p})) + 1)) AS i FROM d) WHERE length(g[i]) >= {least}"""
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({sql_spans(0, ASSIGN, 2, 6)} UNION ALL {sql_spans(1, ACCESS)} UNION ALL {sql_spans(2, HEX)}),
+cand AS (SELECT * FROM ({sql_spans(3, '[A-Za-z0-9+/=_-]{20,}')}) WHERE regexp_matches(m, '[0-9]') AND NOT ({' OR '.join(f'regexp_matches(m, {sql_text(a)})' for a in ALLOWED)})),
+win AS (SELECT r, s, i, c FROM (SELECT r, s, i, ch, count(*) AS c FROM (
+    SELECT r, s, i, unnest(string_split(m[i + 1 : i + {WINDOW}], '')) AS ch FROM (SELECT r, s, m, unnest(range(0, length(m) - {WINDOW - 1})) AS i FROM cand)) GROUP BY r, s, i, ch)),
+best AS (SELECT r, s, max(h) AS h FROM (SELECT r, s, i, log2({WINDOW}) - sum(c * log2(c)) / {WINDOW} AS h FROM win GROUP BY r, s, i) GROUP BY r, s),
+high AS (SELECT r, CASE WHEN regexp_matches(m, '^[0-9a-fA-F]+$') THEN 3 ELSE 4 END AS k, s, e, h FROM cand JOIN best USING (r, s)),
+every AS (SELECT r, k, s, e FROM base UNION ALL SELECT r, k, s, e FROM high WHERE h + 1e-9 >= CASE WHEN k = 3 THEN {THRESHOLDS['entropy_hex']} ELSE {THRESHOLDS['entropy_base64']} END),
+said AS (SELECT r, k, s, ['assign', 'access', 'hex', 'entropy_hex', 'entropy_base64'][k + 1] || ':' || s || ':' || e AS x FROM every),
+per AS (SELECT r, count(*) FILTER (WHERE k = 0) AS a, count(*) FILTER (WHERE k = 1) AS b, count(*) FILTER (WHERE k = 2) AS c,
+    coalesce(string_agg(x, ',' ORDER BY s, k) FILTER (WHERE k < 3), '') AS base, string_agg(x, ',' ORDER BY s, k) AS spans FROM said GROUP BY r)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per USING (r)
+"""
