@@ -1,21 +1,41 @@
 """Weighted pair counts by a distance join on cells.
 
 Points are put into cubic cells of the unit sphere's space, as wide as the
-widest annulus; the second side is repeated into the 27 cells around its own,
-so every pair within reach meets exactly once in an equi-join, and the pole
-and the wrap in ra need no care.  Pairs are never kept: the join feeds partial
-sums by (zbin, p1, p2), and only those are shuffled.
+reach of the annuli, and packed into blocks of at most ``BLOCK`` points of one
+cell.  A block of the second side is repeated into the cells that its bounding
+box and the reach touch (and that the sphere goes through), so every pair
+within reach meets exactly once in an equi-join of blocks by cell, and the pole
+and the wrap in ra need no care.  Where both sides have redshift bins, the bin
+is part of the cell, and cells are as wide as that bin's own reach.
+
+The distances of two blocks are one matrix, made of arrays in Arrow batches:
+rows of pairs never exist, in no shuffle and in no engine row.  A pair of
+blocks gives sums by (zbin, p1, p2), and only those leave a task.  (The same
+join as plain columns, one row for each candidate pair, took 15 times as long
+for the four counts of the benchmark.)
+
+A cell with very many points is many blocks: points are dealt to tasks by
+ranges of (cell, hash), so such a cell is cut as well, and its pairs of blocks
+are rows like all others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RESOLUTION = 50
+BLOCK = 2048
+#: Elements of a distance matrix that is made at once.
+TILE = 250_000
+KEY = ("kz", "cx", "cy", "cz")
+SLACK = 1 + 1e-9
 
 
 @dataclass(frozen=True)
@@ -30,88 +50,248 @@ class Limits:
                 if not 0 <= lo < hi <= np.pi:
                     raise ValueError("angular limits must be increasing and within [0, pi]")
 
+    @property
+    def reaches(self) -> list[float]:
+        """Largest chord of each bin."""
+        return [max(2 * np.sin(hi / 2) for _, hi in scales) for scales in self.by_bin]
+
     @property
     def reach(self) -> float:
         """Largest chord."""
-        return max(2 * np.sin(hi / 2) for scales in self.by_bin for _, hi in scales)
-
-    def chord2(self, scale: int, side: int) -> Column:
-        """Squared chord of a limit, by zbin."""
-        out = None
-        for k, scales in enumerate(self.by_bin):
-            v = float((2 * np.sin(scales[scale][side] / 2)) ** 2)
-            out = F.when(F.col("zbin") == k, F.lit(v)) if out is None else out.when(F.col("zbin") == k, F.lit(v))
+        return max(self.reaches)
+
+    @property
+    def widest(self) -> float:
+        """Largest angle."""
+        return max(hi for scales in self.by_bin for _, hi in scales)
+
+    @property
+    def chords2(self) -> np.ndarray:
+        """Squared chords by (zbin, scale, side)."""
+        return np.array([[[(2 * np.sin(v / 2)) ** 2 for v in s] for s in scales] for scales in self.by_bin])
+
+    @property
+    def num_scales(self) -> int:
+        return len(self.by_bin[0])
+
+
+@dataclass(frozen=True)
+class Fine:
+    """Separation weights: within a scale, pairs in ``resolution`` logarithmic bins weigh the bin's logarithmic middle to ``power``, over the sum of all bins'."""
+
+    power: float
+    resolution: int = RESOLUTION
+
+    def tables(self, limits: Limits) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+        """Squared chords of the edges and weights by (zbin, scale); the first and the last weight are of what is outside."""
+        out = {}
+        for k, scales in enumerate(limits.by_bin):
+            for s, (lo, hi) in enumerate(scales):
+                if lo <= 0:
+                    raise ValueError("a separation weight needs a minimum separation above 0")
+                edges = np.exp(np.linspace(np.log(lo), np.log(hi), self.resolution + 1))
+                edges[0], edges[-1] = lo, hi
+                mids = np.sqrt(edges[1:] * edges[:-1]) ** self.power
+                out[k, s] = (2 * np.sin(edges / 2)) ** 2, np.concatenate([[0.0], mids / mids.sum(), [0.0]])
         return out
 
 
-def cells(df: DataFrame, reach: float) -> DataFrame:
-    return df.withColumns({f"c{c}": F.floor(F.col(c) / F.lit(reach)).cast("long") for c in ("x", "y", "z3")})
+def touched(low: np.ndarray, high: np.ndarray, width: float, reach: float) -> list[tuple[int, int, int]]:
+    """Cells within reach of a box that the unit sphere goes through."""
+    a, b = np.floor((low - reach * SLACK) / width).astype(int), np.floor((high + reach * SLACK) / width).astype(int)
+    axes = [np.arange(x, y + 1) for x, y in zip(a, b)]
+    near, far = [], []
+    for x in axes:
+        lo, hi = np.abs(x * width), np.abs((x + 1) * width)
+        near.append(np.where((x < 0) == (x + 1 <= 0), np.minimum(lo, hi), 0.0) ** 2)
+        far.append(np.maximum(lo, hi) ** 2)
+    grid = lambda v: v[0][:, None, None] + v[1][None, :, None] + v[2][None, None, :]
+    some = (grid(near) <= SLACK) & (grid(far) >= 2 - SLACK)
+    return [(int(axes[0][i]), int(axes[1][j]), int(axes[2][k])) for i, j, k in np.argwhere(some)]
 
 
-def candidates(left: DataFrame, right: DataFrame, limits: Limits) -> DataFrame:
-    """Pairs in neighbouring cells with their squared chord ``d2``.
+def blocks(points: DataFrame, limits: Limits, aligned: bool, values: list[str], second: bool) -> DataFrame:
+    """kz, cx, cy, cz and ``pts`` of each block: x, y, z3, zbin, patch and ``values`` of its points, ordered by zbin (first side) or patch (second)."""
+    reaches = limits.reaches if aligned else [limits.reach]
+    binned = "zbin" in points.columns
+    kz = F.col("zbin") if aligned else F.lit(0)
+    width = F.array(*map(F.lit, reaches))[kz]
+    cells = {c: F.floor(F.col(p) / width).cast("long") for c, p in zip(KEY[1:], ("x", "y", "z3"))}
+    columns = ["x", "y", "z3", "zbin", "patch", *values]
+    rows = points if binned else points.withColumn("zbin", F.lit(0))
+    rows = rows.select(kz.cast("int").alias("kz"), *[c.alias(n) for n, c in cells.items()], *[F.col(c).cast("double").alias(c) for c in columns])
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(n, *KEY, F.xxhash64("x", "y", "z3")).sortWithinPartitions(*KEY)
+    order = 4 if second else 3
 
-    ``left`` has patch, zbin, x, y, z3 and v (its weight); ``right`` the same, and is
-    aligned by zbin only if it has that column.
-    """
-    a = cells(left.select("zbin", F.col("patch").alias("p1"), "x", "y", "z3", F.col("v").alias("v1")), limits.reach)
-    keep = ["patch", "x", "y", "z3", "v"] + (["zbin"] if "zbin" in right.columns else [])
-    b = cells(right.select(*keep), limits.reach)
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    b = b.withColumn("o", F.explode(around)).select(
-        (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), (F.col("cz3") + F.col("o.k")).alias("cz3"),
-        F.col("patch").alias("p2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z3").alias("z2"), F.col("v").alias("v2"), *[c for c in keep if c == "zbin"])
-    both = a.join(b, ["cx", "cy", "cz3"] + (["zbin"] if "zbin" in right.columns else []))
-    dx, dy, dz = F.col("x") - F.col("x2"), F.col("y") - F.col("y2"), F.col("z3") - F.col("z2")
-    return both.withColumn("d2", dx * dx + dy * dy + dz * dz)
-
-
-def count(left: DataFrame, right: DataFrame, limits: Limits, auto: bool = False) -> DataFrame:
-    """Sum of v1 * v2 over pairs by (scale, zbin, p1, p2); groups without pairs are absent.
-
-    ``auto``: both sides are the same points; of two patches the pair p1 < p2 counts
-    once, and pairs within a patch by half, as each is met twice.
-    """
-    pairs = candidates(left, right, limits)
-    value = F.col("v1") * F.col("v2")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, size = None, [], 0
+
+        def flush() -> pa.RecordBatch:
+            own = np.concatenate(held)
+            own = own[np.argsort(own[:, order], kind="stable")]
+            cells = [key[1:]]
+            if second:
+                w = reaches[key[0]]
+                cells = touched(own[:, :3].min(0), own[:, :3].max(0), w, w)
+            data = own.tobytes()
+            keys = [[key[0]] * len(cells), *zip(*cells)]
+            return pa.RecordBatch.from_arrays([pa.array(keys[0], pa.int32()), *[pa.array(k, pa.int64()) for k in keys[1:]], pa.array([data] * len(cells), pa.binary())], [*KEY, "pts"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)], 1)
+            own = np.stack([batch.column(4 + k).to_numpy(zero_copy_only=False) for k in range(len(columns))], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for a, e in zip(cuts, cuts[1:]):
+                now = tuple(keys[a].tolist())
+                if held and now != key:
+                    yield flush()
+                    held, size = [], 0
+                key = now
+                while a < e:
+                    part = own[a : min(e, a + BLOCK - size)]
+                    held.append(part)
+                    size += len(part)
+                    a += len(part)
+                    if size == BLOCK:
+                        yield flush()
+                        held, size = [], 0
+        if held:
+            yield flush()
+
+    return rows.mapInArrow(pack, "kz int, cx bigint, cy bigint, cz bigint, pts binary")
+
+
+class Index:
+    """Blocks of a sample, made once and used by all counts it takes part in."""
+
+    def __init__(self, points: DataFrame, limits: Limits, aligned: bool, values: list[str]):
+        self.points, self.limits, self.aligned, self.values = points, limits, aligned, values
+
+    @cached_property
+    def first(self) -> DataFrame:
+        return blocks(self.points, self.limits, self.aligned, self.values, False).persist()
+
+    @cached_property
+    def second(self) -> DataFrame:
+        return blocks(self.points, self.limits, self.aligned, self.values, True).persist()
+
+    def released(self) -> None:
+        for name in ("first", "second"):
+            if name in self.__dict__:
+                self.__dict__.pop(name).unpersist()
+
+
+def tally(a: np.ndarray, b: np.ndarray, limits: np.ndarray, fine: dict | None, into: dict[tuple, np.ndarray]) -> None:
+    """Adds the pairs of two blocks to ``into``: sums of products of each value, and their number, by (scale, zbin, p1, p2)."""
+    nv = a.shape[1] - 5
+    zbins, first = np.unique(a[:, 3], return_index=True)
+    for k, lo, hi in zip(zbins.astype(int).tolist(), first, [*first[1:], len(a)]):
+        left = a[lo:hi]
+        reach = np.sqrt(limits[k, :, 1].max()) * SLACK
+        near = np.ones(len(b), bool)
+        for c in range(3):
+            near &= (b[:, c] >= left[:, c].min() - reach) & (b[:, c] <= left[:, c].max() + reach)
+        right = b[near]
+        if not len(right):
+            continue
+        p1, i1 = np.unique(left[:, 4], return_inverse=True)
+        p2, at = np.unique(right[:, 4], return_index=True)
+        # by value and patch; the last is the number
+        weigh = np.zeros((len(right), nv + 1, len(p2)))
+        for j, (x, y) in enumerate(zip(at, [*at[1:], len(right)])):
+            weigh[x:y, :nv, j], weigh[x:y, nv, j] = right[x:y, 5:], 1.0
+        flat = weigh.reshape(len(right), -1)
+        numbers = np.ascontiguousarray(weigh[:, nv])
+        step = max(1, TILE // len(right))
+        for r in range(0, len(left), step):
+            some = left[r : r + step]
+            d2 = np.subtract.outer(some[:, 0], right[:, 0])
+            d2 *= d2
+            for c in (1, 2):
+                d = np.subtract.outer(some[:, c], right[:, c])
+                d *= d
+                d2 += d
+            own = np.zeros((len(p1), len(some)))
+            own[i1[r : r + step], np.arange(len(some))] = 1.0
+            for s in range(limits.shape[1]):
+                inside = (d2 > limits[k, s, 0]) & (d2 <= limits[k, s, 1])
+                if not inside.any():
+                    continue
+                hit = inside.astype(np.float64)
+                if fine is None:
+                    sums = (hit @ flat).reshape(len(some), nv + 1, -1)
+                else:
+                    edges, weights = fine[k, s]
+                    w = np.zeros_like(d2)
+                    w[inside] = weights[np.searchsorted(edges, d2[inside])]
+                    sums = (w @ flat).reshape(len(some), nv + 1, -1)
+                    sums[:, nv] = hit @ numbers
+                for v in range(nv):
+                    sums[:, v] *= some[:, 5 + v, None]
+                total = (own @ sums.reshape(len(some), -1)).reshape(len(p1), nv + 1, len(p2))
+                for i, j in np.argwhere(total[:, nv] > 0):
+                    key = (s, k, int(p1[i]), int(p2[j]))
+                    into[key] = into.get(key, 0.0) + total[i, :, j]
+
+
+def counted(first: DataFrame, second: DataFrame, limits: Limits, values: list[str], auto: bool = False, fine: Fine | None = None) -> DataFrame:
+    """(scale, zbin, p1, p2, values, pairs) of two tables of ``blocks``."""
+    n = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = lambda df, name: df.withColumnRenamed("pts", name).repartition(n, *KEY)
+    met = side(first, "a").join(side(second, "b"), list(KEY)).select("a", "b")
+    chords, width, tables = limits.chords2, 5 + len(values), fine.tables(limits) if fine else None
+    names = ["scale", "zbin", "p1", "p2", *values, "pairs"]
+    types = [pa.int32()] * 4 + [pa.float64()] * len(values) + [pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        into: dict[tuple, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            rows = [(*k, *v) for k, v in into.items()]
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.float64() if t == pa.int64() else t).cast(t) for c, t in enumerate(types)], names)
+
+        for batch in batches:
+            for a, b in zip(batch.column(0), batch.column(1)):
+                tally(*(np.frombuffer(x.as_buffer(), np.float64).reshape(-1, width) for x in (a, b)), chords, tables, into)
+                if len(into) > 500_000:
+                    yield out()
+                    into.clear()
+        if into:
+            yield out()
+
+    schema = "scale int, zbin int, p1 int, p2 int, " + "".join(f"{v} double, " for v in values) + "pairs bigint"
+    sums = met.mapInArrow(run, schema).groupBy("scale", "zbin", "p1", "p2").agg(*[F.sum(c).alias(c) for c in [*values, "pairs"]])
     if auto:
-        pairs = pairs.where("p1 <= p2")
-        value = value * F.when(F.col("p1") == F.col("p2"), 0.5).otherwise(1.0)
-    scales = range(len(limits.by_bin[0]))
-    inside = [(F.col("d2") > limits.chord2(s, 0)) & (F.col("d2") <= limits.chord2(s, 1)) for s in scales]
-    near = pairs.where(_any(inside))
-    sums = near.groupBy("zbin", "p1", "p2").agg(*[x for s in scales for x in (
-        F.sum(F.when(inside[s], value)).alias(f"s{s}"), F.sum(F.when(inside[s], 1).otherwise(0)).alias(f"n{s}"))])
-    each = F.explode(F.array(*[F.struct(F.lit(s).alias("scale"), F.col(f"s{s}").alias("value"), F.col(f"n{s}").cast("long").alias("pairs")) for s in scales])).alias("e")
-    return sums.select("zbin", "p1", "p2", each).select("e.scale", "zbin", "p1", "p2", "e.value", "e.pairs").where("pairs > 0")
+        sums = sums.where("p1 <= p2").withColumns({v: F.col(v) * half() for v in values})
+    return sums
+
+
+def half() -> Column:
+    """Within a patch each pair of one sample is met twice."""
+    return F.when(F.col("p1") == F.col("p2"), 0.5).otherwise(1.0)
 
 
-def _any(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
+def count(left: DataFrame, right: DataFrame, limits: Limits, auto: bool = False, fine: Fine | None = None) -> DataFrame:
+    """Sum of v1 * v2 over pairs as ``value`` and their number by (scale, zbin, p1, p2); groups without pairs are absent.
+
+    ``left`` has patch, zbin, x, y, z3 and v (its weight); ``right`` the same, and is aligned by zbin
+    only if it has that column.  Where both have ``n``, the sum of n1 * n2 comes along as ``number``.
+    ``auto``: both sides are the same points; of two patches the pair p1 < p2 counts once, and pairs
+    within a patch by half.  ``fine``: each pair is weighted by its separation.
+    """
+    values = ["v", "n"] if "n" in left.columns and "n" in right.columns else ["v"]
+    aligned = "zbin" in right.columns
+    sides = [blocks(df, limits, aligned, values, second) for df, second in ((left, False), (right, True))]
+    return named(counted(*sides, limits, values, auto, fine))
+
+
+def named(sums: DataFrame) -> DataFrame:
+    return sums.withColumnsRenamed({"v": "value", "n": "number"})
 
 
 def count_power(left: DataFrame, right: DataFrame, limits: Limits, power: float, resolution: int = RESOLUTION, auto: bool = False) -> DataFrame:
-    """As ``count`` for one scale, each pair weighted by its separation to ``power``, in ``resolution``
-    logarithmic bins: a bin's weight is its logarithmic middle to the power, over the sum of all bins'."""
-    if any(lo <= 0 for scales in limits.by_bin for lo, _ in scales):
-        raise ValueError("a separation weight needs a minimum separation above 0")
-    pairs = candidates(left, right, limits)
-    value = F.col("v1") * F.col("v2")
-    if auto:
-        pairs = pairs.where("p1 <= p2")
-        value = value * F.when(F.col("p1") == F.col("p2"), 0.5).otherwise(1.0)
-    weight = None
-    for k, scales in enumerate(limits.by_bin):
-        lo, hi = scales[0]
-        edges = np.exp(np.linspace(np.log(lo), np.log(hi), resolution + 1))
-        edges[0], edges[-1] = lo, hi
-        mids = np.sqrt(edges[1:] * edges[:-1]) ** power
-        chords = (2 * np.sin(edges / 2)) ** 2
-        table = F.array(*[F.lit(float(w)) for w in mids / mids.sum()])
-        fine = F.size(F.filter(F.array(*[F.lit(float(c)) for c in chords]), lambda c: c < F.col("d2")))
-        one = F.when((fine >= 1) & (fine <= resolution), F.get(table, fine - 1))
-        weight = F.when(F.col("zbin") == k, one) if weight is None else weight.when(F.col("zbin") == k, one)
-    return pairs.withColumn("rw", weight).where("rw is not null").groupBy("zbin", "p1", "p2").agg(F.sum(value * F.col("rw")).alias("value"))
+    """As ``count``, with separation weights."""
+    return count(left, right, limits, auto, Fine(power, resolution))

@@ -79,9 +79,8 @@ def autocorrelate(binning: Binning, limits: pairs.Limits, patches: int, data: Sa
 
 def scalar_counts(binning: Binning, limits: pairs.Limits, first: DataFrame, second: DataFrame, modes: str, auto: bool = False) -> DataFrame:
     """Scalar pair counts over number counts: ``value`` and ``number`` by (scale, zbin, p1, p2)."""
-    k = kind_counts(first, second, limits, "dd", auto, modes).select("scale", "zbin", "p1", "p2", "value")
-    n = kind_counts(first, second, limits, "dd", auto, "nn").select("scale", "zbin", "p1", "p2", F.col("value").alias("number"))
-    return k.join(n, ["scale", "zbin", "p1", "p2"])
+    sides = [weighted(df, m).withColumn("n", F.col("w")) for df, m in zip((first, second), modes)]
+    return pairs.count(*sides, limits, auto).select("scale", "zbin", "p1", "p2", "value", "number")
 
 
 def correlation(counts: DataFrame, weights: DataFrame, kinds: list[str], binning: Binning, patches: int, scale: int = 0) -> DataFrame:

@@ -168,7 +168,7 @@ def _equi(s: SparkSession, d: str) -> DataFrame:
 
 def _rweight(s: SparkSession, d: str) -> DataFrame:
     v = lambda df: measure.weighted(df)
-    return rounded(pairs.count_power(v(binned(s, d, "ref")), v(points(s, d, "unk")), ONE, -1.0, 4))
+    return rounded(pairs.count_power(v(binned(s, d, "ref")), v(points(s, d, "unk")), ONE, -1.0, 4).select("zbin", "p1", "p2", "value"))
 
 
 def sql_rweight() -> str:
