@@ -165,23 +165,18 @@ def blocks(points: DataFrame, limits: Limits, aligned: bool, values: list[str],
 
 
 class Index:
-    """Blocks of a sample, made once and used by all counts it takes part in."""
+    """Blocks of a sample, the same tables for all counts it takes part in: a plan with several counts makes and shuffles them once."""
 
     def __init__(self, points: DataFrame, limits: Limits, aligned: bool, values: list[str]):
         self.points, self.limits, self.aligned, self.values = points, limits, aligned, values
 
     @cached_property
     def first(self) -> DataFrame:
-        return blocks(self.points, self.limits, self.aligned, self.values, False).persist()
+        return blocks(self.points, self.limits, self.aligned, self.values, False)
 
     @cached_property
     def second(self) -> DataFrame:
-        return blocks(self.points, self.limits, self.aligned, self.values, True).persist()
-
-    def released(self) -> None:
-        for name in ("first", "second"):
-            if name in self.__dict__:
-                self.__dict__.pop(name).unpersist()
+        return blocks(self.points, self.limits, self.aligned, self.values, True)
 
 
 def tally(a: np.ndarray, b: np.ndarray, limits: np.ndarray, fine: dict | None, into: dict[tuple, np.ndarray]) -> None:

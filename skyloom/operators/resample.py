@@ -85,11 +85,20 @@ def correlation(normalised: DataFrame, kinds: set[str], is_scalar: bool = False)
 
 
 def covariance(samples: DataFrame) -> DataFrame:
-    """Leave-one-out covariance (zbin_i, zbin_j, cov) of (zbin, sample, value), without sample -1."""
+    """Leave-one-out covariance (zbin_i, zbin_j, cov) of (zbin, sample, value), without sample -1; null where a sample of either bin is undefined."""
     s = samples.where("sample >= 0")
     a = s.select("sample", F.col("zbin").alias("zbin_i"), F.col("value").alias("vi"))
     b = s.select("sample", F.col("zbin").alias("zbin_j"), F.col("value").alias("vj"))
-    return a.join(b, "sample").groupBy("zbin_i", "zbin_j").agg(F.when(F.count("*") > 1, F.covar_pop("vi", "vj") * (F.count("*") - 1)).alias("cov"))
+    return a.join(b, "sample").groupBy("zbin_i", "zbin_j").agg(sampled_covariance("vi", "vj").alias("cov"))
+
+
+def sampled_covariance(a: str, b: str) -> Column:
+    whole = (F.count("*") > 1) & (F.count(a) == F.count("*")) & (F.count(b) == F.count("*"))
+    return F.when(whole, F.covar_pop(a, b) * (F.count("*") - 1))
+
+
+def finite(c: Column) -> Column:
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
 def errors(cov: DataFrame) -> DataFrame:
@@ -119,14 +128,14 @@ def redshifts(cross: DataFrame, bins: DataFrame, ref: DataFrame | None = None, u
 def normalised(data: DataFrame, bins: DataFrame) -> DataFrame:
     """Unit integral of the whole data; samples share its factor."""
     d = data.join(F.broadcast(bins.select("zbin", "dz")), "zbin")
-    norm = d.where("sample = -1").agg(F.sum(F.col("dz") * F.col("value")).alias("norm"))
+    norm = d.where("sample = -1").where(~F.isnan("value")).agg(F.sum(F.col("dz") * F.col("value")).alias("norm"))
     return d.crossJoin(F.broadcast(norm)).select("zbin", "sample", ratio(F.col("value"), F.col("norm")).alias("value"))  # norm is one row
 
 
 def normalised_to(data: DataFrame, target: DataFrame) -> DataFrame:
-    """Scaled to a target (zbin, value) by least squares with errors proportional to the target."""
+    """Scaled to a target (zbin, value) by least squares with errors inverse to the target, over bins where both are finite and the target is positive."""
     t = target.select("zbin", F.col("value").alias("t"))
-    both = data.where("sample = -1").join(t, "zbin").where("t > 0 and value > 0 and not isnan(value) and not isnan(t)")
+    both = data.where("sample = -1").join(t, "zbin").where(finite(F.col("value")) & finite(F.col("t")) & (F.col("t") > 0))
     norm = both.agg(ratio(F.sum(F.col("t") * F.col("t") * F.col("value") * F.col("value")), F.sum(F.col("t") * F.col("t") * F.col("t") * F.col("value"))).alias("norm"))
     return data.crossJoin(F.broadcast(norm)).select("zbin", "sample", ratio(F.col("value"), F.col("norm")).alias("value"))  # norm is one row
 

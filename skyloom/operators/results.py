@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sky
-from .resample import ratio
+from .resample import ratio, sampled_covariance
 
 
 def patch_slice(counts: DataFrame, first: int, end: int) -> DataFrame:
@@ -63,7 +63,7 @@ def covariance(samples: DataFrame, kind: str = "full") -> DataFrame:
     s = samples.where("sample >= 0")
     a = s.select("sample", F.col("set").alias("set_i"), F.col("zbin").alias("zbin_i"), F.col("value").alias("vi"))
     b = s.select("sample", F.col("set").alias("set_j"), F.col("zbin").alias("zbin_j"), F.col("value").alias("vj"))
-    cov = a.join(b, "sample").groupBy("set_i", "zbin_i", "set_j", "zbin_j").agg(F.when(F.count("*") > 1, F.covar_pop("vi", "vj") * (F.count("*") - 1)).alias("cov"))
+    cov = a.join(b, "sample").groupBy("set_i", "zbin_i", "set_j", "zbin_j").agg(sampled_covariance("vi", "vj").alias("cov"))
     keep = F.lit(True) if kind == "full" else F.col("zbin_i") == F.col("zbin_j")
     if kind == "var":
         keep = keep & (F.col("set_i") == F.col("set_j"))
@@ -119,10 +119,6 @@ def probe(df: DataFrame, key: str, size: int) -> DataFrame:
     return ranked(df, key).where((k * (n - 1) < (F.col("_rank") + 1) * (size - 1)) & (k < size)).drop("_rank")
 
 
-def finite_positive(c: Column) -> Column:
-    return c.isNotNull() & ~F.isnan(c) & (c < float("inf")) & (c > 0)
-
-
 def means(norm: DataFrame) -> DataFrame:
     """Mean kappa by bin, of ``scalar_norm``."""
     return norm.groupBy("zbin").agg(ratio(F.sum("kw"), F.sum("sw")).alias("value"))

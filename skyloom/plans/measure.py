@@ -36,6 +36,16 @@ def kind_counts(first: DataFrame, second: DataFrame, limits: pairs.Limits, kind:
     return pairs.count(weighted(first, modes[0]), weighted(second, modes[1]), limits, auto).select(F.lit(kind).alias("kind"), "scale", "zbin", "p1", "p2", "value", "pairs")
 
 
+def kind_sums(sides: list[tuple[str, pairs.Index, pairs.Index, bool]], limits: pairs.Limits, fine: pairs.Fine | None = None) -> DataFrame:
+    """As ``kind_counts`` for several kinds; a sample's blocks are made once for all of them."""
+    parts = [pairs.named(pairs.counted(a.first, b.second, limits, a.values, auto, fine)).withColumn("kind", F.lit(k)) for k, a, b, auto in sides]
+    return union(parts)
+
+
+def indexed(df: DataFrame, limits: pairs.Limits, aligned: bool) -> pairs.Index:
+    return pairs.Index(weighted(df), limits, aligned, ["v"])
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -49,7 +59,7 @@ def normalised(counts: DataFrame, weights: DataFrame, kinds: list[str], binning:
     return num.join(den, ["kind", "zbin", "sample"]).select("kind", "zbin", "sample", resample.ratio(F.col("value"), F.col("weight")).alias("value"))
 
 
-def crosscorrelate(binning: Binning, limits: pairs.Limits, patches: int, reference: Sample, unknown: Sample, ref_rand: Sample | None = None, unk_rand: Sample | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+def crosscorrelate(binning: Binning, limits: pairs.Limits, patches: int, reference: Sample, unknown: Sample, ref_rand: Sample | None = None, unk_rand: Sample | None = None, fine: pairs.Fine | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
     """Counts and normalisation of DD, DR, RD and RR as far as there are randoms; the unknown side has no redshift bins."""
     if ref_rand is None and unk_rand is None:
         raise ValueError("at least one random dataset must be provided")
@@ -57,30 +67,34 @@ def crosscorrelate(binning: Binning, limits: pairs.Limits, patches: int, referen
     data, unk = reference.binned(binning), unknown.df.drop("zbin")
     sides = [("dd", data, unk)]
     if unk_rand is not None:
-        sides.append(("dr", data, unk_rand.df))
+        random = unk_rand.df.drop("zbin")
+        sides.append(("dr", data, random))
     if ref_rand is not None:
-        sides.append(("rd", ref_rand.binned(binning), unk))
+        binned = ref_rand.binned(binning)
+        sides.append(("rd", binned, unk))
     if unk_rand is not None and ref_rand is not None:
-        sides.append(("rr", ref_rand.binned(binning), unk_rand.df))
-    counts = union([kind_counts(a, b, limits, k) for k, a, b in sides])
+        sides.append(("rr", binned, random))
+    own = {id(df): indexed(df, limits, False) for _, *both in sides for df in both}
+    counts = kind_sums([(k, own[id(a)], own[id(b)], False) for k, a, b in sides], limits, fine)
     weights = union([resample.products(resample.sum_weights(a, n, patches), resample.sum_weights(b, n, patches)).withColumn("kind", F.lit(k)) for k, a, b in sides])
     return counts, weights, [k for k, _, _ in sides]
 
 
-def autocorrelate(binning: Binning, limits: pairs.Limits, patches: int, data: Sample, random: Sample, count_rr: bool = True) -> tuple[DataFrame, DataFrame, list[str]]:
+def autocorrelate(binning: Binning, limits: pairs.Limits, patches: int, data: Sample, random: Sample, count_rr: bool = True, fine: pairs.Fine | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
     """Counts and normalisation of DD, DR and RR; both sides have redshift bins."""
     n = len(binning)
     d, r = data.binned(binning), random.binned(binning)
     sides = [("dd", d, d, True), ("dr", d, r, False)] + ([("rr", r, r, True)] if count_rr else [])
-    counts = union([kind_counts(a, b, limits, k, auto) for k, a, b, auto in sides])
+    own = {id(df): indexed(df, limits, True) for df in (d, r)}
+    counts = kind_sums([(k, own[id(a)], own[id(b)], auto) for k, a, b, auto in sides], limits, fine)
     weights = union([resample.products(resample.sum_weights(a, n, patches), resample.sum_weights(b, n, patches), auto).withColumn("kind", F.lit(k)) for k, a, b, auto in sides])
     return counts, weights, [k for k, *_ in sides]
 
 
-def scalar_counts(binning: Binning, limits: pairs.Limits, first: DataFrame, second: DataFrame, modes: str, auto: bool = False) -> DataFrame:
+def scalar_counts(binning: Binning, limits: pairs.Limits, first: DataFrame, second: DataFrame, modes: str, auto: bool = False, fine: pairs.Fine | None = None) -> DataFrame:
     """Scalar pair counts over number counts: ``value`` and ``number`` by (scale, zbin, p1, p2)."""
     sides = [weighted(df, m).withColumn("n", F.col("w")) for df, m in zip((first, second), modes)]
-    return pairs.count(*sides, limits, auto).select("scale", "zbin", "p1", "p2", "value", "number")
+    return pairs.count(*sides, limits, auto, fine).select("scale", "zbin", "p1", "p2", "value", "number")
 
 
 def correlation(counts: DataFrame, weights: DataFrame, kinds: list[str], binning: Binning, patches: int, scale: int = 0) -> DataFrame:

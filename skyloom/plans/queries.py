@@ -104,7 +104,7 @@ wide AS (SELECT zbin, sample, max(value) FILTER (WHERE kind = 'dd') AS dd, max(v
 corr AS (SELECT zbin, sample, ((dd - dr) + (rr - rd)) / nullif(rr, 0) AS value FROM wide),
 dz AS (SELECT * FROM (VALUES {', '.join(f'({k}, {num(w)})' for k, w in enumerate(BINS.widths))}) AS t(zbin, dz)),
 nz AS (SELECT zbin, sample, value / sqrt(dz * dz) AS value FROM corr JOIN dz USING (zbin)),
-cov AS (SELECT a.zbin AS zbin_i, b.zbin AS zbin_j, covar_pop(a.value, b.value) * (count(*) - 1) AS cov FROM nz AS a JOIN nz AS b USING (sample) WHERE sample >= 0 GROUP BY ALL)"""
+cov AS (SELECT a.zbin AS zbin_i, b.zbin AS zbin_j, CASE WHEN count(a.value) = count(*) AND count(b.value) = count(*) THEN covar_pop(a.value, b.value) * (count(*) - 1) END AS cov FROM nz AS a JOIN nz AS b USING (sample) WHERE sample >= 0 GROUP BY ALL)"""
 
 
 def sample(s: SparkSession, d: str, name: str) -> measure.Sample:
@@ -217,6 +217,14 @@ def _cov(s: SparkSession, d: str) -> DataFrame:
     return rounded(resample.covariance(cross_nz(s, d)), "cov")
 
 
+def _box(s: SparkSession, d: str) -> DataFrame:
+    return rounded(box(s, 10_000, math.radians(10), math.radians(15), math.radians(-2.5), math.radians(2.5), seed=12345).withColumnRenamed("dec", "de"), "ra", "de", digits=9)
+
+
+def sql_uniform(stream: int) -> str:
+    return f"(('0x' || substr(md5('12345:{stream}:' || id), 1, 13))::BIGINT::DOUBLE / {num(float(1 << 52))})"
+
+
 def _randoms(s: SparkSession, d: str) -> DataFrame:
     return box(s, 10_000, math.radians(10), math.radians(15), math.radians(-2.5), math.radians(2.5), seed=12345, observed=points(s, d, "ref").select("z", "w"))
 
@@ -230,6 +238,62 @@ def _auto_corr(s: SparkSession, d: str) -> DataFrame:
     return rounded(measure.correlation(counts, weights, kinds, BINS, K))
 
 
+def _auto_parts(s: SparkSession, d: str, data: str, random: str):
+    return measure.autocorrelate(BINS, ONE, K, sample(s, d, data), sample(s, d, random))
+
+
+def _auto_rr(s: SparkSession, d: str) -> DataFrame:
+    return rounded(measure.correlation(*_auto_parts(s, d, "ref", "ref_rand"), BINS, K))
+
+
+def _nz_bias(s: SparkSession, d: str) -> DataFrame:
+    w = [measure.correlation(*_auto_parts(s, d, *names), BINS, K) for names in (("ref", "ref_rand"), ("unk", "unk_rand"))]
+    return resample.redshifts(cross_corr(s, d), BINS.frame(s), *w)
+
+
+def _rweight_multi(s: SparkSession, d: str) -> DataFrame:
+    counted = pairs.count(measure.weighted(binned(s, d, "ref")), measure.weighted(points(s, d, "unk")), LIMITS, fine=pairs.Fine(-0.5))
+    return rounded(counted)
+
+
+def _undefined(s: SparkSession, d: str) -> DataFrame:
+    """Samples with negative, undefined and missing values: the histogram less its mean, without one sample of one bin."""
+    lost = F.when((F.col("zbin") == 1) & (F.col("sample") == 2), None).otherwise(F.col("value") - 500.0)
+    return rounded(resample.covariance(_hist(s, d).withColumn("value", lost)), "cov", digits=4)
+
+
+def _nz_to_negative(s: SparkSession, d: str) -> DataFrame:
+    shifted = _hist(s, d).withColumn("value", F.when(F.col("zbin") == 3, float("inf")).when(F.col("zbin") == 2, None).otherwise(F.col("value") * (1 - F.col("zbin") * 3)))
+    target = _hist(s, d).where("sample = -1").select("zbin", F.when(F.col("zbin") != 4, F.col("value")).otherwise(0.0).alias("value"))
+    return rounded(resample.normalised_to(shifted, target), digits=5)
+
+
+SQL_UNDEFINED = "h AS (SELECT zbin, sample, CASE WHEN zbin = 1 AND sample = 2 THEN NULL ELSE value - 5e2 END AS value FROM hist WHERE sample >= 0)"
+SQL_NEGATIVE = """y AS (SELECT zbin, sample, CASE zbin WHEN 3 THEN 'inf'::DOUBLE WHEN 2 THEN NULL ELSE value * (1 - zbin * 3) END AS value FROM hist),
+    t AS (SELECT zbin, CASE WHEN zbin <> 4 THEN value ELSE 0e0 END AS t FROM hist WHERE sample = -1),
+    f AS (SELECT sum(t*t*value*value) / sum(t*t*t*value) AS f FROM y JOIN t USING (zbin) WHERE sample = -1 AND isfinite(value) AND isfinite(t) AND t > 0)"""
+
+
+def sql_auto_corr(tag: str, data: str, random: str) -> str:
+    """CTEs up to <tag>: the Landy-Szalay autocorrelation."""
+    return f"""{tag}c AS MATERIALIZED ({sql_counts('dd', data + '_b', data + '_b', auto=True)} UNION ALL {sql_counts('dr', data + '_b', random + '_b', same_bin=True)} UNION ALL {sql_counts('rr', random + '_b', random + '_b', auto=True)}),
+        {sql_weights(tag + '1', data + '_b', True)}, {sql_weights(tag + '2', random + '_b', True)},
+        {tag}w AS ({sql_product('dd', tag + '1', tag + '1', True)} UNION ALL {sql_product('dr', tag + '1', tag + '2')} UNION ALL {sql_product('rr', tag + '2', tag + '2', True)}),
+        {sql_jackknife(tag + 'n', tag + 'c', ['dd', 'dr', 'rr'])}, {sql_jackknife(tag + 'd', tag + 'w', ['dd', 'dr', 'rr'])},
+        {tag}v AS (SELECT zbin, sample, max(v) FILTER (WHERE kind = 'dd') AS dd, max(v) FILTER (WHERE kind = 'dr') AS dr, max(v) FILTER (WHERE kind = 'rr') AS rr FROM (
+            SELECT kind, zbin, sample, n.value / nullif(d.value, 0) AS v FROM {tag}n AS n JOIN {tag}d AS d USING (kind, zbin, sample)) GROUP BY ALL),
+        {tag} AS (SELECT zbin, sample, ((dd - dr) + (rr - dr)) / nullif(rr, 0) AS value FROM {tag}v)"""
+
+
+def sql_rweight_multi() -> str:
+    cases = []
+    for (k, s), (edges, weights) in pairs.Fine(-0.5).tables(LIMITS).items():
+        steps = " ".join(f"WHEN d2 <= {num(e)} THEN {num(w)}" for e, w in zip(edges[1:], weights[1:-1]))
+        cases.append(f"WHEN zbin = {k} AND scale = {s} THEN CASE {steps} END")
+    one = lambda s: f"SELECT {s} AS scale, a.zbin, a.patch AS p1, b.patch AS p2, a.w * b.w AS v, {D2} AS d2 FROM ref_b AS a, unk AS b WHERE {D2} > {sql_limit(s, 0)} AND {D2} <= {sql_limit(s, 1)}"
+    return f"WITH {sql_views('ref', 'unk')}, p AS ({one(0)} UNION ALL {one(1)}) SELECT scale::INTEGER AS scale, zbin, p1, p2, round(sum(v * CASE {' '.join(cases)} END), 6) AS value, count(*)::BIGINT AS pairs FROM p GROUP BY ALL"
+
+
 def _sets(s: SparkSession, d: str, kind: str) -> DataFrame:
     corr, hist = cross_corr(s, d).withColumn("set", F.lit(0)), _hist(s, d).withColumn("set", F.lit(1))
     return rounded(results.covariance(corr.unionByName(hist), kind), "cov", digits=5)
@@ -237,7 +301,7 @@ def _sets(s: SparkSession, d: str, kind: str) -> DataFrame:
 
 def sql_sets(keep: str) -> str:
     return sql_cross(f""", {HIST}, joint AS (SELECT 0 AS set, zbin, sample, value FROM corr UNION ALL SELECT 1, zbin, sample, value FROM hist)
-        SELECT a.set AS set_i, a.zbin AS zbin_i, b.set AS set_j, b.zbin AS zbin_j, round(CASE WHEN {keep} THEN covar_pop(a.value, b.value) * (count(*) - 1) ELSE 0e0 END, 5) AS cov
+        SELECT a.set AS set_i, a.zbin AS zbin_i, b.set AS set_j, b.zbin AS zbin_j, round(CASE WHEN NOT ({keep}) THEN 0e0 WHEN count(a.value) = count(*) AND count(b.value) = count(*) THEN covar_pop(a.value, b.value) * (count(*) - 1) END, 5) AS cov
         FROM joint AS a JOIN joint AS b USING (sample) WHERE sample >= 0 GROUP BY a.set, a.zbin, b.set, b.zbin""")
 
 
@@ -322,7 +386,7 @@ TABLE = {
     "est_landy_szalay": (lambda s, d: rounded(cross_corr(s, d)), sql_cross("SELECT zbin, sample, round(value, 6) AS value FROM corr")),
     "nz_estimate": (lambda s, d: rounded(cross_nz(s, d)), sql_cross("SELECT zbin, sample, round(value, 6) AS value FROM nz")),
     "nz_normalise": (lambda s, d: rounded(resample.normalised(cross_nz(s, d), BINS.frame(s))), sql_cross("SELECT zbin, sample, round(value / (SELECT sum(dz * value) FROM nz JOIN dz USING (zbin) WHERE sample = -1), 6) AS value FROM nz")),
-    "nz_normalise_to": (_nz_to, sql_cross(f", {HIST}, f AS (SELECT sum(h.value*h.value*n.value*n.value) / sum(h.value*h.value*h.value*n.value) AS f FROM nz AS n JOIN hist AS h ON n.zbin = h.zbin WHERE n.sample = -1 AND h.sample = -1 AND n.value > 0 AND h.value > 0) SELECT zbin, sample, round(value / f, 5) AS value FROM nz, f")),
+    "nz_normalise_to": (_nz_to, sql_cross(f", {HIST}, f AS (SELECT sum(h.value*h.value*n.value*n.value) / sum(h.value*h.value*h.value*n.value) AS f FROM nz AS n JOIN hist AS h ON n.zbin = h.zbin WHERE n.sample = -1 AND h.sample = -1 AND isfinite(n.value) AND h.value > 0) SELECT zbin, sample, round(value / f, 5) AS value FROM nz, f")),
     "agg_covariance": (_cov, sql_cross("SELECT zbin_i, zbin_j, round(cov, 6) AS cov FROM cov")),
     "agg_errors": (lambda s, d: rounded(resample.errors(resample.covariance(cross_nz(s, d))), "error"), sql_cross("SELECT zbin_i AS zbin, round(sqrt(cov), 6) AS error FROM cov WHERE zbin_i = zbin_j")),
     "agg_correlation": (lambda s, d: rounded(resample.correlation_matrix(resample.covariance(cross_nz(s, d))), "corr"),
@@ -335,6 +399,13 @@ TABLE = {
         norm AS (SELECT kind, zbin, sample, num.value / nullif(den.value, 0) AS value FROM num JOIN den USING (kind, zbin, sample)),
         wide AS (SELECT zbin, sample, max(value) FILTER (WHERE kind = 'dd') AS dd, max(value) FILTER (WHERE kind = 'dr') AS dr FROM norm GROUP BY ALL)
         SELECT zbin, sample, round((dd - dr) / nullif(dr, 0), 6) AS value FROM wide"""),
+    "meas_autocorrelate_rr": (_auto_rr, f"WITH {sql_views('ref', 'ref_rand')}, {GRID}, {sql_auto_corr('ss', 'ref', 'ref_rand')} SELECT zbin, sample, round(value, 6) AS value FROM ss"),
+    "nz_estimate_bias": (lambda s, d: rounded(_nz_bias(s, d)), sql_cross(f""", {sql_auto_corr('ss', 'ref', 'ref_rand')}, {sql_auto_corr('pp', 'unk', 'unk_rand')}
+        SELECT corr.zbin, corr.sample, round(CASE WHEN ss.value * pp.value > 0 THEN corr.value / sqrt(dz * dz * ss.value * pp.value) END, 6) AS value
+        FROM corr JOIN dz USING (zbin) JOIN ss USING (zbin, sample) JOIN pp USING (zbin, sample)""")),
+    "agg_rweight_multi": (_rweight_multi, sql_rweight_multi()),
+    "agg_covariance_undefined": (_undefined, sql(f", {HIST}, {SQL_UNDEFINED} SELECT a.zbin AS zbin_i, b.zbin AS zbin_j, round(CASE WHEN count(a.value) = count(*) AND count(b.value) = count(*) THEN covar_pop(a.value, b.value) * (count(*) - 1) END, 4) AS cov FROM h AS a JOIN h AS b USING (sample) GROUP BY ALL")),
+    "nz_normalise_to_negative": (_nz_to_negative, sql(f", {HIST}, {SQL_NEGATIVE} SELECT zbin, sample, round(value / f, 5) AS value FROM y, f")),
     "meas_autocorrelate_scalar": (lambda s, d: rounded(measure.autocorrelate_scalar(BINS, ONE, K, sample(s, d, "ref"))),
                                   sql(f", {sql_scalar('dd', sql_scalar_counts('ref_b', 'ref_b', '(a.kappa * b.kappa)', True))} SELECT zbin, sample, round(value, 6) AS value FROM dd")),
     "est_scalar": (lambda s, d: rounded(measure.crosscorrelate_scalar(BINS, ONE, K, sample(s, d, "ref"), sample(s, d, "unk"), sample(s, d, "unk_rand"))),
@@ -356,7 +427,8 @@ TABLE = {
                   "SELECT id FROM (SELECT event_id AS id, row_number() OVER (ORDER BY event_id) - 1 AS r, count(*) OVER () AS n FROM events) WHERE r IN (SELECT (k * ((SELECT count(*) FROM events) - 1)) // 172 FROM range(173) AS t(k))"),
     "patch_divide": (lambda s, d: patches.divided(points(s, d, "ref").drop("patch").withColumn("part", F.col("id") % 7), "part").select("id", "patch"), "SELECT p_partkey AS id, (p_partkey % 7)::INTEGER AS patch FROM part"),
     "random_healpix": (_healpix, None),
-    "random_box": (_randoms, None),
+    "random_box": (_box, f"SELECT id, round({num(math.radians(10))} + {sql_uniform(0)} * {num(math.radians(15) - math.radians(10))}, 9) AS ra, round(asin({num(math.sin(math.radians(-2.5)))} + {sql_uniform(1)} * {num(math.sin(math.radians(2.5)) - math.sin(math.radians(-2.5)))}), 9) AS de FROM range(10000) AS t(id)"),
+    "random_attributes": (_randoms, None),
 }
 QUERIES = {name: q for name, (q, _) in TABLE.items()}
 ORACLE_SQL = {name: text for name, (_, text) in TABLE.items() if text}

@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .operators.results import ranked
+
 
 def uniform(seed: int, stream: int) -> Column:
     """A number in [0, 1) from the row's id: no state, so lost partitions come back alike."""
-    return F.pmod(F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(stream), F.col("id")), 11), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.lit(stream), F.col("id").cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
 def box(spark: SparkSession, n: int, ra_min: float, ra_max: float, dec_min: float, dec_max: float, seed: int = 12345, observed: DataFrame | None = None) -> DataFrame:
@@ -23,7 +26,8 @@ def box(spark: SparkSession, n: int, ra_min: float, ra_max: float, dec_min: floa
     if observed is None:
         return out.drop("_u")
     size = observed.count()
-    rows = observed.withColumn("_k", F.row_number().over(W.orderBy(*observed.columns)).cast("long") - 1)
+    # ranges of a hash of the rows are ranked side by side; equal rows may take each other's place
+    rows = ranked(observed.withColumn("_h", F.xxhash64(*observed.columns)), "_h").drop("_h").withColumnRenamed("_rank", "_k")
     return out.withColumn("_k", F.floor(F.col("_u") * size)).join(rows, "_k").drop("_u", "_k")
 
 

@@ -13,7 +13,7 @@ def test_matches_sql(spark, name):
     compare(spark, SF, queries.QUERIES[name], queries.ORACLE_SQL[name])
 
 
-def test_random_box_is_reproducible(spark):
-    a = queries.QUERIES["random_box"](spark, SF)
+def test_random_attributes_are_reproducible(spark):
+    a = queries.QUERIES["random_attributes"](spark, SF)
     assert a.count() == 10_000
-    assert a.repartition(3).exceptAll(queries.QUERIES["random_box"](spark, SF)).count() == 0
+    assert a.repartition(3).exceptAll(queries.QUERIES["random_attributes"](spark, SF)).count() == 0
