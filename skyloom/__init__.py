@@ -1 +1,3 @@
-"""Clustering redshifts on Spark: sky catalogs, pair counts, correlation functions, n(z)."""
+"""Clustering redshifts and training-data operators on Spark."""
+
+__version__ = "0.2.0"

@@ -33,10 +33,10 @@ def checked(given: dict, required: tuple[str, ...], optional: tuple[str, ...]) -
         raise ConfigError("expected a section of parameters")
     for k in required:
         if k not in given:
-            raise ConfigError("missing required parameter", k)
+            raise ConfigError("parameter is required", k)
     for k in given:
         if k not in required + optional:
-            raise ConfigError("unknown parameter", k)
+            raise ConfigError("unknown configuration parameter", k)
     return given
 
 

@@ -84,15 +84,3 @@ def linkage(meta: DataFrame, max_angle: float) -> DataFrame:
     a, b = m.alias("a"), F.broadcast(m).alias("b")  # at most 32 768 patches
     d = sky.distance(tuple(F.col(f"a.{c}") for c in "xyz"), tuple(F.col(f"b.{c}") for c in "xyz"))
     return a.join(b, d < F.col("a.radius") + F.col("b.radius") + max_angle).select(F.col("a.patch").alias("p1"), F.col("b.patch").alias("p2"))
-
-
-def check_consistent(first: DataFrame, second: DataFrame, tolerance: float = 0.5) -> None:
-    """Raises unless both have the same patches, with centres within ``tolerance`` radii."""
-    vectors = lambda m, s: m.select("patch", F.col("radius").alias(f"r{s}"), *[c.alias(f"{n}{s}") for c, n in zip(sky.xyz(F.col("ra"), F.col("dec")), "xyz")])
-    both = vectors(first, 1).join(vectors(second, 2), "patch", "full_outer")
-    d = sky.distance(tuple(F.col(f"{c}1") for c in "xyz"), tuple(F.col(f"{c}2") for c in "xyz"))
-    r = both.agg(F.max(F.when(F.col("r1").isNull() | F.col("r2").isNull(), 1).otherwise(0)).alias("lone"), F.max(d / F.greatest("r1", F.lit(1e-300))).alias("far")).first()
-    if r.lone:
-        raise InconsistentPatchesError("patch numbers do not match")
-    if (r.far or 0) > tolerance:
-        raise InconsistentPatchesError("patch centers are not aligned")
