@@ -19,8 +19,9 @@ documents link when 4 * |A & B| >= 3 * |A | B|.  Steps:
 5. The links' spanning edges give components, and these the class ids.
 
 What is shuffled in steps 2 and 3 are packed arrays of hashes, one for each
-block of documents and range of hashes, never one row for each shingle.  No
-step collects sets, links or components.
+block of documents and range of hashes, never one row for each shingle.  A
+shingle that very many documents have is sent at most ``HOT`` times by each
+block, so no group grows with it.  No step collects sets, links or components.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.  A text of fewer words
 has the whole sequence as its one shingle.
@@ -49,6 +50,10 @@ LOW = 0.35
 GROUP, PACK = 1_500_000, 1_000_000
 BLOCK = 64
 SEGMENT = 64
+#: Nodes of a block that have a hash before it is marked as shared instead of sent for each; the node that stands for them, and how often such a hash is said to be there.
+HOT = 16
+MARK = -(2**63)
+OFTEN = 2**31 - 1
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 CHUNK = 1 << 20
@@ -149,31 +154,44 @@ def shingled(docs: DataFrame, low: float) -> DataFrame:
     return docs.select("id", "key", "text").mapInArrow(run, "id bigint, key bigint, fp binary, n bigint, k bigint, hashes binary")
 
 
-def packed(sets: DataFrame, groups: int, sizes: bool) -> DataFrame:
+def packed(sets: DataFrame, groups: int, sizes: bool, hot: int = HOT) -> DataFrame:
     """Sets (node, n, hashes) cut by hash into ``groups``: one row for each block of sets and group.
 
-    A block has each node once, so copies are combined before the shuffle.
+    A block has each node once, so copies are combined before the shuffle.  A hash that ``hot`` nodes of a
+    block have is known to be shared: its group gets it once from the block, with the node ``MARK``, however
+    many nodes there are.  These nodes' hot hashes (with ``sizes``; else how many they are) go to the groups
+    from ``groups`` on, by node.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, tuple[int, np.ndarray]] = {}
         size = 0
 
+        def rows(base: int, group: np.ndarray, hashes: np.ndarray, owner: np.ndarray, nodes: np.ndarray, ns: np.ndarray, whole: bool = True):
+            """A row for each group of the (hash, owner) pairs, which are in the order of their owners."""
+            order = np.argsort(group, kind="stable")
+            hashes, owner, group = hashes[order], owner[order], group[order]
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            for a, e in zip(first.tolist(), [*first[1:].tolist(), len(group)]):
+                who, counts = np.unique(owner[a:e], return_counts=True)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([base + int(group[a])], pa.int32()), pa.array([nodes[who].tobytes()], pa.binary()), pa.array([ns[who].tobytes() if sizes else b""], pa.binary()),
+                    pa.array([counts.astype(np.int32).tobytes()], pa.binary()), pa.array([hashes[a:e].tobytes() if whole else b""], pa.binary())], ["g", "nodes", "ns", "counts", "hashes"])
+
         def flush():
             hashes = np.concatenate([h for _, h in own.values()])
             owner = np.repeat(np.arange(len(own)), [len(h) for _, h in own.values()])
-            group = (mixed(hashes) % np.uint64(groups)).astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            hashes, owner = hashes[order], owner[order]
-            cuts = np.searchsorted(group[order], np.arange(groups + 1))
-            nodes, ns = np.array(list(own), np.int64), np.array([n for n, _ in own.values()], np.int32)
-            for g in range(groups):
-                a, e = cuts[g], cuts[g + 1]
-                if e > a:
-                    who, counts = np.unique(owner[a:e], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([g], pa.int32()), pa.array([nodes[who].tobytes()], pa.binary()), pa.array([ns[who].tobytes() if sizes else b""], pa.binary()),
-                        pa.array([counts.astype(np.int32).tobytes()], pa.binary()), pa.array([hashes[a:e].tobytes()], pa.binary())], ["g", "nodes", "ns", "counts", "hashes"])
+            nodes, ns = np.array([*own, MARK], np.int64), np.array([*(n for n, _ in own.values()), 0], np.int32)
+            order = np.argsort(hashes)
+            first = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])[: len(hashes)])
+            times = np.diff(first, append=len(hashes))
+            many = np.zeros(len(hashes), bool)
+            many[order] = np.repeat(times >= hot, times)
+            marked = hashes[order[first[times >= hot]]]
+            rest, its = np.concatenate([hashes[~many], marked]), np.concatenate([owner[~many], np.full(len(marked), len(own))])
+            yield from rows(0, (mixed(rest) % np.uint64(groups)).astype(np.int32), rest, its, nodes, ns)
+            if len(marked):
+                yield from rows(groups, (nodes[owner[many]] % groups).astype(np.int32), hashes[many], owner[many], nodes, ns, sizes)
 
         for batch in batches:
             for i, n, h in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("hashes")):
@@ -189,13 +207,15 @@ def packed(sets: DataFrame, groups: int, sizes: bool) -> DataFrame:
     return sets.select("node", "n", "hashes").mapInArrow(run, "g int, nodes binary, ns binary, counts binary, hashes binary")
 
 
+def column(rows: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
+
+
 def unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Classes of a group and their sizes; the distinct (hash, class) pairs, by hash, of hashes
     that several classes have, and how many those are."""
-    every = np.frombuffer(b"".join(rows.column("nodes").to_pylist()), np.int64)
-    ns = np.frombuffer(b"".join(rows.column("ns").to_pylist()), np.int32)
-    counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.int32)
-    hashes = np.frombuffer(b"".join(rows.column("hashes").to_pylist()), np.uint64)
+    every, ns = column(rows, "nodes", np.int64), column(rows, "ns", np.int32)
+    counts, hashes = column(rows, "counts", np.int32), column(rows, "hashes", np.uint64)
     nodes, first, ids = np.unique(every, return_index=True, return_inverse=True)
     order = np.argsort(hashes, kind="stable")
     hashes = hashes[order]
@@ -212,13 +232,24 @@ def unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return nodes, ns[first] if len(ns) else ns, hashes[df > 1], owner[df > 1], df[df > 1]
 
 
-def shared_counts(sets: DataFrame, groups: int) -> DataFrame:
-    """node and ``c``: how many of its hashes other classes have too (no row: none)."""
+def shared_counts(sets: DataFrame, groups: int, hot: int = HOT) -> DataFrame:
+    """node and ``c``: how many of its hashes other classes have too (no row: none).
+
+    Of a class with copies in several blocks a hot hash may count twice, never less than once: of its hot ones
+    in each block the most count, and the others where they meet the mark.
+    """
 
     def count(rows: pa.Table) -> pa.Table:
-        nodes, _, _, owner, _ = unpacked(rows)
-        c = np.bincount(owner, minlength=len(nodes))
-        nodes, c = nodes[c > 0], c[c > 0]
+        if rows.column("g")[0].as_py() >= groups:
+            every = column(rows, "nodes", np.int64)
+            nodes, ids = np.unique(every, return_inverse=True)
+            c = np.zeros(len(nodes), np.int64)
+            np.maximum.at(c, ids, column(rows, "counts", np.int32))
+        else:
+            nodes, _, _, owner, _ = unpacked(rows)
+            c = np.bincount(owner, minlength=len(nodes))
+            some = (c > 0) & (nodes != MARK)
+            nodes, c = nodes[some], c[some]
         part = nodes % groups
         order = np.argsort(part, kind="stable")
         nodes, c = nodes[order], c[order]
@@ -229,22 +260,35 @@ def shared_counts(sets: DataFrame, groups: int) -> DataFrame:
             "c": pa.array([c[a:e].tobytes() for a, e in zip(at, ends)], pa.binary())})
 
     def add(rows: pa.Table) -> pa.Table:
-        nodes, ids = np.unique(np.frombuffer(b"".join(rows.column("nodes").to_pylist()), np.int64), return_inverse=True)
-        c = np.bincount(ids, np.frombuffer(b"".join(rows.column("c").to_pylist()), np.int64), len(nodes))
+        nodes, ids = np.unique(column(rows, "nodes", np.int64), return_inverse=True)
+        c = np.bincount(ids, column(rows, "c", np.int64), len(nodes))
         return pa.table({"node": pa.array(nodes, pa.int64()), "c": pa.array(c.astype(np.int64), pa.int64())})
 
-    each = packed(sets, groups, False).groupBy("g").applyInArrow(count, "p bigint, nodes binary, c binary")
+    each = packed(sets, groups, False, hot).groupBy("g").applyInArrow(count, "p bigint, nodes binary, c binary")
     return each.groupBy("p").applyInArrow(add, "node bigint, c bigint")
 
 
-def ordered(sets: DataFrame, groups: int) -> DataFrame:
+def ordered(sets: DataFrame, groups: int, hot: int = HOT) -> DataFrame:
     """node, n, ``hashes`` that other classes have too, in the global order, their ``dfs``, and ``prefix``,
-    those of the first n - ceil(3n/4) + 1.  Classes without any in there are left out."""
+    those of the first n - ceil(3n/4) + 1.  Classes without any in there are left out.
+
+    A hash that is hot in any block is ``OFTEN`` there for all classes, so the order is the same everywhere.
+    """
 
     def find(rows: pa.Table) -> pa.Table:
-        nodes, ns, hashes, owner, df = unpacked(rows)
-        order = np.argsort(owner, kind="stable")
-        hashes, owner, df = hashes[order], owner[order], df[order].astype(np.int32)
+        if rows.column("g")[0].as_py() >= groups:
+            nodes, ns, hashes = column(rows, "nodes", np.int64), column(rows, "ns", np.int32), column(rows, "hashes", np.uint64)
+            owner = np.repeat(np.arange(len(nodes)), column(rows, "counts", np.int32))
+            df = np.full(len(hashes), OFTEN, np.int32)
+        else:
+            nodes, ns, hashes, owner, df = unpacked(rows)
+            often = np.zeros(0, np.uint64)
+            if len(nodes) and (at := int(np.searchsorted(nodes, MARK))) < len(nodes) and nodes[at] == MARK:
+                often = hashes[owner == at]
+                hashes, owner, df = hashes[owner != at], owner[owner != at], df[owner != at]
+            df = np.where(np.isin(hashes, often), OFTEN, df).astype(np.int32)
+            order = np.argsort(owner, kind="stable")
+            hashes, owner, df = hashes[order], owner[order], df[order]
         who = np.unique(owner)
         a, e = np.searchsorted(owner, who), np.searchsorted(owner, who, "right")
         return pa.table({
@@ -257,7 +301,8 @@ def ordered(sets: DataFrame, groups: int) -> DataFrame:
             for r in batch.to_pylist():
                 h = np.frombuffer(b"".join(x["h"] for x in r["parts"]), np.uint64)
                 d = np.frombuffer(b"".join(x["d"] for x in r["parts"]), np.int32)
-                n = r["n"]
+                h, first = np.unique(h, return_index=True)  # a class may be in several blocks
+                d, n = d[first], r["n"]
                 reach = n - (3 * n + 3) // 4 + 1 - (n - len(h))  # hashes of one class come first
                 if reach > 0:
                     order = np.lexsort((h, d))
@@ -265,7 +310,7 @@ def ordered(sets: DataFrame, groups: int) -> DataFrame:
                     out.append({"node": r["node"], "n": n, "hashes": h.tobytes(), "dfs": d.tobytes(), "prefix": h[:reach].view(np.int64).tolist()})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("node", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary()), ("dfs", pa.binary()), ("prefix", pa.list_(pa.int64()))]))
 
-    each = packed(sets, groups, True).groupBy("g").applyInArrow(find, "node bigint, n bigint, h binary, d binary")
+    each = packed(sets, groups, True, hot).groupBy("g").applyInArrow(find, "node bigint, n bigint, h binary, d binary")
     whole = each.groupBy("node", "n").agg(F.collect_list(F.struct("h", "d")).alias("parts"))  # of one class: its own set
     return whole.mapInArrow(sort, "node bigint, n bigint, hashes binary, dfs binary, prefix array<bigint>")
 
@@ -410,12 +455,12 @@ def links(sets: DataFrame) -> DataFrame:
     return pairs.groupBy("label", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
-def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs``."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("id", "text"))
     low = stored(shingled(docs, LOW), "shingles")
     total = low.agg(F.sum("k")).first()[0] or 0
-    shared = shared_counts(low.where("n > 0").withColumn("node", F.expr(NODE)), total // GROUP + 1)
+    shared = shared_counts(low.where("n > 0").withColumn("node", F.expr(NODE)), total // GROUP + 1, hot)
     classes = stored(low.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min_by("key", F.struct(F.col("id").isNull(), "id", "key")).alias("key"), F.max("n").alias("n"), F.max("k").alias("k")).withColumn("node", F.expr(NODE)), "classes")
     # k low hashes, of which a partner lacks at most n - ceil(3n/4)
     some = classes.join(shared, "node", "left").where("coalesce(c, 0) >= k - (n - ceil(3 * n / 4))")
@@ -433,7 +478,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     full = stored(again.mapInArrow(whole, "fp binary, n bigint, hashes binary").withColumn("node", F.expr(NODE)), "sets")
     total = full.agg(F.sum("n")).first()[0] or 0
-    sets = stored(ordered(full, total // GROUP + 1), "ordered")
+    sets = stored(ordered(full, total // GROUP + 1, hot), "ordered")
     dropped(full)
     groups = components(links(sets))
     named = stored(classes.join(groups, "node").select("fp", "label", "id"), "named")

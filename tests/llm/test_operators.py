@@ -61,6 +61,8 @@ def test_ngram_join(docs, empty):
     got = ngram_join.joined(docs).collect()
     assert len(got) == docs.count()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {k: (len(rows[k]), label[k]) for k in rows}
+    for hot in (2, 3):  # marks for nearly all shared shingles
+        assert sorted(map(tuple, ngram_join.joined(docs.repartition(3), hot=hot).collect())) == sorted(map(tuple, got))
     assert ngram_join.joined(empty).count() == 0
     assert {r.doc_id for r in ngram_join.deduplicated(docs).collect()} == {k for k in rows if label[k] == k}
 
