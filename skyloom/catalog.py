@@ -82,8 +82,10 @@ class Catalog(Mapping):
         return cls(catalogs.written(rows, path, overwrite) if path else rows, weight is not None)
 
     @classmethod
-    def from_file(cls, spark: SparkSession, source: str, ra: str, dec: str, *, hdu: int = 1, **options) -> Catalog:
-        return cls.from_dataframe(catalogs.opened(spark, source, hdu), ra, dec, **options)
+    def from_file(cls, spark: SparkSession, source: str, ra: str, dec: str, *, hdu: int = 1, rows: int | None = None, **options) -> Catalog:
+        """Points of a file, of which only the named columns are read."""
+        names = [ra, dec, *(options.get(k) for k in ("weight", "redshift", "kappa", "patch_name"))]
+        return cls.from_dataframe(catalogs.opened(spark, source, hdu, [n for n in names if n], rows), ra, dec, **options)
 
     @classmethod
     def from_random(cls, spark: SparkSession, num_randoms: int, *, box: tuple[float, float, float, float] | None = None, mask: DataFrame | None = None, order: int = 0, seed: int = 12345, observed: DataFrame | None = None, **options) -> Catalog:

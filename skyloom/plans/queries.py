@@ -7,6 +7,9 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import measurements
+from ..catalog import Catalog
+from ..config import Configuration
 from ..functions import sky
 from ..functions.bins import Binning
 from ..operators import pairs, patches, resample, results
@@ -59,18 +62,18 @@ def sql_views(*names: str) -> str:
     return ",\n".join(out)
 
 
-def sql_limit(scale: int, side: int, zbin: str = "a.zbin") -> str:
-    return f"CASE {zbin} " + " ".join(f"WHEN {k} THEN {num(float((2 * math.sin(s[scale][side] / 2)) ** 2))}" for k, s in enumerate(LIMITS.by_bin)) + " END"
+def sql_limit(scale: int, side: int, zbin: str = "a.zbin", limits: pairs.Limits = LIMITS) -> str:
+    return f"CASE {zbin} " + " ".join(f"WHEN {k} THEN {num(float((2 * math.sin(s[scale][side] / 2)) ** 2))}" for k, s in enumerate(limits.by_bin)) + " END"
 
 
 D2 = "((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z3-b.z3)*(a.z3-b.z3))"
 
 
-def sql_counts(kind: str, a: str, b: str, scale: int = 0, auto: bool = False, same_bin: bool = False, v: tuple[str, str] = ("a.w", "b.w")) -> str:
+def sql_counts(kind: str, a: str, b: str, scale: int = 0, auto: bool = False, same_bin: bool = False, v: tuple[str, str] = ("a.w", "b.w"), limits: pairs.Limits = LIMITS) -> str:
     half = " * CASE WHEN a.patch = b.patch THEN 0.5e0 ELSE 1e0 END" if auto else ""
     where = (" AND a.zbin = b.zbin" if same_bin or auto else "") + (" AND a.patch <= b.patch" if auto else "")
     return f"""SELECT '{kind}' AS kind, {scale} AS scale, a.zbin, a.patch AS p1, b.patch AS p2, sum({v[0]} * {v[1]}{half}) AS value, count(*)::BIGINT AS pairs
-        FROM {a} AS a, {b} AS b WHERE {D2} > {sql_limit(scale, 0)} AND {D2} <= {sql_limit(scale, 1)}{where} GROUP BY a.zbin, a.patch, b.patch"""
+        FROM {a} AS a, {b} AS b WHERE {D2} > {sql_limit(scale, 0, limits=limits)} AND {D2} <= {sql_limit(scale, 1, limits=limits)}{where} GROUP BY a.zbin, a.patch, b.patch"""
 
 
 ALL = "ref, ref_rand, unk, unk_rand".split(", ")
@@ -94,8 +97,10 @@ def sql_jackknife(name: str, source: str, kinds: list[str]) -> str:
         LEFT JOIN {source} AS v ON v.kind = k.kind AND v.zbin = z.zbin GROUP BY ALL)"""
 
 
-CROSS = f"""{sql_views(*ALL)}, {GRID},
-counts AS MATERIALIZED ({sql_counts('dd', 'ref_b', 'unk')} UNION ALL {sql_counts('dr', 'ref_b', 'unk_rand')} UNION ALL {sql_counts('rd', 'ref_rand_b', 'unk')} UNION ALL {sql_counts('rr', 'ref_rand_b', 'unk_rand')}),
+def sql_cross_parts(limits: pairs.Limits) -> str:
+    """CTEs of the whole chain from the catalogs to the covariance."""
+    return f"""{sql_views(*ALL)}, {GRID},
+counts AS MATERIALIZED ({sql_counts('dd', 'ref_b', 'unk', limits=limits)} UNION ALL {sql_counts('dr', 'ref_b', 'unk_rand', limits=limits)} UNION ALL {sql_counts('rd', 'ref_rand_b', 'unk', limits=limits)} UNION ALL {sql_counts('rr', 'ref_rand_b', 'unk_rand', limits=limits)}),
 {sql_weights('w1', 'ref_b', True)}, {sql_weights('w2', 'ref_rand_b', True)}, {sql_weights('w3', 'unk', False)}, {sql_weights('w4', 'unk_rand', False)},
 weights AS ({sql_product('dd', 'w1', 'w3')} UNION ALL {sql_product('dr', 'w1', 'w4')} UNION ALL {sql_product('rd', 'w2', 'w3')} UNION ALL {sql_product('rr', 'w2', 'w4')}),
 {sql_jackknife('num', 'counts', ['dd', 'dr', 'rd', 'rr'])}, {sql_jackknife('den', 'weights', ['dd', 'dr', 'rd', 'rr'])},
@@ -107,6 +112,9 @@ nz AS (SELECT zbin, sample, value / sqrt(dz * dz) AS value FROM corr JOIN dz USI
 cov AS (SELECT a.zbin AS zbin_i, b.zbin AS zbin_j, CASE WHEN count(a.value) = count(*) AND count(b.value) = count(*) THEN covar_pop(a.value, b.value) * (count(*) - 1) END AS cov FROM nz AS a JOIN nz AS b USING (sample) WHERE sample >= 0 GROUP BY ALL)"""
 
 
+CROSS = sql_cross_parts(LIMITS)
+
+
 def sample(s: SparkSession, d: str, name: str) -> measure.Sample:
     return measure.Sample(points(s, d, name))
 
@@ -294,6 +302,26 @@ def sql_rweight_multi() -> str:
     return f"WITH {sql_views('ref', 'unk')}, p AS ({one(0)} UNION ALL {one(1)}) SELECT scale::INTEGER AS scale, zbin, p1, p2, round(sum(v * CASE {' '.join(cases)} END), 6) AS value, count(*)::BIGINT AS pairs FROM p GROUP BY ALL"
 
 
+#: A configuration of one scale that is the same angle in all bins.
+CONFIG = Configuration.create(rmin=0.6, rmax=9.0, unit="arcmin", edges=list(EDGES))
+
+
+def _catalogs(s: SparkSession, d: str) -> dict[str, Catalog]:
+    return {n: Catalog(points(s, d, n)) for n in ALL}
+
+
+def _configured(s: SparkSession, d: str) -> DataFrame:
+    c = _catalogs(s, d)
+    (corr,) = measurements.crosscorrelate(CONFIG, c["ref"], c["unk"], ref_rand=c["ref_rand"], unk_rand=c["unk_rand"])
+    return rounded(measurements.RedshiftData.from_corrfuncs(corr).df)
+
+
+def _stored_counts(s: SparkSession, d: str) -> DataFrame:
+    """What is kept of normalisation: groups that aren't 0."""
+    w = resample.sum_weights(binned(s, d, "ref").where("patch <> 4"), len(BINS), K)
+    return rounded(results.sparse(resample.products(w, w, True)))
+
+
 def _sets(s: SparkSession, d: str, kind: str) -> DataFrame:
     corr, hist = cross_corr(s, d).withColumn("set", F.lit(0)), _hist(s, d).withColumn("set", F.lit(1))
     return rounded(results.covariance(corr.unionByName(hist), kind), "cov", digits=5)
@@ -323,6 +351,8 @@ def sql_scalar_counts(a: str, b: str, first: str, auto: bool = False) -> str:
 MEAN_KAPPA = "SELECT zbin, patch AS p1, patch AS p2, sum(kappa * w) AS k, sum(w) AS n FROM ref_b GROUP BY zbin, patch"
 HIST = f"""hist0 AS (SELECT 'h' AS kind, CASE {' '.join(f'WHEN z < {num(e)} THEN {k}' for k, e in enumerate(EDGES[1:-1]))} ELSE {len(BINS) - 1} END AS zbin, patch AS p1, patch AS p2, sum(w) AS value
     FROM ref WHERE z > {num(EDGES[0])} AND z <= {num(EDGES[-1])} GROUP BY ALL), {sql_jackknife('hist', 'hist0', ['h'])}"""
+HIST_LEFT = f"""hist0 AS (SELECT 'h' AS kind, CASE {' '.join(f'WHEN z < {num(e)} THEN {k}' for k, e in enumerate(EDGES[1:-1]))} ELSE {len(BINS) - 1} END AS zbin, patch AS p1, patch AS p2, sum(w) AS value
+    FROM ref WHERE z >= {num(EDGES[0])} AND z < {num(EDGES[-1])} GROUP BY ALL), {sql_jackknife('hist', 'hist0', ['h'])}"""
 WIDTHS = f"dz AS (SELECT * FROM (VALUES {', '.join(f'({k}, {num(w)})' for k, w in enumerate(BINS.widths))}) AS t(zbin, dz))"
 META = """m AS (SELECT patch, count(*)::BIGINT AS num_records, sum(w) AS sum_weights, sum(w*x)/sum(w) AS mx, sum(w*y)/sum(w) AS my, sum(w*z3)/sum(w) AS mz FROM ref GROUP BY patch),
 c AS (SELECT patch, num_records, sum_weights, atan2(my, mx) AS ra, asin(mz / sqrt(mx*mx+my*my+mz*mz)) AS de FROM m),
@@ -426,6 +456,12 @@ TABLE = {
     "src_probe": (lambda s, d: results.probe(points(s, d, "unk_rand"), "id", 173).select("id"),
                   "SELECT id FROM (SELECT event_id AS id, row_number() OVER (ORDER BY event_id) - 1 AS r, count(*) OVER () AS n FROM events) WHERE r IN (SELECT (k * ((SELECT count(*) FROM events) - 1)) // 172 FROM range(173) AS t(k))"),
     "patch_divide": (lambda s, d: patches.divided(points(s, d, "ref").drop("patch").withColumn("part", F.col("id") % 7), "part").select("id", "patch"), "SELECT p_partkey AS id, (p_partkey % 7)::INTEGER AS patch FROM part"),
+    "meas_configured": (_configured, f"WITH {sql_cross_parts(CONFIG.limits)} SELECT zbin, sample, round(value, 6) AS value FROM nz"),
+    "est_combined": (lambda s, d: rounded(results.combined(_hist(s, d), results.combined(_hist(s, d), _hist(s, d)), -1)), sql(f", {HIST} SELECT zbin, sample, round(-value, 6) AS value FROM hist")),
+    "snk_sparse_counts": (_stored_counts, sql(f", {GRID}, lost AS (SELECT * FROM ref_b WHERE patch <> 4), {sql_weights('q', 'lost', True)} SELECT zbin, p1, p2, round(value, 6) AS value FROM ({sql_product('dd', 'q', 'q', True)}) WHERE value <> 0")),
+    "flt_binning_slice": (lambda s, d: rounded(BINS[1:4].frame(s), "z_lo", "z_hi", "z_mid", "dz", digits=9),
+                          "SELECT * FROM (VALUES " + ", ".join(f"({k}, round({num(a)}, 9), round({num(b)}, 9), round({num((a + b) / 2)}, 9), round({num(b - a)}, 9))" for k, (a, b) in enumerate(zip(EDGES[1:4], EDGES[2:5]))) + ") AS t(zbin, z_lo, z_hi, z_mid, dz)"),
+    "hist_left": (lambda s, d: rounded(resample.histogram(points(s, d, "ref"), Binning(EDGES, "left"), K)), sql(f", {HIST_LEFT} SELECT zbin, sample, round(value, 6) AS value FROM hist")),
     "random_healpix": (_healpix, None),
     "random_box": (_box, f"SELECT id, round({num(math.radians(10))} + {sql_uniform(0)} * {num(math.radians(15) - math.radians(10))}, 9) AS ra, round(asin({num(math.sin(math.radians(-2.5)))} + {sql_uniform(1)} * {num(math.sin(math.radians(2.5)) - math.sin(math.radians(-2.5)))}), 9) AS de FROM range(10000) AS t(id)"),
     "random_attributes": (_randoms, None),

@@ -7,6 +7,7 @@ NaN or infinite value fails the job that reads it.
 
 from __future__ import annotations
 
+import json
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,17 +22,21 @@ FITS = (".fits", ".cat")
 HDF = (".hdf5", ".hdf", ".h5")
 
 
-def opened(spark: SparkSession, path: str, hdu: int = 1) -> DataFrame:
-    """The table at ``path``, by its suffix; ``hdu`` is for FITS."""
+def opened(spark: SparkSession, path: str, hdu: int = 1, columns: list[str] | None = None, rows: int | None = None) -> DataFrame:
+    """The table at ``path``, by its suffix: ``columns`` of it, or all; ``hdu`` is for FITS, ``rows`` (of a task) for FITS and HDF5."""
     suffix = PurePosixPath(path).suffix.lower()
     if suffix in PARQUET:
-        return spark.read.parquet(path)
+        df = spark.read.parquet(path)
+        return df if columns is None else df.select(*[f"`{c}`" for c in columns if c in df.columns])
     if suffix not in FITS + HDF:
         raise ValueError(f"unsupported file format: '{suffix}'")
     fits.register(spark)
+    options = {} if columns is None else {"columns": json.dumps(columns)}
+    if rows is not None:
+        options["rows"] = rows
     if suffix in HDF:
-        return spark.read.format("skyhdf").load(path)
-    return spark.read.format("skyfits").option("hdu", hdu).load(path)
+        return spark.read.format("skyhdf").options(**options).load(path)
+    return spark.read.format("skyfits").options(hdu=hdu, **options).load(path)
 
 
 def finite(df: DataFrame, name: str) -> Column:

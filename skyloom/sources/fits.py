@@ -12,6 +12,7 @@ an empty one, trailing spaces go.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -34,6 +35,8 @@ TYPES = {
     "A": ("S", "string"),
 }
 WIDE = {"L": 1, "X": 0, "B": 1, "I": 2, "J": 4, "K": 8, "A": 1, "E": 4, "D": 8, "C": 8, "M": 16, "P": 8, "Q": 16}
+#: Integers with an offset and no scale stay whole, one size larger.
+SHIFTED = {"B": "short", "I": "int", "J": "long", "K": "decimal(20,0)"}
 ROWS = 1 << 20
 
 
@@ -89,8 +92,8 @@ def located(file, hdu: int) -> tuple[dict, int]:
     raise AssertionError
 
 
-def fields(h: dict) -> list[tuple]:
-    """name, code, offset, width, scale and zero of the columns that are read."""
+def fields(h: dict, wanted: list[str] | None = None) -> list[tuple]:
+    """name, code, offset, width, scale, zero and null of the columns that are read: the wanted ones, or all."""
     if h.get("XTENSION") != "BINTABLE":
         raise ValueError("the HDU is not a binary table")
     out, at = [], 0
@@ -99,18 +102,32 @@ def fields(h: dict) -> list[tuple]:
         n = int(repeat or 1)
         width = -(-n // 8) if code == "X" else n * WIDE[code]
         if code in TYPES and (n == 1 or code == "A" and n):
-            out.append((h.get(f"TTYPE{k}", f"col{k}"), code, at, width, float(h.get(f"TSCAL{k}", 1)), float(h.get(f"TZERO{k}", 0))))
+            out.append((h.get(f"TTYPE{k}", f"col{k}"), code, at, width, float(h.get(f"TSCAL{k}", 1)), h.get(f"TZERO{k}", 0), h.get(f"TNULL{k}")))
         at += width
-    return out
+    if wanted is None:
+        return out
+    return [f for f in out if f[0] in wanted]
+
+
+def shifted(f: tuple) -> bool:
+    return f[1] in SHIFTED and f[4] == 1.0 and f[5] != 0 and float(f[5]).is_integer()
 
 
 def scaled(f: tuple) -> bool:
-    return f[4:] != (1.0, 0.0) and f[1] != "A"
+    return f[1] in "BIJKED" and (f[4], f[5]) != (1.0, 0) and not shifted(f)
+
+
+def spark_type(f: tuple) -> str:
+    return "double" if scaled(f) else SHIFTED[f[1]] if shifted(f) else TYPES[f[1]][1]
+
+
+def wanted_columns(options: dict) -> list[str] | None:
+    return json.loads(options["columns"]) if "columns" in options else None
 
 
 class FitsReader(DataSourceReader):
-    def __init__(self, path: str, hdu: int, rows: int):
-        self.path, self.hdu, self.rows = path, hdu, rows
+    def __init__(self, path: str, hdu: int, rows: int, wanted: list[str] | None = None):
+        self.path, self.hdu, self.rows, self.wanted = path, hdu, rows, wanted
 
     def partitions(self):
         with opened(self.path) as f:
@@ -121,7 +138,7 @@ class FitsReader(DataSourceReader):
         first, last = partition.value
         with opened(self.path) as f:
             h, begin = located(f, self.hdu)
-            size, own = h["NAXIS1"], fields(h)
+            size, own = h["NAXIS1"], fields(h, self.wanted)
             step = max(1, (16 << 20) // max(1, size))
             kind = np.dtype({"names": [str(k) for k in range(len(own))], "formats": [f"S{x[3]}" if x[1] == "A" else TYPES[x[1]][0] for x in own], "offsets": [x[2] for x in own], "itemsize": size})
             for at in range(first, last, step):
@@ -136,9 +153,14 @@ class FitsReader(DataSourceReader):
         if f[1] == "L":
             return pa.array([{b"T": True, b"F": False}.get(x) for x in v.tolist()], pa.bool_())
         v = v.astype(v.dtype.newbyteorder("="))
+        lost = None if f[6] is None or f[1] not in SHIFTED else v == f[6]
         if scaled(f):
-            return pa.array(v.astype(np.float64) * f[4] + f[5])
-        return pa.array(v.astype(np.int16) if f[1] == "B" else v)
+            return pa.array(v.astype(np.float64) * f[4] + float(f[5]), mask=lost)
+        if shifted(f):
+            if f[1] == "K":
+                return pa.array([None if lost is not None and lost[k] else int(x) + int(f[5]) for k, x in enumerate(v.tolist())], pa.decimal128(20, 0))
+            return pa.array(v.astype({"B": np.int16, "I": np.int32, "J": np.int64}[f[1]]) + int(f[5]), mask=lost)
+        return pa.array(v.astype(np.int16) if f[1] == "B" else v, mask=lost)
 
 
 class FitsSource(DataSource):
@@ -155,10 +177,10 @@ class FitsSource(DataSource):
     def schema(self) -> str:
         with opened(self._path()) as f:
             h, _ = located(f, self._hdu())
-        return ", ".join(f"`{x[0]}` {'double' if scaled(x) else TYPES[x[1]][1]}" for x in fields(h))
+        return ", ".join(f"`{x[0]}` {spark_type(x)}" for x in fields(h, wanted_columns(self.options)))
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return FitsReader(self._path(), self._hdu(), int(self.options.get("rows", ROWS)))
+        return FitsReader(self._path(), self._hdu(), int(self.options.get("rows", ROWS)), wanted_columns(self.options))
 
 
 class HdfReader(DataSourceReader):
@@ -194,7 +216,8 @@ class HdfSource(DataSource):
         import h5py
 
         with h5py.File(self.options["path"], "r") as f:
-            return [n for n, d in f.items() if isinstance(d, h5py.Dataset) and d.ndim == 1 and d.dtype.kind in "iuf"]
+            wanted = wanted_columns(self.options)
+            return [n for n, d in f.items() if (wanted is None or n in wanted) and isinstance(d, h5py.Dataset) and d.ndim == 1 and d.dtype.kind in "iuf"]
 
     def schema(self) -> str:
         return ", ".join(f"`{n}` double" for n in self._names())

@@ -33,10 +33,22 @@ def test_fits(spark, tmp_path, n):
     assert df.dtypes == [("RA", "double"), ("n", "int"), ("name", "string"), ("s", "double"), ("ok", "boolean")]
     got = df.orderBy("n").collect()
     assert [tuple(r) for r in got] == [(k / 7, k, "ab", 10 + k % 5 / 2, True) for k in range(n)]
+    assert catalogs.opened(spark, str(path), columns=["n", "RA"], rows=1000).dtypes == [("RA", "double"), ("n", "int")]
     split = spark.read.format("skyfits").option("rows", 1000).load(str(path))
     assert split.rdd.getNumPartitions() == max(1, -(-n // 1000)) and split.count() == n
 
 
+def test_fits_integers():
+    from skyloom.sources.fits import FitsReader, fields, spark_type
+
+    head = {"XTENSION": "BINTABLE", "TFIELDS": 4, "TFORM1": "K", "TZERO1": 2**63, "TFORM2": "I", "TNULL2": -1, "TFORM3": "I", "TZERO3": 32768, "TNULL3": 7, "TFORM4": "J", "TSCAL4": 2.0, "TNULL4": 3}
+    own = fields(head)
+    assert [spark_type(f) for f in own] == ["decimal(20,0)", "short", "int", "double"] and [f[0] for f in fields(head, ["col2"])] == ["col2"]
+    values = ([-(2**63), 2**63 - 1], [-1, 5], [7, 8], [3, 4])
+    got = [FitsReader.column(np.array(v, ">i8" if k == 0 else ">i4" if k == 3 else ">i2"), f).to_pylist() for k, (v, f) in enumerate(zip(values, own))]
+    assert got == [[0, 2**64 - 1], [None, 5], [None, 32776], [None, 8.0]]
+
+
 def test_text_round_trip(spark, tmp_path):
     rows = [(b, s, float(b * 3 + s) ** 2 / 7 if (b, s) != (1, 2) else None) for b in range(3) for s in range(-1, 4)]
     data = spark.createDataFrame(rows, "zbin int, sample int, value double")
