@@ -23,7 +23,7 @@ class Binning:
         if len(self.edges) < 2:
             raise ValueError("at least two bin edges are required")
         if any(not a < b for a, b in zip(self.edges, self.edges[1:])):
-            raise ValueError("bin edges must increase monotonically")
+            raise ValueError("each bin edge must be above the one before")
 
     def __len__(self) -> int:
         return len(self.edges) - 1

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sky
-from .resample import ratio, sampled_covariance
+from .resample import sampled_covariance
 
 
 def patch_slice(counts: DataFrame, first: int, end: int) -> DataFrame:
@@ -117,8 +117,3 @@ def probe(df: DataFrame, key: str, size: int) -> DataFrame:
     # step k is at floor(k * (n - 1) / (size - 1)): rank r has one iff the first k at or beyond r is below r + 1
     k = F.expr(f"(_rank * {size - 1}L + {n - 2}L) div {n - 1}L") if n > 1 else F.lit(0)
     return ranked(df, key).where((k * (n - 1) < (F.col("_rank") + 1) * (size - 1)) & (k < size)).drop("_rank")
-
-
-def means(norm: DataFrame) -> DataFrame:
-    """Mean kappa by bin, of ``scalar_norm``."""
-    return norm.groupBy("zbin").agg(ratio(F.sum("kw"), F.sum("sw")).alias("value"))

@@ -73,3 +73,9 @@ def _edges(spans: DataFrame) -> DataFrame:
     ends = ends.select("g", F.coalesce(F.lag("end").over(W.orderBy("g")), F.lit(0.0)).alias("start"))
     inner = spans.withColumn("g", g).withColumn("prev", F.lag("hi").over(W.partitionBy("g").orderBy("pixel")))
     return inner.join(ends, "g").select("pixel", "hi", F.coalesce("prev", "start").alias("lo"))
+
+
+def frame(points: DataFrame, degrees: bool = True):
+    """Randoms as a pandas frame on the driver, without their ids; ra and dec in degrees unless told otherwise."""
+    unit = F.degrees if degrees else F.col
+    return points.withColumns({c: unit(c) for c in ("ra", "dec")}).drop("id").toPandas()

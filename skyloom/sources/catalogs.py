@@ -17,6 +17,7 @@ from ..functions import sky
 from ..operators import patches
 from . import fits
 
+#: The suffixes of each format.
 PARQUET = (".pq", ".pqt", ".parq", ".parquet")
 FITS = (".fits", ".cat")
 HDF = (".hdf5", ".hdf", ".h5")

@@ -7,7 +7,7 @@ from skyloom.config import ConfigError, Configuration
 from skyloom.functions import healpix as hp
 from skyloom.functions.bins import Binning
 from skyloom.operators import results
-from skyloom.randoms import healpix
+from skyloom.randoms import box, frame, healpix
 from skyloom.sources import catalogs, textio
 
 
@@ -99,6 +99,13 @@ def test_healpix_randoms(spark):
         healpix(spark, mask.where("pixel = 5"), 0, 10)
 
 
+def test_randoms_as_frame(spark):
+    points = box(spark, 100, 0.1, 0.2, -0.3, 0.3, observed=spark.createDataFrame([(0.5, 2.0), (0.6, 3.0)], "z double, w double"))
+    got, raw = frame(points), frame(points, degrees=False)
+    assert list(got.columns) == ["ra", "dec", "z", "w"] and len(got) == 100 and got.ra.between(math.degrees(0.1), math.degrees(0.2)).all()
+    assert np.allclose(sorted(np.radians(got.dec)), sorted(raw.dec)) and {(z, w) for z, w in zip(got.z, got.w)} == {(0.5, 2.0), (0.6, 3.0)}
+
+
 def test_probe(spark):
     for n, m in ((1, 1), (10, 10), (10, 3), (1000, 37), (5, 2), (5, 0)):
         got = [r.id for r in results.probe(spark.range(n).repartition(5), "id", m).orderBy("id").collect()]
