@@ -161,28 +161,6 @@ def mixed_by_id(docs: DataFrame, in_order: bool = False, epochs: int = EPOCHS) -
     return rows.select(*docs.columns)
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
-
-
-def mixed_rows(docs: DataFrame, in_order: bool = False) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; ``in_order`` sorts them by ranges of finish time, the mix's own order.
-
-    Rows with the same doc_id are taken alike; rows with a null doc_id each by themselves, equal ones alike.
-    """
-    return with_own_ids(docs, lambda rows: mixed_by_id(rows, in_order))
-
-
-def mixed_by_id(docs: DataFrame, in_order: bool = False, epochs: int = EPOCHS) -> DataFrame:
-    times = free_name(docs, "finish")
-    own = F.slice(F.array(*[F.col(f"finish_{e}") for e in range(epochs)]), F.lit(1), (F.col("taken") / F.col("size")).cast("int"))
-    copies = mix(sized(docs), epochs=epochs).where("taken > 0").groupBy("doc_id").agg(F.max_by(own, F.size(own)).alias(times))
-    rows = by_id(docs, copies, "inner").withColumn(times, F.explode(times))
-    if in_order:
-        rows = rows.orderBy(times, "doc_id")
-    return rows.select(*docs.columns)
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(sized(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
