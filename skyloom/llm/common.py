@@ -50,12 +50,23 @@ def swept(spark: SparkSession, folder: str) -> None:
         deleted(spark, folder)
 
 
+#: Bytes of rows that go to a Python worker at once while a table is stored.  Spark's default of 64 MB is there
+#: twice in each task's JVM memory outside the heap, and again in its worker.
+BATCH_BYTES = 4_000_000
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends here."""
     spark = df.sparkSession
     path = scratch(spark, tag)
     schema = df.schema
-    df.write.parquet(path)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(limit, before)
     out = spark.read.schema(schema).parquet(path)
     out._skyloom_path = path
     return out

@@ -56,7 +56,7 @@ MARK = -(2**63)
 OFTEN = 2**31 - 1
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
