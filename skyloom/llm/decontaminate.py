@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_id, stored, table, with_own_ids
+from .common import by_id, dropped, stored, table, with_own_ids
 
 WINDOW = 10
 #: Text of one block of the index.
@@ -227,9 +227,10 @@ def item_chunks(items: DataFrame, id_col: str = "item_id", text_col: str = "text
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, slop: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, n_words, spans and items of each row of ``docs``; builds and stores the index."""
+    """doc_id, n_words, spans and items of each row of ``docs``; builds and stores the index, which goes after the searches."""
     index = stored(build_index(docs), "postings")
-    parts = [search(index, chunk, width, slop) for chunk in item_chunks(items, chunk_bytes=chunk_bytes)]
+    parts = [stored(search(index, chunk, width, slop), "found") for chunk in item_chunks(items, chunk_bytes=chunk_bytes)]
+    dropped(index)
     if len(parts) == 1:
         return parts[0].select("doc_id", "n_words", "spans", "items")
     every = parts[0]
