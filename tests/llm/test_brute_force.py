@@ -258,6 +258,17 @@ def test_join_names_and_extreme_ids(spark):
     assert got == sorted([(top, 26, top), (None, 26, top), (None, 26, top), (None, 1, top), (3, 0, 3), (top, 1, top)], key=repr)
 
 
+def test_stored_keeps_the_session_s_batches(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    seen = spark.range(100).selectExpr("repeat('x', 100000) AS t").coalesce(1).mapInArrow(lambda bs: (b.select([0]).slice(0, 1) for b in bs), "t string")
+    assert common.stored(seen, "batches").count() > 1
+    assert spark.conf.get(limit) == before
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        common.stored(spark.range(1).selectExpr("1 div (id - id) AS x"), "failed")
+    assert spark.conf.get(limit) == before
+
+
 def test_shared_folder_is_needed_on_a_cluster():
     class Conf:
         def get(self, name, default):
