@@ -1,4 +1,10 @@
-"""A corpus from raw documents to token ids: five stages, each over all that its predecessor kept."""
+"""A corpus from raw documents to token ids: five stages, each over all that its predecessor kept.
+
+Edge cases: null and empty texts fail the quality rules and go; rows with a
+null doc_id are documents of their own, equal ones alike, up to the token
+stage; repeated rows are copies, of which one stays; an empty table gives an
+empty result; columns beyond those of documents are kept up to the token stage.
+"""
 
 from __future__ import annotations
 
@@ -41,7 +47,7 @@ STAGES = [
     ("token_output", token_ids),
 ]
 
-#: The near-duplicate and token stages have no SQL form; a brute-force version of the whole is still missing.
+#: The token stage has no SQL form; tests/llm compares the whole with a brute-force version.
 ORACLE_SQL = None
 
 
