@@ -8,15 +8,22 @@ within reach meets exactly once in an equi-join of blocks by cell, and the pole
 and the wrap in ra need no care.  Where both sides have redshift bins, the bin
 is part of the cell, and cells are as wide as that bin's own reach.
 
-The distances of two blocks are one matrix, made of arrays in Arrow batches:
-rows of pairs never exist, in no shuffle and in no engine row.  A pair of
+A block is made of leaves: at most ``LEAF`` neighbours of one bin and patch.
+Two leaves whose bounding boxes lie wholly inside an annulus give the product
+of their sums, two that lie wholly outside give nothing, and only between the
+others are points compared.  Bounds are made of the same rounded operations in
+the same order as distances, which are monotonic, so no bound contradicts a
+distance.  Points of one bin and patch at the very same position are one point
+with the sums of their values and their number.
+
+Rows of pairs never exist, in no shuffle and in no engine row.  A pair of
 blocks gives sums by (zbin, p1, p2), and only those leave a task.  (The same
 join as plain columns, one row for each candidate pair, took 15 times as long
-for the four counts of the benchmark.)
+for the four counts of the benchmark as whole matrices of distances did.)
 
 A cell with very many points is many blocks: points are dealt to tasks by
-ranges of (cell, hash), so such a cell is cut as well, and its pairs of blocks
-are rows like all others.
+ranges of (cell, place in it, hash), so such a cell is cut as well, its blocks
+are compact, and its pairs of blocks are rows like all others.
 """
 
 from __future__ import annotations
@@ -31,9 +38,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RESOLUTION = 50
-BLOCK = 2048
-#: Elements of a distance matrix that is made at once.
-TILE = 250_000
+BLOCK = 16_384
+LEAF = 16
+#: Pairs of leaves whose bounds are made at once, and of which points are compared at once.
+TILE, CHUNK = 500_000, 256
+#: Patches of a block's second side whose sums are made at once.
+WIDE = 64
+#: Steps of a cell's side that order its points, and their numbers with the bits two apart.
+STEPS = 64
+SPREAD = [sum((i >> b & 1) << 3 * b for b in range(6)) for i in range(STEPS)]
 KEY = ("kz", "cx", "cy", "cz")
 SLACK = 1 + 1e-9
 
@@ -110,26 +123,52 @@ def touched(low: np.ndarray, high: np.ndarray, width: float, reach: float) -> li
     return [(int(axes[0][i]), int(axes[1][j]), int(axes[2][k])) for i, j, k in np.argwhere(some)]
 
 
+def merged(own: np.ndarray) -> np.ndarray:
+    """Points (x, y, z3, zbin, patch, sums) with those of the same position, bin and patch as one."""
+    own = own[np.argsort(own[:, 0], kind="stable")]
+    if not (own[1:, 0] == own[:-1, 0]).any():
+        return own
+    own = own[np.lexsort(own[:, 4::-1].T)]
+    starts = np.flatnonzero(np.concatenate([[True], (own[1:, :5] != own[:-1, :5]).any(1)]))
+    return np.hstack([own[starts, :5], np.add.reduceat(own[:, 5:], starts)])
+
+
+def tiled(own: np.ndarray) -> np.ndarray:
+    """Points by zbin and patch, and within those in tiles of ``LEAF`` neighbours: strips of the widest axis, cut along the second."""
+    own = own[np.lexsort((own[:, 4], own[:, 3]))]
+    out = []
+    for part in np.split(own, np.flatnonzero((own[1:, 3:5] != own[:-1, 3:5]).any(1)) + 1):
+        n = len(part)
+        if n > LEAF:
+            _, second, first = np.argsort(np.ptp(part[:, :3], axis=0))
+            strips = int(np.ceil(np.sqrt(n / LEAF)))
+            long = int(np.ceil(n / LEAF / strips)) * LEAF
+            part = part[np.argsort(part[:, first])]
+            part = part[np.lexsort((part[:, second], np.arange(n) // long))]
+        out.append(part)
+    return np.concatenate(out)
+
+
 def blocks(points: DataFrame, limits: Limits, aligned: bool, values: list[str], second: bool) -> DataFrame:
-    """kz, cx, cy, cz and ``pts`` of each block: x, y, z3, zbin, patch and ``values`` of its points, ordered by zbin (first side) or patch (second)."""
+    """kz, cx, cy, cz and ``pts`` of each block: x, y, z3, zbin, patch, ``values`` and number of its points, in the order of ``tiled``."""
     reaches = limits.reaches if aligned else [limits.reach]
     binned = "zbin" in points.columns
     kz = F.col("zbin") if aligned else F.lit(0)
     width = F.array(*map(F.lit, reaches))[kz]
     cells = {c: F.floor(F.col(p) / width).cast("long") for c, p in zip(KEY[1:], ("x", "y", "z3"))}
+    spread = F.array(*map(F.lit, SPREAD))
+    steps = [spread[F.pmod(F.floor(F.col(p) / width * STEPS), F.lit(STEPS)).cast("int")] * (1 << k) for k, p in enumerate(("x", "y", "z3"))]
     columns = ["x", "y", "z3", "zbin", "patch", *values]
     rows = points if binned else points.withColumn("zbin", F.lit(0))
-    rows = rows.select(kz.cast("int").alias("kz"), *[c.alias(n) for n, c in cells.items()], *[F.col(c).cast("double").alias(c) for c in columns])
+    rows = rows.select(kz.cast("int").alias("kz"), *[c.alias(n) for n, c in cells.items()], (steps[0] + steps[1] + steps[2]).alias("place"), *[F.col(c).cast("double").alias(c) for c in columns])
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, *KEY, F.xxhash64("x", "y", "z3")).sortWithinPartitions(*KEY)
-    order = 4 if second else 3
+    rows = rows.repartitionByRange(n, *KEY, "place", F.xxhash64("x", "y", "z3")).sortWithinPartitions(*KEY, "place").select(*KEY, *columns)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, size = None, [], 0
 
         def flush() -> pa.RecordBatch:
-            own = np.concatenate(held)
-            own = own[np.argsort(own[:, order], kind="stable")]
+            own = tiled(merged(np.concatenate(held)))
             cells = [key[1:]]
             if second:
                 w = reaches[key[0]]
@@ -142,7 +181,7 @@ def blocks(points: DataFrame, limits: Limits, aligned: bool, values: list[str],
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)], 1)
-            own = np.stack([batch.column(4 + k).to_numpy(zero_copy_only=False) for k in range(len(columns))], 1)
+            own = np.stack([*[batch.column(4 + k).to_numpy(zero_copy_only=False) for k in range(len(columns))], np.ones(len(keys))], 1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
             for a, e in zip(cuts, cuts[1:]):
                 now = tuple(keys[a].tolist())
@@ -156,8 +195,11 @@ def blocks(points: DataFrame, limits: Limits, aligned: bool, values: list[str],
                     size += len(part)
                     a += len(part)
                     if size == BLOCK:
-                        yield flush()
-                        held, size = [], 0
+                        held = [merged(np.concatenate(held))]
+                        size = len(held[0])
+                        if size > BLOCK // 2:
+                            yield flush()
+                            held, size = [], 0
         if held:
             yield flush()
 
@@ -179,57 +221,105 @@ class Index:
         return blocks(self.points, self.limits, self.aligned, self.values, True)
 
 
+class Leaves:
+    """Leaves of a block: positions by (axis, leaf, point), and values, bounds, sums, zbin and patch; short leaves repeat a point without value."""
+
+    def __init__(self, own: np.ndarray):
+        cuts = np.concatenate([[0], np.flatnonzero((own[1:, 3:5] != own[:-1, 3:5]).any(1)) + 1, [len(own)]])
+        number = -(-np.diff(cuts) // LEAF)
+        before = np.repeat(np.cumsum(number) - number, number)
+        starts = np.repeat(cuts[:-1], number) + LEAF * (np.arange(number.sum()) - before)
+        ends = np.minimum(starts + LEAF, np.repeat(cuts[1:], number))
+        at = starts[:, None] + np.arange(LEAF)
+        real = at < ends[:, None]
+        full = own[np.minimum(at, ends[:, None] - 1)]
+        self.at = np.ascontiguousarray(full[:, :, :3].transpose(2, 0, 1))
+        self.values = np.where(real[:, :, None], full[:, :, 5:], 0.0)
+        self.low, self.high, self.sums = self.at.min(2), self.at.max(2), self.values.sum(1)
+        self.zbin, self.patch = own[starts, 3].astype(int), own[starts, 4].astype(int)
+
+    def __len__(self) -> int:
+        return len(self.zbin)
+
+
+def bounds(a: Leaves, b: Leaves, rows: slice, columns: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest squared chord that points of each two leaves can have."""
+    near, far = 0.0, 0.0
+    for c in range(3):
+        up = np.subtract.outer(a.high[c, rows], b.low[c, columns])
+        down = np.subtract.outer(a.low[c, rows], b.high[c, columns])
+        gap = np.maximum(np.maximum(down, -up), 0.0)
+        gap *= gap
+        near = near + gap
+        up *= up
+        down *= down
+        far = far + np.maximum(up, down)
+    return near, far
+
+
+def compared(left: Leaves, right: Leaves, i: np.ndarray, j: np.ndarray, lo: np.ndarray, hi: np.ndarray, tables: dict | None) -> np.ndarray:
+    """Sums by value, the number last, of the pairs of points of leaves i and j within (lo, hi]."""
+    out = np.empty((len(i), left.values.shape[2]))
+    for c in range(0, len(i), CHUNK):
+        x, y = i[c : c + CHUNK], j[c : c + CHUNK]
+        d2 = left.at[0, x][:, :, None] - right.at[0, y][:, None, :]
+        d2 *= d2
+        for k in (1, 2):
+            d = left.at[k, x][:, :, None] - right.at[k, y][:, None, :]
+            d *= d
+            d2 += d
+        inside = (d2 > lo[c : c + CHUNK, None, None]) & (d2 <= hi[c : c + CHUNK, None, None])
+        first, second, hit = left.values[x], right.values[y], inside.astype(np.float64)
+        if tables is None:
+            out[c : c + CHUNK] = (first * (hit @ second)).sum(1)
+            continue
+        w = np.zeros_like(d2)
+        for k in np.unique(left.zbin[x]):
+            edges, weights = tables[k]
+            own = inside & (left.zbin[x] == k)[:, None, None]
+            w[own] = weights[np.searchsorted(edges, d2[own])]
+        out[c : c + CHUNK, :-1] = (first[:, :, :-1] * (w @ second[:, :, :-1])).sum(1)
+        out[c : c + CHUNK, -1] = (first[:, :, -1] * (hit @ second[:, :, -1:])[:, :, 0]).sum(1)
+    return out
+
+
 def tally(a: np.ndarray, b: np.ndarray, limits: np.ndarray, fine: dict | None, into: dict[tuple, np.ndarray]) -> None:
     """Adds the pairs of two blocks to ``into``: sums of products of each value, and their number, by (scale, zbin, p1, p2)."""
-    nv = a.shape[1] - 5
-    zbins, first = np.unique(a[:, 3], return_index=True)
-    for k, lo, hi in zip(zbins.astype(int).tolist(), first, [*first[1:], len(a)]):
-        left = a[lo:hi]
-        reach = np.sqrt(limits[k, :, 1].max()) * SLACK
-        near = np.ones(len(b), bool)
-        for c in range(3):
-            near &= (b[:, c] >= left[:, c].min() - reach) & (b[:, c] <= left[:, c].max() + reach)
-        right = b[near]
-        if not len(right):
-            continue
-        p1, i1 = np.unique(left[:, 4], return_inverse=True)
-        p2, at = np.unique(right[:, 4], return_index=True)
-        # by value and patch; the last is the number
-        weigh = np.zeros((len(right), nv + 1, len(p2)))
-        for j, (x, y) in enumerate(zip(at, [*at[1:], len(right)])):
-            weigh[x:y, :nv, j], weigh[x:y, nv, j] = right[x:y, 5:], 1.0
-        flat = weigh.reshape(len(right), -1)
-        numbers = np.ascontiguousarray(weigh[:, nv])
-        step = max(1, TILE // len(right))
+    left, right = Leaves(a), Leaves(b)
+    q = left.values.shape[2]
+    patches, group = np.unique(right.patch, return_inverse=True)
+    for g in range(0, len(patches), WIDE):
+        columns = slice(*np.searchsorted(group, [g, g + WIDE]))
+        own = group[columns] - g
+        wide = int(own[-1]) + 1
+        flat = np.zeros((len(own), q, wide))
+        flat[np.arange(len(own)), :, own] = right.sums[columns]
+        step = max(1, TILE // len(own))
         for r in range(0, len(left), step):
-            some = left[r : r + step]
-            d2 = np.subtract.outer(some[:, 0], right[:, 0])
-            d2 *= d2
-            for c in (1, 2):
-                d = np.subtract.outer(some[:, c], right[:, c])
-                d *= d
-                d2 += d
-            own = np.zeros((len(p1), len(some)))
-            own[i1[r : r + step], np.arange(len(some))] = 1.0
+            rows = slice(r, r + step)
+            near, far = bounds(left, right, rows, columns)
+            zbin, patch = left.zbin[rows], left.patch[rows]
+            starts = np.flatnonzero(np.concatenate([[True], (zbin[1:] != zbin[:-1]) | (patch[1:] != patch[:-1])]))
             for s in range(limits.shape[1]):
-                inside = (d2 > limits[k, s, 0]) & (d2 <= limits[k, s, 1])
-                if not inside.any():
-                    continue
-                hit = inside.astype(np.float64)
+                lo, hi = limits[zbin, s].T
+                part = (far > lo[:, None]) & (near <= hi[:, None])
+                total = np.zeros((len(zbin), q, wide))
                 if fine is None:
-                    sums = (hit @ flat).reshape(len(some), nv + 1, -1)
-                else:
-                    edges, weights = fine[k, s]
-                    w = np.zeros_like(d2)
-                    w[inside] = weights[np.searchsorted(edges, d2[inside])]
-                    sums = (w @ flat).reshape(len(some), nv + 1, -1)
-                    sums[:, nv] = hit @ numbers
-                for v in range(nv):
-                    sums[:, v] *= some[:, 5 + v, None]
-                total = (own @ sums.reshape(len(some), -1)).reshape(len(p1), nv + 1, len(p2))
-                for i, j in np.argwhere(total[:, nv] > 0):
-                    key = (s, k, int(p1[i]), int(p2[j]))
-                    into[key] = into.get(key, 0.0) + total[i, :, j]
+                    inside = part & (near > lo[:, None]) & (far <= hi[:, None])
+                    part ^= inside
+                    if inside.any():
+                        total = (inside.astype(np.float64) @ flat.reshape(len(own), -1)).reshape(total.shape) * left.sums[rows, :, None]
+                i, j = np.nonzero(part)
+                if len(i):
+                    tables = None if fine is None else {k: fine[k, s] for k in np.unique(zbin).tolist()}
+                    sums = compared(left, right, i + r, j + columns.start, lo[i], hi[i], tables)
+                    at = i * wide + own[j]
+                    for v in range(q):
+                        total[:, v] += np.bincount(at, sums[:, v], len(zbin) * wide).reshape(-1, wide)
+                by = np.add.reduceat(total, starts, axis=0)
+                for x, y in np.argwhere(by[:, -1] > 0):
+                    key = (s, int(zbin[starts[x]]), int(patch[starts[x]]), int(patches[g + y]))
+                    into[key] = into.get(key, 0.0) + by[x, :, y]
 
 
 def counted(first: DataFrame, second: DataFrame, limits: Limits, values: list[str], auto: bool = False, fine: Fine | None = None) -> DataFrame:
@@ -237,7 +327,7 @@ def counted(first: DataFrame, second: DataFrame, limits: Limits, values: list[st
     n = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     side = lambda df, name: df.withColumnRenamed("pts", name).repartition(n, *KEY)
     met = side(first, "a").join(side(second, "b"), list(KEY)).select("a", "b")
-    chords, width, tables = limits.chords2, 5 + len(values), fine.tables(limits) if fine else None
+    chords, width, tables = limits.chords2, 6 + len(values), fine.tables(limits) if fine else None
     names = ["scale", "zbin", "p1", "p2", *values, "pairs"]
     types = [pa.int32()] * 4 + [pa.float64()] * len(values) + [pa.int64()]
 
