@@ -39,9 +39,10 @@ def columns(name: str) -> list[str]:
             f"radians(-2.5e0 + 5.0e0 * (({k}*{k}*30011 + {k}*{d} + {e}) % 1000003) / 1000003.0e0) AS de", f"{z} AS z", f"{w} AS w", f"{kappa} AS kappa"]
 
 
-def points(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def points(spark: SparkSession, sf_dir: str, name: str, direct: bool = False) -> DataFrame:
+    """``direct`` is for plans that don't filter by patch."""
     df = spark.read.parquet(f"{sf_dir}/{VIEWS[name][0]}.parquet").selectExpr(*columns(name))
-    return patches.assign(sky.with_xyz(df, "ra", "de"), CENTERS)
+    return patches.assign(sky.with_xyz(df, "ra", "de"), CENTERS, direct)
 
 
 def num(v: float) -> str:
@@ -115,8 +116,8 @@ cov AS (SELECT a.zbin AS zbin_i, b.zbin AS zbin_j, CASE WHEN count(a.value) = co
 CROSS = sql_cross_parts(LIMITS)
 
 
-def sample(s: SparkSession, d: str, name: str) -> measure.Sample:
-    return measure.Sample(points(s, d, name))
+def sample(s: SparkSession, d: str, name: str, direct: bool = False) -> measure.Sample:
+    return measure.Sample(points(s, d, name, direct))
 
 
 def binned(s: SparkSession, d: str, name: str) -> DataFrame:
@@ -124,7 +125,7 @@ def binned(s: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def cross(s: SparkSession, d: str):
-    return measure.crosscorrelate(BINS, ONE, K, *[sample(s, d, n) for n in ("ref", "unk", "ref_rand", "unk_rand")])
+    return measure.crosscorrelate(BINS, ONE, K, *[sample(s, d, n, True) for n in ("ref", "unk", "ref_rand", "unk_rand")])
 
 
 def cross_corr(s: SparkSession, d: str) -> DataFrame:
@@ -247,7 +248,7 @@ def _auto_corr(s: SparkSession, d: str) -> DataFrame:
 
 
 def _auto_parts(s: SparkSession, d: str, data: str, random: str):
-    return measure.autocorrelate(BINS, ONE, K, sample(s, d, data), sample(s, d, random))
+    return measure.autocorrelate(BINS, ONE, K, sample(s, d, data, True), sample(s, d, random, True))
 
 
 def _auto_rr(s: SparkSession, d: str) -> DataFrame:
@@ -307,7 +308,7 @@ CONFIG = Configuration.create(rmin=0.6, rmax=9.0, unit="arcmin", edges=list(EDGE
 
 
 def _catalogs(s: SparkSession, d: str) -> dict[str, Catalog]:
-    return {n: Catalog(points(s, d, n)) for n in ALL}
+    return {n: Catalog(points(s, d, n, True)) for n in ALL}
 
 
 def _configured(s: SparkSession, d: str) -> DataFrame:

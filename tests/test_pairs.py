@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from skyloom.operators import pairs
+from skyloom.operators import pairs, patches
 
 LIMITS = pairs.Limits((((0.002, 0.02), (0.01, 0.05)), ((0.001, 0.03), (0.02, 0.03))))
 
@@ -75,3 +75,13 @@ def test_most_pairs_are_not_compared(monkeypatch):
     pairs.tally(*(pairs.tiled(pairs.merged(x)) for x in (a, b)), pairs.Limits((((0.002, 0.02),),)).chords2, None, into)
     assert sum(seen) * pairs.LEAF**2 < len(a) * len(b) / 40
     assert sum(v[1] for v in into.values()) > len(a) * len(b) / 10
+
+
+def test_distances_to_centers_as_columns(spark):
+    """Both forms of the nearest centre agree, ties and undefined positions included; the one of columns is never null, so no join on patches filters by it."""
+    centers = [(0.1 * (k % 3), 0.1 * (k // 3)) for k in range(9)]
+    rows = [(math.cos(a) * math.cos(d), math.sin(a) * math.cos(d), math.sin(d)) for a, d in [*centers, *((0.013 * k, 0.05) for k in range(20)), (0.05, 0.0), (0.1, 0.05)]] + [(None, 0.0, 1.0), (math.nan, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "x double, y double, z3 double").coalesce(1)
+    slow, fast = (patches.assign(df, centers, direct) for direct in (False, True))
+    assert [r.patch for r in slow.collect()] == [r.patch for r in fast.collect()]
+    assert not fast.schema["patch"].nullable
