@@ -2,11 +2,15 @@
 
 Counts are (kind, zbin, p1, p2, value); sample -1 is the whole, sample k leaves patch k out.
 Grids of bins and patches are dense, so groups without pairs count as 0.
+
+A chain names its input once at each step: a table that is joined with itself twice over is a plan of many copies of all counts,
+and planning those takes longer than counting.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -48,12 +52,13 @@ def jackknife(values: DataFrame, by: list[str], bins: DataFrame, patches: int) -
 
     ``values`` has ``by``, p1, p2 and value; ``bins`` the groups that must appear.
     """
-    total = values.groupBy(*by).agg(F.sum("value").alias("total"))
-    touch = F.when(F.col("p1") == F.col("p2"), F.array("p1")).otherwise(F.array("p1", "p2"))
+    whole = F.lit(-1)
+    touch = F.when(F.col("p1") == F.col("p2"), F.array(whole, "p1")).otherwise(F.array(whole, "p1", "p2"))
     own = values.withColumn("sample", F.explode(touch)).groupBy(*by, "sample").agg(F.sum("value").alias("own"))
     samples = bins.select(*by, F.explode(F.sequence(F.lit(-1), F.lit(patches - 1))).alias("sample"))
-    out = samples.join(total, by, "left").join(own, [*by, "sample"], "left")
-    return out.select(*by, "sample", (F.coalesce("total", F.lit(0.0)) - F.coalesce("own", F.lit(0.0))).alias("value"))
+    out = samples.join(own, [*by, "sample"], "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
+    total = F.max(F.when(F.col("sample") == -1, F.col("own"))).over(W.partitionBy(*by))
+    return out.select(*by, "sample", F.when(F.col("sample") == -1, F.col("own")).otherwise(total - F.col("own")).alias("value"))
 
 
 def davis_peebles(dd: Column, mixed: Column) -> Column:
@@ -86,10 +91,15 @@ def correlation(normalised: DataFrame, kinds: set[str], is_scalar: bool = False)
 
 def covariance(samples: DataFrame) -> DataFrame:
     """Leave-one-out covariance (zbin_i, zbin_j, cov) of (zbin, sample, value), without sample -1; null where a sample of either bin is undefined."""
-    s = samples.where("sample >= 0")
-    a = s.select("sample", F.col("zbin").alias("zbin_i"), F.col("value").alias("vi"))
-    b = s.select("sample", F.col("zbin").alias("zbin_j"), F.col("value").alias("vj"))
-    return a.join(b, "sample").groupBy("zbin_i", "zbin_j").agg(sampled_covariance("vi", "vj").alias("cov"))
+    return paired(samples, ["zbin"]).groupBy("zbin_i", "zbin_j").agg(sampled_covariance("vi", "vj").alias("cov"))
+
+
+def paired(samples: DataFrame, by: list[str]) -> DataFrame:
+    """Every two values of a sample: ``by`` with _i and _j, vi and vj, without sample -1.  A sample has one value for each bin, so it is one row on the way."""
+    lists = samples.where("sample >= 0").groupBy("sample").agg(F.collect_list(F.struct(*by, "value")).alias("all"))
+    both = lists.select(F.explode("all").alias("i"), "all").select("i", F.explode("all").alias("j"))
+    keys = [F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in "ij" for c in by]
+    return both.select(*keys, F.col("i.value").alias("vi"), F.col("j.value").alias("vj"))
 
 
 def sampled_covariance(a: str, b: str) -> Column:
@@ -107,11 +117,10 @@ def errors(cov: DataFrame) -> DataFrame:
 
 def correlation_matrix(cov: DataFrame) -> DataFrame:
     """cov over the product of errors, 0 where cov is 0."""
-    e = errors(cov)
-    i = e.select(F.col("zbin").alias("zbin_i"), F.col("error").alias("ei"))
-    j = e.select(F.col("zbin").alias("zbin_j"), F.col("error").alias("ej"))
-    full = cov.join(i, "zbin_i").join(j, "zbin_j")
-    return full.select("zbin_i", "zbin_j", F.when(F.col("cov") == 0, 0.0).otherwise(ratio(F.col("cov"), F.col("ei") * F.col("ej"))).alias("corr"))
+    own = F.when(F.col("zbin_i") == F.col("zbin_j"), F.struct(F.sqrt("cov").alias("error")))
+    full = cov.withColumns({e: F.max(own).over(W.partitionBy(c)) for e, c in (("ei", "zbin_i"), ("ej", "zbin_j"))}).where("ei is not null and ej is not null")
+    value = ratio(F.col("cov"), F.col("ei.error") * F.col("ej.error"))
+    return full.select("zbin_i", "zbin_j", F.when(F.col("cov") == 0, 0.0).otherwise(value).alias("corr"))
 
 
 def redshifts(cross: DataFrame, bins: DataFrame, ref: DataFrame | None = None, unk: DataFrame | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sky
-from .resample import sampled_covariance
+from .resample import paired, sampled_covariance
 
 
 def patch_slice(counts: DataFrame, first: int, end: int) -> DataFrame:
@@ -60,10 +60,7 @@ def covariance(samples: DataFrame, kind: str = "full") -> DataFrame:
     """
     if kind not in ("full", "var", "diag"):
         raise ValueError(f"invalid covariance kind: {kind}")
-    s = samples.where("sample >= 0")
-    a = s.select("sample", F.col("set").alias("set_i"), F.col("zbin").alias("zbin_i"), F.col("value").alias("vi"))
-    b = s.select("sample", F.col("set").alias("set_j"), F.col("zbin").alias("zbin_j"), F.col("value").alias("vj"))
-    cov = a.join(b, "sample").groupBy("set_i", "zbin_i", "set_j", "zbin_j").agg(sampled_covariance("vi", "vj").alias("cov"))
+    cov = paired(samples, ["set", "zbin"]).groupBy("set_i", "zbin_i", "set_j", "zbin_j").agg(sampled_covariance("vi", "vj").alias("cov"))
     keep = F.lit(True) if kind == "full" else F.col("zbin_i") == F.col("zbin_j")
     if kind == "var":
         keep = keep & (F.col("set_i") == F.col("set_j"))

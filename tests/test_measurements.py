@@ -7,7 +7,7 @@ from skyloom import cosmology, measurements as m, plots
 from skyloom.catalog import Catalog, InconsistentPatchesError, PatchMeta, angle
 from skyloom.config import Configuration
 from skyloom.functions.bins import Binning
-from skyloom.operators import pairs, patches
+from skyloom.operators import pairs, patches, resample
 from skyloom.operators.resample import EstimatorError
 from skyloom.plans import measure
 
@@ -229,3 +229,21 @@ def test_plots_need_matplotlib(samples):
     assert len(edges) == 4 and len(y) == len(error) == 3
     with pytest.raises(ValueError, match="style"):
         plots.plot(None, None, "bars")
+
+
+@pytest.mark.parametrize("name", ["agg_normalised", "agg_covariance", "agg_errors", "agg_correlation", "nz_estimate"])
+def test_plans_name_counts_once(spark, name):
+    """No step of the chain joins its input with itself: a matrix of correlations reads its catalogs as often as the counts and weights that it is made of."""
+    from skyloom.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    reads = lambda df: df._jdf.queryExecution().analyzed().toString().count("parquet")
+    counts, weights, _ = queries.cross(spark, sf)
+    assert reads(queries.QUERIES[name](spark, sf)) == reads(counts) + reads(weights)
+
+
+def test_correlation_matrix_without_errors(spark):
+    """Bins without a variance have no row, undefined ones no value."""
+    cov = spark.createDataFrame([(0, 0, 4.0), (0, 1, 1.0), (1, 0, 1.0), (1, 1, 1.0), (0, 2, 1.0), (3, 3, None), (0, 3, 1.0), (3, 0, 0.0)], "zbin_i int, zbin_j int, cov double")
+    got = {(r.zbin_i, r.zbin_j): r.corr for r in resample.correlation_matrix(cov).collect()}
+    assert got == {(0, 0): 1.0, (0, 1): 0.5, (1, 0): 0.5, (1, 1): 1.0, (3, 3): None, (0, 3): None, (3, 0): 0.0}
