@@ -13,7 +13,9 @@ Two leaves whose bounding boxes lie wholly inside an annulus give the product
 of their sums, two that lie wholly outside give nothing, and only between the
 others are points compared.  Bounds are made of the same rounded operations in
 the same order as distances, which are monotonic, so no bound contradicts a
-distance.  Points of one bin and patch at the very same position are one point
+distance.  Most points of such leaves are told apart by products of single
+precision, with a bound of their error; the distance itself is made of those
+that are too near to a limit for that.  Points of one bin and patch at the very same position are one point
 with the sums of their values and their number.
 
 Rows of pairs never exist, in no shuffle and in no engine row.  A pair of
@@ -39,9 +41,11 @@ from pyspark.sql import functions as F
 
 RESOLUTION = 50
 BLOCK = 16_384
-LEAF = 16
+LEAF = 32
 #: Pairs of leaves whose bounds are made at once, and of which points are compared at once.
-TILE, CHUNK = 500_000, 256
+TILE, CHUNK = 500_000, 64
+#: Error of a squared distance in single precision, as a part of the square of both points' sum of distances from the origin, and a least one.
+ROUGH, LEAST = 2.0**-20, 1e-36
 #: Patches of a block's second side whose sums are made at once.
 WIDE = 64
 #: Steps of a cell's side that order its points, and their numbers with the bits two apart.
@@ -257,22 +261,72 @@ def bounds(a: Leaves, b: Leaves, rows: slice, columns: slice) -> tuple[np.ndarra
     return near, far
 
 
-def compared(left: Leaves, right: Leaves, i: np.ndarray, j: np.ndarray, lo: np.ndarray, hi: np.ndarray, tables: dict | None) -> np.ndarray:
-    """Sums by value, the number last, of the pairs of points of leaves i and j within (lo, hi]."""
+class Rough:
+    """Squared distances of the points of two blocks' leaves in single precision: one product of two small matrices for two leaves."""
+
+    def __init__(self, left: Leaves, right: Leaves):
+        self.left, self.right = left, right
+        origin = ((left.low.min(1) + left.high.max(1)) / 2)[:, None, None]
+        (a, a2), (b, b2) = ((p, (p * p).sum(0)) for p in (left.at - origin, right.at - origin))
+        one = np.ones
+        self.a = np.stack([*a, a2, one(a2.shape)], 2).astype(np.float32)
+        self.b = np.stack([*(-2 * b), one(b2.shape), b2], 1).astype(np.float32)
+        self.reach_a, self.reach_b = (np.sqrt(v.max(1)) for v in (a2, b2))
+
+    def distances(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of leaves x and y: squared distances and a bound of their error."""
+        return self.a[x] @ self.b[y], ROUGH * (self.reach_a[x] + self.reach_b[y]) ** 2 + LEAST
+
+    def within(self, x: np.ndarray, y: np.ndarray, d2: np.ndarray, error: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Whether points are at most ``limit`` apart, as the rounded operations of ``squared`` say."""
+        error = error + ROUGH * limit
+        low, high = ((limit + v).astype(np.float32)[:, None, None] for v in (-error, error))
+        inside, near = d2 <= low, d2 <= high
+        near ^= inside
+        at = np.flatnonzero(near)
+        if len(at):
+            k, p, q = np.unravel_index(at, near.shape)
+            a, b = self.left.at[:, x[k], p], self.right.at[:, y[k], q]
+            inside[k, p, q] = squared(a, b) <= limit[k]
+        return inside
+
+
+def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared chord of positions (axis, ...)."""
+    d2 = a[0] - b[0]
+    d2 *= d2
+    for k in (1, 2):
+        d = a[k] - b[k]
+        d *= d
+        d2 += d
+    return d2
+
+
+def compared(left: Leaves, right: Leaves, i: np.ndarray, j: np.ndarray, lo: np.ndarray, hi: np.ndarray, outer: np.ndarray, inner: np.ndarray, rough: Rough) -> np.ndarray:
+    """Sums by value, the number last, of the pairs of points of leaves i and j within (lo, hi]; ``outer`` and ``inner`` tell which of the limits cuts them."""
+    out = np.empty((len(i), left.values.shape[2]))
+    for upper, lower in ((True, False), (False, True), (True, True)):
+        own = np.flatnonzero((outer == upper) & (inner == lower))
+        for c in range(0, len(own), CHUNK):
+            at = own[c : c + CHUNK]
+            x, y = i[at], j[at]
+            distances = rough.distances(x, y)
+            hit = rough.within(x, y, *distances, hi[at]) if upper else None
+            if lower:
+                beyond = ~rough.within(x, y, *distances, lo[at])
+                hit = beyond if hit is None else hit & beyond
+            out[at] = (left.values[x] * (hit.astype(np.float64) @ right.values[y])).sum(1)
+    return out
+
+
+def weighed(left: Leaves, right: Leaves, i: np.ndarray, j: np.ndarray, lo: np.ndarray, hi: np.ndarray, tables: dict) -> np.ndarray:
+    """As ``compared`` with weights by separation, which need all distances."""
     out = np.empty((len(i), left.values.shape[2]))
     for c in range(0, len(i), CHUNK):
         x, y = i[c : c + CHUNK], j[c : c + CHUNK]
-        d2 = left.at[0, x][:, :, None] - right.at[0, y][:, None, :]
-        d2 *= d2
-        for k in (1, 2):
-            d = left.at[k, x][:, :, None] - right.at[k, y][:, None, :]
-            d *= d
-            d2 += d
+        d2 = squared(left.at[:, x][:, :, :, None], right.at[:, y][:, :, None, :])
         inside = (d2 > lo[c : c + CHUNK, None, None]) & (d2 <= hi[c : c + CHUNK, None, None])
         first, second, hit = left.values[x], right.values[y], inside.astype(np.float64)
-        if tables is None:
-            out[c : c + CHUNK] = (first * (hit @ second)).sum(1)
-            continue
         w = np.zeros_like(d2)
         for k in np.unique(left.zbin[x]):
             edges, weights = tables[k]
@@ -286,6 +340,7 @@ def compared(left: Leaves, right: Leaves, i: np.ndarray, j: np.ndarray, lo: np.n
 def tally(a: np.ndarray, b: np.ndarray, limits: np.ndarray, fine: dict | None, into: dict[tuple, np.ndarray]) -> None:
     """Adds the pairs of two blocks to ``into``: sums of products of each value, and their number, by (scale, zbin, p1, p2)."""
     left, right = Leaves(a), Leaves(b)
+    rough = Rough(left, right) if fine is None else None
     q = left.values.shape[2]
     patches, group = np.unique(right.patch, return_inverse=True)
     for g in range(0, len(patches), WIDE):
@@ -311,8 +366,11 @@ def tally(a: np.ndarray, b: np.ndarray, limits: np.ndarray, fine: dict | None, i
                         total = (inside.astype(np.float64) @ flat.reshape(len(own), -1)).reshape(total.shape) * left.sums[rows, :, None]
                 i, j = np.nonzero(part)
                 if len(i):
-                    tables = None if fine is None else {k: fine[k, s] for k in np.unique(zbin).tolist()}
-                    sums = compared(left, right, i + r, j + columns.start, lo[i], hi[i], tables)
+                    cut = (left, right, i + r, j + columns.start, lo[i], hi[i])
+                    if fine is None:
+                        sums = compared(*cut, far[i, j] > hi[i], near[i, j] <= lo[i], rough)
+                    else:
+                        sums = weighed(*cut, {k: fine[k, s] for k in np.unique(zbin).tolist()})
                     at = i * wide + own[j]
                     for v in range(q):
                         total[:, v] += np.bincount(at, sums[:, v], len(zbin) * wide).reshape(-1, wide)

@@ -85,3 +85,27 @@ def test_distances_to_centers_as_columns(spark):
     slow, fast = (patches.assign(df, centers, direct) for direct in (False, True))
     assert [r.patch for r in slow.collect()] == [r.patch for r in fast.collect()]
     assert not fast.schema["patch"].nullable
+
+
+def test_single_precision_decides_no_pair_near_a_limit():
+    """Points far from the origin of their blocks, limits at distances that single precision can't tell apart, and copies of a point."""
+    a, b = points(300, 1, 1, 1), points(400, 2, 1, 1)
+    b[:50, :3] = a[:50, :3]
+    d2 = sum((a[:, None, c] - b[None, :, c]) ** 2 for c in range(3))
+    left, right = (pairs.Leaves(pairs.tiled(x)) for x in (a, b))
+    rough = pairs.Rough(left, right)
+    some = np.sort(d2.ravel())
+    x, y = (v.ravel() for v in np.indices((len(left), len(right))))
+    for limit in (0.0, some[0], some[60], some[1000], np.nextafter(some[1000], 0), some[50_000], np.nextafter(some[50_000], 1), some[-1]):
+        inside = rough.within(x, y, *rough.distances(x, y), np.full(len(x), limit))
+        hit = inside * left.values[x][:, :, None, -1] * right.values[y][:, None, :, -1]
+        assert hit.sum() == (d2 <= limit).sum()
+
+
+def test_few_distances_are_made_in_double_precision(monkeypatch):
+    seen = []
+    whole = pairs.squared
+    monkeypatch.setattr(pairs, "squared", lambda a, b: seen.append(np.broadcast(a[0], b[0]).size) or whole(a, b))
+    a, b = points(4000, 1, 1, 1), points(4000, 2, 1, 1)
+    pairs.tally(*(pairs.tiled(x) for x in (a, b)), pairs.Limits((((0.002, 0.02),),)).chords2, None, {})
+    assert sum(seen) < len(a) * len(b) / 100
