@@ -61,5 +61,5 @@ class Binning:
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """One row per bin: zbin, z_lo, z_hi, z_mid, dz."""
-        rows = [(k, a, b, (a + b) / 2, b - a) for k, (a, b) in enumerate(zip(self.edges, self.edges[1:]))]
-        return spark.createDataFrame(rows, "zbin int, z_lo double, z_hi double, z_mid double, dz double")
+        rows = ", ".join(f"({k}, " + ", ".join(f"{float(v)!r}D" for v in (a, b, (a + b) / 2, b - a)) + ")" for k, (a, b) in enumerate(zip(self.edges, self.edges[1:])))
+        return spark.sql(f"SELECT * FROM VALUES {rows} AS bins(zbin, z_lo, z_hi, z_mid, dz)")

@@ -109,3 +109,50 @@ def test_few_distances_are_made_in_double_precision(monkeypatch):
     a, b = points(4000, 1, 1, 1), points(4000, 2, 1, 1)
     pairs.tally(*(pairs.tiled(x) for x in (a, b)), pairs.Limits((((0.002, 0.02),),)).chords2, None, {})
     assert sum(seen) < len(a) * len(b) / 100
+
+
+@pytest.mark.parametrize("n, m, patches, copies", [(3000, 4000, 3, 1), (900, 2000, 2, 5), (5000, 150, 1, 1)])
+def test_strips_count_all_pairs(n, m, patches, copies):
+    """Also with points in clusters, at equal positions, and at limits that are distances."""
+    a, b = points(n, 1, 2, patches, copies), points(m, 2, 1, patches, copies)
+    k = min(len(a), len(b)) // 3
+    b[:k, :3] = a[:k, :3]
+    into = {}
+    assert pairs.stripped(pairs.tiled(a), b, LIMITS.chords2, into)
+    assert {k: (float(v[0]), int(v[1])) for k, v in into.items()} == all_pairs(a, b)
+    d2 = np.sort(sum((a[:200, None, c] - b[None, :, c]) ** 2 for c in range(3)).ravel())
+    for lo, hi in ((d2[50], d2[-1]), (0.0, d2[len(d2) // 2]), (np.nextafter(d2[1000], 0), d2[len(d2) // 3])):
+        into, own = {}, a[(a[:, 3] == 0) & (a[:, 4] == 0)]
+        assert pairs.stripped(pairs.tiled(own), b, np.array([[[lo, hi]]]), into)
+        far = sum((own[:, None, c] - b[None, :, c]) ** 2 for c in range(3))
+        assert sum(int(v[1]) for v in into.values()) == int(((far > lo) & (far <= hi)).sum())
+
+
+def test_wide_fields_and_undefined_positions_are_counted_by_leaves():
+    rng = np.random.default_rng(3)
+    ra, z = rng.uniform(0, 2 * np.pi, 900), rng.uniform(-1, 1, 900)
+    at = np.column_stack([np.sqrt(1 - z * z) * np.cos(ra), np.sqrt(1 - z * z) * np.sin(ra), z, np.zeros(900), np.zeros(900), rng.integers(1, 9, 900), np.ones(900)])
+    limits, into = np.array([[[0.01, 1.5]]]), {}
+    d2 = sum((at[:, None, c] - at[None, :, c]) ** 2 for c in range(3))
+    assert not pairs.stripped(pairs.tiled(at), at, limits, {})
+    lost = np.concatenate([at, at[:1]])
+    lost[-1, 0] = np.nan
+    pairs.tally(pairs.tiled(lost), pairs.tiled(at), limits, None, into)
+    assert int(into[0, 0, 0, 0][1]) == int(((d2 > 0.01) & (d2 <= 1.5)).sum())
+
+
+def test_a_block_meets_all_blocks_of_its_cell_at_once(monkeypatch):
+    a, parts, seen, into = points(2000, 1, 2, 1), [points(1000, k, 1, 1) for k in (2, 3, 4)], [], {}
+    whole = pairs.stripped
+    monkeypatch.setattr(pairs, "stripped", lambda a, b, *more: seen.append(len(b)) or whole(a, b, *more))
+    pairs.tallied(pairs.tiled(a), parts, LIMITS.chords2, None, into)
+    assert seen == [3000]
+    assert {k: (float(v[0]), int(v[1])) for k, v in into.items()} == all_pairs(a, np.concatenate(parts))
+
+
+def test_points_are_sorted_by_one_number(spark):
+    """Spark sorts rows by several columns by comparing rows, and by one number without."""
+    df = spark.createDataFrame([(1.0, 0.0, 0.0, 0, 0, 1.0)], "x double, y double, z3 double, zbin int, patch int, v double")
+    plan = pairs.blocks(df, LIMITS, True, ["v"], False)._jdf.queryExecution().executedPlan().toString()
+    (keys,) = [line.split("Sort [")[1].split("]")[0] for line in plan.splitlines() if "Sort [" in line]
+    assert "," not in keys
