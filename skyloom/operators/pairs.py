@@ -20,10 +20,10 @@ with the sums of their values and their number.
 
 Where the field of a block is nearly flat and groups of bin and patch are large
 (``stripped``), a block meets all blocks of its cell at once, and their points
-lie in rows of small pixels with sums up to each: a leaf and a row tell where
-pixels begin and end to be inside a circle, whose sum is a difference of two,
-and only points of the pixels that it cuts are compared.  An annulus is one
-circle less another.
+lie in rows of small pixels: a point and a row tell where pixels begin and end
+to be inside a circle, all points between are met, and only points of the
+pixels that it cuts are compared.  How often a point is met is summed up along
+the rows, for all patches at once.  An annulus is one circle less another.
 
 Rows of pairs never exist, in no shuffle and in no engine row.  A pair of
 blocks gives sums by (zbin, p1, p2), and only those leave a task.  (The same
@@ -62,8 +62,8 @@ KEY = ("kz", "cx", "cy", "cz")
 SLACK = 1 + 1e-9
 #: Points of the second side that a block meets at once.
 MET = 8 * BLOCK
-#: Points for each square of a row's height, and for each pixel; (point, row)s and pairs of points looked at at once.
-FILL, THIN, PIECE = 4.0, 0.5, 32_768
+#: Points for each square of a row's height, and for each pixel; (point, row)s looked at at once; the most pixels in a row.
+FILL, THIN, PIECE, WIDEST = 1.0, 0.25, 16_384, 2048
 #: More than the error of a coordinate in another frame, and of a distance; the least extent of a field.
 NEAR, TINY = 1e-13, 1e-12
 #: The most that a field may bulge, as a part of the reach, and the least number of pairs for each two groups, for counts by strips.
@@ -354,148 +354,97 @@ def weighed(left: Leaves, right: Leaves, i: np.ndarray, j: np.ndarray, lo: np.nd
     return out
 
 
-class Strips:
-    """Points of one patch in pixels of a plane: rows of the second axis, and each row in pixels of the first; sums of values up to each point.
+class Field:
+    """Points in pixels of a plane, between ``low`` and ``high``: rows of the second axis, and each row in pixels of the first.
 
-    ``span`` is the first axis' range that discs will reach.
+    Sums are made by how often each point is met: a run of points adds a weight where it begins and takes it off where it ends.
     """
 
-    def __init__(self, own: np.ndarray, u: np.ndarray, v: np.ndarray, span: tuple[float, float]):
-        wide, high = (max(float(np.ptp(c)), TINY) for c in (u, v))
-        height = min(max(np.sqrt(wide * high * FILL / len(own)), high / len(own)), high)
-        self.rows = int(high / height) + 1
-        span = min(span[0], float(u.min())), max(span[1], float(u.max()))
-        self.width = max(wide * self.rows * THIN / len(own), (span[1] - span[0]) * self.rows / (8 * len(own) + 1024))
-        #: All below is in widths of a pixel, from the corner of the first.
-        self.corner, self.height = np.array([span[0] - self.width, float(v.min())]), height / self.width
-        self.columns = int((span[1] - span[0]) / self.width) + 4
-        u, v = self.places(u, v)
+    def __init__(self, own: np.ndarray, places: np.ndarray, low: np.ndarray, high: np.ndarray):
+        wide, tall = high - low
+        self.rows = max(1, int(np.sqrt(len(own) * tall / wide / FILL)))
+        height = tall / self.rows
+        self.width = max(wide * self.rows * THIN / len(own), wide / WIDEST)
+        #: All below is in widths of a pixel, from a corner outside.
+        self.corner, self.height = low - 2 * np.array([self.width, height]), height / self.width
+        self.columns = int(wide / self.width) + 6
+        u, v = self.places(places)
         pixel = (v / self.height).astype(np.int64) * self.columns + u.astype(np.int64)
         order = np.argsort(pixel, kind="stable")
-        #: Where each pixel begins; the row after the last is empty.
-        self.begin = np.concatenate([[0], np.cumsum(np.bincount(pixel, minlength=(self.rows + 1) * self.columns))])
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(pixel, minlength=(self.rows + 5) * self.columns))])
         own = own[order]
-        self.at, self.values = np.ascontiguousarray(own[:, :3].T), np.ascontiguousarray(own[:, 5:].T)
-        self.upto = np.concatenate([np.zeros((len(self.values), 1)), np.cumsum(self.values, 1)], 1)
-
-    def places(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (u - self.corner[0]) / self.width, (v - self.corner[1]) / self.width
-
-    def discs(self, tiles: Tiles, own: slice, limits: np.ndarray, bulge: float) -> np.ndarray:
-        """Sums of products by limit and value, over the pairs of points of tiles and these that are at most a limit (squared) apart; ``bulge``: how far apart they can be along the third axis."""
-        (left, right), (low, high) = zip(*(self.places(*c[:2, own]) for c in (tiles.low, tiles.high)))
-        r = np.sqrt(limits)
-        outer, inner = (r + NEAR) / self.width, np.maximum(r - NEAR, 0.0) / self.width
-        first = np.clip(np.floor((low - outer.max()) / self.height), 0, self.rows)
-        last = np.clip(np.floor((high + outer.max()) / self.height), -1, self.rows - 1)
-        some = np.flatnonzero(last >= first)
-        total = np.zeros((len(limits), len(self.values)))
-        number = int((last - first)[some].max()) + 1 if len(some) else 1
-        step = max(1, PIECE // (number * len(limits)))
-        rings = limits, outer**2, inner**2 - (bulge / self.width) ** 2
-        for c in range(0, len(some), step):
-            i = some[c : c + step]
-            self.add(total, tiles, i + own.start, left[i, None], right[i, None], low[i, None], high[i, None], first[i].astype(np.int64), number, rings)
-        return total
-
-    def add(self, total: np.ndarray, tiles: Tiles, i: np.ndarray, left: np.ndarray, right: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray, number: int, rings: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        """As ``discs``, of tiles and as many rows from the first of each.
-
-        A row's pixels between b and d are inside, those from a to b and from d to e are compared, and the others are outside.
-        """
-        row = np.add.outer(first, np.arange(number))
-        begin = row * self.height
-        above, below = begin - high, low - (begin + self.height)
-        gap = np.maximum(positive(above), positive(below)) ** 2
-        far = np.maximum(above, below) + (high - low + self.height)
-        far *= far
-        row = np.minimum(row, self.rows) * self.columns
-        runs = []
-        for k, (_, outer2, inner2) in enumerate(zip(*rings)):
-            x, y = rooted(outer2 - gap), rooted(inner2 - far)
-            a, b, d, e = (self.begin[c.astype(np.int64) + row] for c in (left - x, (right + 1) - y, left + y, (right + 1) + x))
+        self.at, self.values, (self.patches, self.patch) = np.ascontiguousarray(own[:, :3].T), np.ascontiguousarray(own[:, 5:].T), np.unique(own[:, 4], return_inverse=True)
+        self.u, self.v = u[order].astype(np.float32), v[order].astype(np.float32)
+        #: More than the error of a place in single precision.
+        self.slack = (self.columns + (self.rows + 5) * self.height) * ROUGH + NEAR / self.width
+
+    def __len__(self) -> int:
+        return len(self.u)
+
+    def places(self, c: np.ndarray) -> np.ndarray:
+        return (c - self.corner[:, None]) / self.width
+
+    def discs(self, at: np.ndarray, values: np.ndarray, places: np.ndarray, limit: float, bulge: float) -> np.ndarray:
+        """Sums of products by patch of these and value, over the pairs of a group's points and these that are at most a limit (squared) apart; ``bulge``: how far apart they can be along the third axis."""
+        u, v = places
+        radius, flat = np.sqrt(limit) / self.width, (bulge / self.width) ** 2
+        outer, inner = radius + self.slack, max(radius - self.slack, 0.0)
+        error = 4 * (radius + self.slack) * self.slack
+        surely, perhaps = np.float32(limit / self.width**2 - flat - error), np.float32(limit / self.width**2 + error)
+        first = np.floor((v - outer) / self.height).astype(np.int64)
+        number = int(2 * outer / self.height) + 2
+        middle = (v / self.height).astype(np.int64) - first
+        begin, steps = (first * self.height - v).astype(np.float32), (np.arange(number + 1) * self.height).astype(np.float32)
+        u, v, rows = u.astype(np.float32), v.astype(np.float32), np.arange(number) * self.columns
+        runs, single = np.zeros((len(values), len(self) + 1)), np.zeros((len(values), len(self)))
+        step = max(1, PIECE // number)
+        for c in range(0, len(u), step):
+            own = slice(c, c + step)
+            n, x = len(u[own]), u[own, None]
+            y2 = np.add.outer(begin[own], steps)
+            y2 *= y2
+            reach, sure = rooted(np.float32(outer * outer) - y2), rooted(np.float32(inner * inner - flat) - y2)
+            reach, sure = np.maximum(reach[:, 1:], reach[:, :-1]), np.minimum(sure[:, 1:], sure[:, :-1])
+            reach[np.arange(n), middle[own]] = outer
+            row = np.add.outer(first[own] * self.columns, rows)
+            # a row's pixels between b and d are inside, those from a to b and from d to e are compared, and the others are outside
+            a, b, d, e = (self.begin.take(p.astype(np.int64) + row) for p in (x - reach, (x + 1) - sure, x + sure, (x + 1) + reach))
             np.maximum(d, b, out=d)
-            total[k] += [w @ (s[d] - s[b]).sum(1) for w, s in zip(tiles.sums[:, i], self.upto)]
-            runs += [(a, b - a), (d, e - d)]
-        starts, lengths = (np.stack(c, 1).reshape(len(i), -1) for c in zip(*runs))
-        size = lengths.reshape(len(i), len(total), -1).sum(2)
-        ends = np.cumsum(size.sum(1))
-        cuts = np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]), PIECE)))
-        for c, k in zip(cuts, [*cuts[1:], len(i)]):
-            n = lengths[c:k].ravel()
-            ends = np.cumsum(n)
-            j = np.repeat(starts[c:k].ravel() - (ends - n), n) + np.arange(ends[-1])
-            self.compare(total, tiles, i[c:k].tolist(), size[c:k], j, rings[0])
-
-    def compare(self, total: np.ndarray, tiles: Tiles, which: list[int], size: np.ndarray, j: np.ndarray, limits: np.ndarray) -> None:
-        """As ``add``, of tiles and as many points of ``j`` for each and each limit as ``size`` says: told apart in single precision, and exactly near a limit."""
-        at, values, near = self.at.take(j, 1), self.values.take(j, 1).T, []
-        limit = np.repeat(np.tile(limits, len(which)), size.ravel())
-        ends = np.cumsum(size).reshape(size.shape)
-        for t, begins, to in zip(which, (ends - size).tolist(), ends.tolist()):
-            first, end = begins[0], to[-1]
-            if first == end:
-                continue
-            own = slice(tiles.starts[t], tiles.ends[t])
-            place = at[:, first:end] - tiles.middle[:, t, None]
-            square = np.einsum("ij,ij->j", place, place)
-            other = np.empty((5, end - first), np.float32)
-            np.multiply(place, -2, out=other[:3], casting="same_kind")
-            other[3] = 1
-            np.subtract(square, limit[first:end], out=other[4], casting="same_kind")
-            # squared distance less limit
-            more = tiles.rough[own] @ other
-            hit = more <= 0
-            inside = hit.astype(np.float64)
-            for k, (s, e) in enumerate(zip(begins, to)):
-                if s < e:
-                    total[k] += np.einsum("ij,ij->j", inside[:, s - first : e - first] @ values[s:e], tiles.values[own])
-            error = np.float32(ROUGH * ((tiles.reach[t] + np.sqrt(square.max())) ** 2 + limits[-1]) + LEAST)
-            np.abs(more, out=more)
-            if more.min() <= error:
-                x = np.flatnonzero(more <= error)
-                p, q = np.divmod(x, end - first)
-                near.append((p + tiles.starts[t], q + first, hit.reshape(-1)[x]))
-        if near:
-            p, q, rough = map(np.concatenate, zip(*near))
-            wrong = (squared(tiles.at[:, p], at[:, q]) <= limit[q]).astype(int) - rough
-            x = np.flatnonzero(wrong)
-            p, q = p[x], q[x]
-            np.add.at(total, np.searchsorted(limits, limit[q]), wrong[x, None] * tiles.values[p] * values[q])
-
-
-class Tiles:
-    """Leaves of a block's first side in a plane: points, bounds and sums."""
-
-    def __init__(self, own: np.ndarray, places: np.ndarray):
-        cuts = np.flatnonzero(np.concatenate([[True], (own[1:, 3:5] != own[:-1, 3:5]).any(1), [True]]))
-        number = -(-np.diff(cuts) // LEAF)
-        before = np.repeat(np.cumsum(number) - number, number)
-        self.starts = np.repeat(cuts[:-1], number) + LEAF * (np.arange(number.sum()) - before)
-        self.ends = np.minimum(self.starts + LEAF, np.repeat(cuts[1:], number))
-        self.at, self.values = np.ascontiguousarray(own[:, :3].T), np.ascontiguousarray(own[:, 5:])
-        self.low, self.high = (f.reduceat(places, self.starts, 1) for f in (np.minimum, np.maximum))
-        self.sums = np.add.reduceat(self.values, self.starts).T
-        self.middle = np.add.reduceat(self.at, self.starts, 1) / (self.ends - self.starts)
-        p = own[:, :3] - np.repeat(self.middle.T, self.ends - self.starts, 0)
-        p2 = (p * p).sum(1)
-        self.rough, self.reach = np.column_stack([p, p2, np.ones(len(p))]).astype(np.float32), np.sqrt(np.maximum.reduceat(p2, self.starts))
-        #: (zbin, patch, its leaves) of each group.
-        ends = np.cumsum(number).tolist()
-        self.groups = [(int(z), int(k), slice(s, e)) for (z, k), s, e in zip(own[cuts[:-1], 3:5], [0, *ends], ends)]
-
-
-def positive(c: np.ndarray) -> np.ndarray:
-    """c, or 0 where it is below."""
-    out = np.abs(c)
-    out += c
-    out *= 0.5
-    return out
+            for k, w in enumerate(values[:, own]):
+                w = np.repeat(w, number)
+                np.add.at(runs[k], b.ravel(), w)
+                np.subtract.at(runs[k], d.ravel(), w)
+            starts, lengths = np.stack([a, d], 1), np.stack([b - a, e - d], 1)
+            size, lengths = lengths.sum((1, 2)), lengths.ravel()
+            j = np.repeat(starts.ravel() - (np.cumsum(lengths) - lengths), lengths)
+            j += np.arange(len(j))
+            i = np.repeat(np.arange(c, c + n), size)
+            hit = np.flatnonzero(self.within(u, v, at, i, j, limit, surely, perhaps))
+            i, j = i[hit], j[hit]
+            for k, w in enumerate(values):
+                np.add.at(single[k], j, w.take(i))
+        single += np.cumsum(runs, 1)[:, :-1]
+        return np.stack([np.bincount(self.patch, m * w) for m, w in zip(single, self.values)], 1)
+
+    def within(self, u: np.ndarray, v: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, limit: float, surely: np.float32, perhaps: np.float32) -> np.ndarray:
+        """Whether points i of a group and j of these are at most ``limit`` apart: told apart by places in single precision, and exactly between ``surely`` and ``perhaps``."""
+        d2, dv = self.u.take(j), self.v.take(j)
+        d2 -= u.take(i)
+        dv -= v.take(i)
+        d2 *= d2
+        dv *= dv
+        d2 += dv
+        hit, near = d2 <= surely, d2 <= perhaps
+        near ^= hit
+        near = np.flatnonzero(near)
+        if len(near):
+            hit[near] = squared(at[:, i[near]], self.at[:, j[near]]) <= limit
+        return hit
 
 
 def rooted(c: np.ndarray) -> np.ndarray:
     """Square root, or 0 of what is below 0."""
-    c = positive(c)
+    np.maximum(c, 0, out=c)
     return np.sqrt(c, out=c)
 
 
@@ -503,34 +452,33 @@ def stripped(a: np.ndarray, b: np.ndarray, limits: np.ndarray, into: dict[tuple,
     """As ``tally`` without separation weights, if the points lie in a field that is nearly flat and groups of bin and patch are large."""
     top = (a[:, :3].min(0) + a[:, :3].max(0)) / 2
     long = np.sqrt(top @ top)
-    if not long > 0:
+    # a sum by runs would carry what is not finite to points that are not met
+    if not long > 0 or not np.isfinite(a[:, 5:]).all():
         return False
     side = np.eye(3)[np.argmin(np.abs(top))]
     axes = np.stack([e := np.cross(top, side), np.cross(top, e), top])
     axes /= np.sqrt((axes * axes).sum(1))[:, None]
     p, q = axes @ a[:, :3].T, axes @ b[:, :3].T
     reach = np.sqrt(limits[np.unique(a[:, 3]).astype(int), :, 1].max()) + NEAR
-    keep = np.flatnonzero(((q >= p.min(1)[:, None] - reach) & (q <= p.max(1)[:, None] + reach)).all(0))
+    low, high = p.min(1) - reach, p.max(1) + reach
+    keep = np.flatnonzero(((q >= low[:, None]) & (q <= high[:, None])).all(0))
     if not len(keep):
         return True
     b, q = b[keep], q[:, keep]
     bulge = max(p[2].max() - q[2].min(), q[2].max() - p[2].min()) + NEAR
-    tiles = Tiles(a, p)
-    patches = np.unique(b[:, 4])
-    if not bulge <= reach * FLAT or len(a) * len(b) < LARGE * len(tiles.groups) * len(patches):
+    cuts = np.flatnonzero(np.concatenate([[True], (a[1:, 3:5] != a[:-1, 3:5]).any(1), [True]])).tolist()
+    if not bulge <= reach * FLAT or len(a) * len(b) < LARGE * (len(cuts) - 1) * len(np.unique(b[:, 4])) or not np.isfinite(b[:, 5:]).all():
         return False
-    span = p[0].min() - reach, p[0].max() + reach
-    for patch in patches:
-        own = np.flatnonzero(b[:, 4] == patch)
-        strips = Strips(b[own], q[0, own], q[1, own], span)
-        for zbin, mine, leaves in tiles.groups:
-            some = np.unique(limits[zbin])
-            discs = dict(zip(some, strips.discs(tiles, leaves, some, bulge)))
-            for scale, (lo, hi) in enumerate(limits[zbin]):
-                sums = discs[hi] - discs[lo]
-                if sums[-1] > 0:
-                    key = (scale, zbin, mine, int(patch))
-                    into[key] = into.get(key, 0.0) + sums
+    field = Field(b, q[:2], low[:2], high[:2])
+    at, values, places = np.ascontiguousarray(a[:, :3].T), np.ascontiguousarray(a[:, 5:].T), field.places(p[:2])
+    for s, e in zip(cuts, cuts[1:]):
+        zbin, mine = int(a[s, 3]), int(a[s, 4])
+        discs = {limit: field.discs(at[:, s:e], values[:, s:e], places[:, s:e], limit, bulge) for limit in np.unique(limits[zbin]).tolist()}
+        for scale, (lo, hi) in enumerate(limits[zbin].tolist()):
+            sums = discs[hi] - discs[lo]
+            for k in np.flatnonzero(sums[:, -1] > 0):
+                key = (scale, zbin, mine, int(field.patches[k]))
+                into[key] = into.get(key, 0.0) + sums[k]
     return True
 
 

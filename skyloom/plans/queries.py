@@ -208,7 +208,7 @@ def _norm_product(s: SparkSession, d: str) -> DataFrame:
 
 
 def _hist(s: SparkSession, d: str) -> DataFrame:
-    return resample.histogram(points(s, d, "ref"), BINS, K)
+    return resample.histogram(points(s, d, "ref", True), BINS, K)
 
 
 def _hist_norm(s: SparkSession, d: str) -> DataFrame:

@@ -156,3 +156,24 @@ def test_points_are_sorted_by_one_number(spark):
     plan = pairs.blocks(df, LIMITS, True, ["v"], False)._jdf.queryExecution().executedPlan().toString()
     (keys,) = [line.split("Sort [")[1].split("]")[0] for line in plan.splitlines() if "Sort [" in line]
     assert "," not in keys
+
+
+def test_points_and_rows_leave_few_pairs_to_compare(monkeypatch):
+    """Leaves of neighbours that are as wide as a circle leave nearly all pairs near it; a point and a row leave few, whatever bins and patches."""
+    seen, into = [], {}
+    whole = pairs.Field.within
+    monkeypatch.setattr(pairs.Field, "within", lambda self, u, v, at, i, j, *more: seen.append(len(j)) or whole(self, u, v, at, i, j, *more))
+    a, b = points(3000, 1, 2, 2), points(30_000, 2, 1, 2)
+    b[:, 4] = b[:, 4] * 7 - 3
+    assert pairs.stripped(pairs.tiled(a), b, LIMITS.chords2, into)
+    assert {k: (float(v[0]), int(v[1])) for k, v in into.items()} == all_pairs(a, b)
+    assert sum(seen) < len(a) * len(b) / 25
+
+
+def test_a_value_that_is_not_finite_stays_with_its_pairs():
+    a, b = points(2000, 1, 1, 1), points(3000, 2, 1, 3)
+    b[np.flatnonzero(b[:, 4] == 1)[0], 5] = np.inf
+    into = {}
+    pairs.tally(pairs.tiled(a), pairs.tiled(b), LIMITS.chords2, None, into)
+    want = all_pairs(a, b[np.isfinite(b[:, 5])])
+    assert {k: float(v[0]) for k, v in into.items() if k[3] != 1} == {k: v[0] for k, v in want.items() if k[3] != 1}
