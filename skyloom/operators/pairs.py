@@ -172,16 +172,16 @@ def blocks(points: DataFrame, limits: Limits, aligned: bool, values: list[str],
     """kz, cx, cy, cz and ``pts`` of each block: x, y, z3, zbin, patch, ``values`` and number of its points, in the order of ``tiled``."""
     reaches = limits.reaches if aligned else [limits.reach]
     binned = "zbin" in points.columns
-    kz = F.col("zbin") if aligned else F.lit(0)
-    width = F.array(*map(F.lit, reaches))[kz]
-    cells = {c: F.floor(F.col(p) / width).cast("long") for c, p in zip(KEY[1:], ("x", "y", "z3"))}
-    spread = F.array(*map(F.lit, SPREAD))
-    steps = [spread[F.pmod(F.floor(F.col(p) / width * STEPS), F.lit(STEPS)).cast("int")] * (1 << k) for k, p in enumerate(("x", "y", "z3"))]
+    kz = "zbin" if aligned else "0"
+    # as text, because building hundreds of columns takes longer than parsing them
+    width, spread = f"array({', '.join(f'{float(r)!r}D' for r in reaches)})[{kz}]", f"array({', '.join(map(str, SPREAD))})"
+    cells = [f"CAST(floor({p} / {width}) AS BIGINT) AS {c}" for c, p in zip(KEY[1:], ("x", "y", "z3"))]
+    place = " + ".join(f"{spread}[CAST(pmod(floor({p} / {width} * {STEPS}), {STEPS}) AS INT)] * {1 << k}" for k, p in enumerate(("x", "y", "z3")))
     columns = ["x", "y", "z3", "zbin", "patch", *values]
     rows = points if binned else points.withColumn("zbin", F.lit(0))
-    rows = rows.select(kz.cast("int").alias("kz"), *[c.alias(n) for n, c in cells.items()], (steps[0] + steps[1] + steps[2]).alias("place"), *[F.col(c).cast("double").alias(c) for c in columns])
+    rows = rows.selectExpr(f"CAST({kz} AS INT) AS kz", *cells, f"{place} AS place", *[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in columns])
     # one number, which Spark sorts without comparing rows; should two cells share one, their blocks are smaller
-    rows = rows.select(*KEY, *columns, F.xxhash64(*KEY).bitwiseAND(F.lit(-STEPS**3)).bitwiseOR(F.col("place").cast("long")).alias("order"))
+    rows = rows.selectExpr(*KEY, *columns, f"(xxhash64({', '.join(KEY)}) & {-STEPS**3}) | CAST(place AS BIGINT) AS `order`")
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(n, "order", F.xxhash64("x", "y", "z3")).sortWithinPartitions("order").select(*KEY, *columns)
 

@@ -20,7 +20,7 @@ class InconsistentPatchesError(Exception):
 FEW = 16
 
 
-def nearest(x: Column, y: Column, z: Column, centers: list[tuple[float, float]], direct: bool = False) -> Column:
+def nearest(x: str, y: str, z: str, centers: list[tuple[float, float]], direct: bool = False) -> Column:
     """Index of the nearest centre (ra, dec in radians); the first wins ties.
 
     The centres are one literal of the plan, and the expression is as long for many patches as for few: however
@@ -31,13 +31,14 @@ def nearest(x: Column, y: Column, z: Column, centers: list[tuple[float, float]],
     """
     units = [(math.cos(ra) * math.cos(dec), math.sin(ra) * math.cos(dec), math.sin(dec)) for ra, dec in centers]
 
+    if direct and 2 <= len(units) <= FEW:  # as text, because building hundreds of columns takes longer than parsing them
+        d = ", ".join(" + ".join(f"({c} - ({v!r}D)) * ({c} - ({v!r}D))" for c, v in zip((x, y, z), u)) for u in units)
+        return F.expr(f"coalesce(CAST(array_position(array({d}), least({d})) - 1 AS INT), 0)")
+
     def chord2(c: list[Column]) -> Column:
-        dx, dy, dz = (v - w for v, w in zip((x, y, z), c))
+        dx, dy, dz = (F.col(v) - w for v, w in zip((x, y, z), c))
         return dx * dx + dy * dy + dz * dz
 
-    if direct and 2 <= len(units) <= FEW:
-        d = [chord2([F.lit(v) for v in u]) for u in units]
-        return F.coalesce((F.array_position(F.array(*d), F.least(*d)) - 1).cast("int"), F.lit(0))
     rows = [F.struct(*[F.lit(v).alias(n) for v, n in zip(u, "xyz")], F.lit(k).alias("k")) for k, u in enumerate(units)]
     far = lambda c: F.struct(chord2([c[n] for n in "xyz"]).alias("d"), c["k"].alias("k"))
     return F.array_min(F.transform(F.array(*rows), far))["k"]
@@ -45,7 +46,7 @@ def nearest(x: Column, y: Column, z: Column, centers: list[tuple[float, float]],
 
 def assign(df: DataFrame, centers: list[tuple[float, float]], direct: bool = False) -> DataFrame:
     """``df`` (with x, y, z3) with its patch id."""
-    return df.withColumn("patch", nearest(F.col("x"), F.col("y"), F.col("z3"), centers, direct))
+    return df.withColumn("patch", nearest("x", "y", "z3", centers, direct))
 
 
 def divided(df: DataFrame, column: str) -> DataFrame:

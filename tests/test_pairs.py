@@ -177,3 +177,15 @@ def test_a_value_that_is_not_finite_stays_with_its_pairs():
     pairs.tally(pairs.tiled(a), pairs.tiled(b), LIMITS.chords2, None, into)
     want = all_pairs(a, b[np.isfinite(b[:, 5])])
     assert {k: float(v[0]) for k, v in into.items() if k[3] != 1} == {k: v[0] for k, v in want.items() if k[3] != 1}
+
+
+def test_blocks_and_centers_are_few_calls(spark, monkeypatch):
+    """Expressions of many literals are parsed, not built call by call."""
+    from pyspark.sql import functions as F
+
+    made, whole = [], F.lit
+    monkeypatch.setattr(F, "lit", lambda v: made.append(v) or whole(v))
+    df = spark.createDataFrame([(1.0, 0.0, 0.0, 0, 1.0)], "x double, y double, z3 double, zbin int, v double")
+    (row,) = pairs.blocks(patches.assign(df, [(0.1 * k, 0.0) for k in range(9)], True), LIMITS, True, ["v"], False).collect()
+    assert np.frombuffer(row.pts).tolist() == [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0]
+    assert len(made) < 9
